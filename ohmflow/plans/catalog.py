@@ -1,0 +1,226 @@
+"""Registered queries. Each reads the driver tables (or views Spark derives
+from them) over whole tables and returns rounded, named columns; the oracle
+SQL twin computes the same result in plain SQL over the same parquet views."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import clean, profile, temporal
+from ..operators.common import round_cols
+from ..schema import LAG_FEATURES, RAW_FEATURES, ROLL_WINDOWS, LAGS, ROLLING_FEATURES
+from ..sources.fixtures import readings, scored_fixture, with_views  # noqa: F401
+from ..sources.tables import table
+from .registry import query
+from .sqlgen import r6, union_all, unpivot_sql
+
+R = RAW_FEATURES
+
+
+def _r6(df):
+    return round_cols(df, 6)
+
+
+def imputed_sql(name: str = "imputed") -> str:
+    """CTE: readings with medians filled in (all-rows medians, S1)."""
+    cols = ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM readings)) AS {c}"
+                     for c in R)
+    return f",\n{name} AS (SELECT seq, {cols}, stab, stabf FROM readings)\n"
+
+
+def imputed_readings(spark, sf):
+    r = readings(spark, sf)
+    return clean.impute_median(r, R)
+
+
+# ---------------------------------------------------------------- profiles --
+def _overview_sql() -> str:
+    cols = [("seq", "bigint")] + [(c, "double") for c in R] + [("stab", "double"),
+                                                              ("stabf", "string")]
+    parts = [f"SELECT {i} AS ordinal, '{c}' AS \"column\", '{t}' AS dtype, "
+             f"count(*) AS n_rows, count(*) - count({c}) AS n_null FROM readings"
+             for i, (c, t) in enumerate(cols)]
+    return with_views("readings") + union_all(parts)
+
+
+@query("profile_overview", _overview_sql())
+def q_profile_overview(spark, sf):
+    return profile.profile_overview(readings(spark, sf))
+
+
+@query("class_balance", with_views("readings") + """
+SELECT stabf, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 3) AS share
+FROM readings GROUP BY stabf""")
+def q_class_balance(spark, sf):
+    return profile.class_balance(readings(spark, sf), "stabf")
+
+
+@query("class_histogram", with_views("readings") + f""",
+long AS ({unpivot_sql('readings', ['stabf'], R)}),
+rng AS (SELECT stabf, feature, min(value) AS lo, max(value) AS hi FROM long
+        WHERE value IS NOT NULL GROUP BY stabf, feature)
+SELECT l.stabf, l.feature,
+  CAST(CASE WHEN hi - lo = 0 THEN 0
+       ELSE least(floor((value - lo) / (hi - lo) * 40.0), 39) END AS INTEGER) AS bin,
+  count(*) AS n, {r6('any_value(lo)')} AS lo, {r6('any_value(hi)')} AS hi
+FROM long l JOIN rng USING (stabf, feature) WHERE value IS NOT NULL
+GROUP BY ALL""")
+def q_class_histogram(spark, sf):
+    return _r6(profile.class_histogram(readings(spark, sf), R, "stabf"))
+
+
+@query("correlation_pairs", with_views("readings") + union_all([
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r6(f'corr({a}, {b})')} AS corr "
+    f"FROM readings" for i, a in enumerate(R) for b in R[i + 1:]]))
+def q_correlation_pairs(spark, sf):
+    return _r6(profile.correlation_pairs(readings(spark, sf), R))
+
+
+@query("boxplot_by_class", with_views("readings") + f""",
+long AS ({unpivot_sql('readings', ['stabf'], R)}),
+q AS (SELECT stabf, feature, quantile_cont(value, 0.25) AS q1,
+             quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3
+      FROM long WHERE value IS NOT NULL GROUP BY stabf, feature)
+SELECT stabf, feature, {r6('any_value(q1)')} AS q1, {r6('any_value(median)')} AS median,
+  {r6('any_value(q3)')} AS q3,
+  {r6('min(CASE WHEN value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN value END)')}
+    AS whisker_low,
+  {r6('max(CASE WHEN value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN value END)')}
+    AS whisker_high,
+  count_if(NOT (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))) AS n_outliers
+FROM long JOIN q USING (stabf, feature) WHERE value IS NOT NULL GROUP BY stabf, feature""")
+def q_boxplot_by_class(spark, sf):
+    return _r6(profile.boxplot_stats(readings(spark, sf), R, "stabf"))
+
+
+# ---------------------------------------------------------------- cleaning --
+@query("impute_median", with_views("readings") + imputed_sql() + "SELECT seq, "
+       + ", ".join(f"{r6(c)} AS {c}" for c in R) + " FROM imputed")
+def q_impute_median(spark, sf):
+    return _r6(imputed_readings(spark, sf).select("seq", *R))
+
+
+def _capped_sql() -> str:
+    caps = ["p1", "p2", "p3", "p4", "stab"]
+    b = ", ".join(f"quantile_cont({c}, 0.25) AS {c}_q1, quantile_cont({c}, 0.75) AS {c}_q3"
+                  for c in caps)
+    sel = ", ".join(
+        f"greatest(least({c}, {c}_q3 + 3 * ({c}_q3 - {c}_q1)), {c}_q1 - 3 * ({c}_q3 - {c}_q1)) AS {c}"
+        for c in caps)
+    return (with_views("readings") + imputed_sql()
+            + f", b AS (SELECT {b} FROM imputed),\n"
+            + f"capped AS (SELECT seq, tau1, tau2, tau3, tau4, {sel}, g1, g2, g3, g4, "
+            + "CAST(stabf = 'unstable' AS INTEGER) AS stabf FROM imputed, b)\n")
+
+
+@query("cap_iqr", _capped_sql() + "SELECT seq, " + ", ".join(f"{r6(c)} AS {c}" for c in R)
+       + ", stabf FROM capped")
+def q_cap_iqr(spark, sf):
+    return _r6(clean.clean_readings(readings(spark, sf)))
+
+
+@query("iqr_outliers", with_views("readings") + f""",
+long AS ({unpivot_sql('readings', [], ['p1', 'p2', 'p3', 'p4'])}),
+b AS (SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+      FROM long WHERE value IS NOT NULL GROUP BY feature)
+SELECT feature, {r6('any_value(q1)')} AS q1, {r6('any_value(q3)')} AS q3,
+  {r6('any_value(q3 - q1)')} AS iqr, {r6('any_value(q1 - 3 * (q3 - q1))')} AS lower,
+  {r6('any_value(q3 + 3 * (q3 - q1))')} AS upper,
+  count_if(value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1)) AS n_outliers
+FROM long JOIN b USING (feature) GROUP BY feature""")
+def q_iqr_outliers(spark, sf):
+    return _r6(clean.outlier_counts(readings(spark, sf), ["p1", "p2", "p3", "p4"]))
+
+
+@query("drop_null_rows", with_views("readings") + """
+SELECT count(*) AS n_rows,
+  count_if(""" + " AND ".join(f"{c} IS NOT NULL" for c in R) + """) AS n_kept,
+  count_if(""" + " OR ".join(f"{c} IS NULL" for c in R) + """) AS n_dropped
+FROM readings""")
+def q_drop_null_rows(spark, sf):
+    r = readings(spark, sf)
+    clean.require_columns(r, R)
+    return clean.null_drop_summary(r, R)
+
+
+# ---------------------------------------------------------------- temporal --
+def temporal_sql(src: str, keys: list[str], order: list[str], rolling, lag_cols,
+                 windows=ROLL_WINDOWS, lags=LAGS, rate=True) -> list[str]:
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    w = f"({part}ORDER BY {', '.join(order)})"
+    out = []
+    for c in rolling:
+        for n in windows:
+            fr = f"({part}ORDER BY {', '.join(order)} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+            out += [f"{r6(f'avg({c}) OVER {fr}')} AS roll_mean_{c}_w{n}",
+                    f"{r6(f'coalesce(stddev_samp({c}) OVER {fr}, 0)')} AS roll_std_{c}_w{n}",
+                    f"{r6(f'min({c}) OVER {fr}')} AS roll_min_{c}_w{n}",
+                    f"{r6(f'max({c}) OVER {fr}')} AS roll_max_{c}_w{n}"]
+    if rate:
+        out += [f"{r6(f'coalesce({c} - lag({c}, 1) OVER {w}, 0)')} AS roc_{c}" for c in rolling]
+    cnt = f"count(*) OVER ({part.strip()})" if keys else "count(*) OVER ()"
+    for c in lag_cols:
+        for k in lags:
+            out.append(r6(f"CASE WHEN row_number() OVER {w} <= {k} THEN "
+                          f"(CASE WHEN {cnt} <= {k} THEN {c} ELSE first_value({c}) OVER {w} END) "
+                          f"ELSE lag({c}, {k}) OVER {w} END") + f" AS lag{k}_{c}")
+    return out
+
+
+_EV_KEYS, _EV_ORDER = ["user_id"], ["ts", "event_id"]
+
+
+def _events_temporal(spark, sf, rolling, lag_cols, rate, windows=ROLL_WINDOWS):
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    out = temporal.temporal_features(ev, _EV_ORDER, _EV_KEYS, rolling=rolling,
+                                     lag_cols=lag_cols, windows=windows, rate=rate)
+    names = temporal.feature_names(rolling, lag_cols, windows, LAGS, rate)
+    return _r6(out.select("event_id", "user_id", *names))
+
+
+def _ev_sql(rolling, lag_cols, rate):
+    cols = temporal_sql("events", _EV_KEYS, _EV_ORDER, rolling, lag_cols, rate=rate)
+    return f"SELECT event_id, user_id, {', '.join(cols)} FROM events"
+
+
+@query("rolling_stats", _ev_sql(["value"], [], False))
+def q_rolling_stats(spark, sf):
+    return _events_temporal(spark, sf, ["value"], [], False)
+
+
+@query("rate_of_change", "SELECT event_id, user_id, "
+       + r6("coalesce(value - lag(value, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0)")
+       + " AS roc_value FROM events")
+def q_rate_of_change(spark, sf):
+    return _events_temporal(spark, sf, ["value"], [], True, windows=[]) \
+        .select("event_id", "user_id", "roc_value")
+
+
+@query("lag_features", _ev_sql([], ["value"], False))
+def q_lag_features(spark, sf):
+    return _events_temporal(spark, sf, [], ["value"], False)
+
+
+_TEMPORAL_NAMES = temporal.feature_names(ROLLING_FEATURES, LAG_FEATURES)
+
+
+def _readings_temporal_sql() -> str:
+    cols = temporal_sql("imputed", [], ["seq"], ROLLING_FEATURES, LAG_FEATURES)
+    return (with_views("readings") + imputed_sql()
+            + f"SELECT seq, {', '.join(cols)} FROM imputed")
+
+
+@query("temporal_all", _readings_temporal_sql())
+def q_temporal_all(spark, sf):
+    r = imputed_readings(spark, sf)
+    out = temporal.temporal_features(r, ["seq"])
+    return _r6(out.select("seq", *_TEMPORAL_NAMES))
+
+
+@query("halo_rolling", _readings_temporal_sql())
+def q_halo_rolling(spark, sf):
+    # Small blocks so that the look-back/look-ahead copies are exercised on
+    # every block boundary of the test tables; results are independent of it.
+    r = imputed_readings(spark, sf)
+    out = temporal.temporal_features(r, ["seq"], block_rows=997)
+    return _r6(out.select("seq", *_TEMPORAL_NAMES))
