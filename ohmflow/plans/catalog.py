@@ -224,3 +224,198 @@ def q_halo_rolling(spark, sf):
     r = imputed_readings(spark, sf)
     out = temporal.temporal_features(r, ["seq"], block_rows=997)
     return _r6(out.select("seq", *_TEMPORAL_NAMES))
+
+
+# ------------------------------------------------------- baseline & alerts --
+from ..operators import alerts, graph  # noqa: E402
+from ..operators.baseline import baseline_stats, feature_ranges, with_zscores  # noqa: E402
+from ..functions.scalar import risk_tier  # noqa: E402
+from .flagship import FLAGSHIP_SQL, flagship  # noqa: E402
+
+
+def cleaned_readings(spark, sf):
+    return clean.clean_readings(readings(spark, sf))
+
+
+def stable_baseline(spark, sf):
+    return baseline_stats(cleaned_readings(spark, sf), R, label="stabf", stable_value=0)
+
+
+_STATS_SQL = _capped_sql() + f""",
+stable_long AS ({unpivot_sql('capped WHERE stabf = 0', [], R)}),
+stats AS (SELECT feature, avg(value) AS mean, greatest(stddev_samp(value), 1e-6) AS std,
+                 quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75,
+                 min(value) AS min, max(value) AS max
+          FROM stable_long GROUP BY feature)
+"""
+
+
+@query("flagship_critical", FLAGSHIP_SQL)
+def q_flagship(spark, sf):
+    return flagship(spark, sf)
+
+
+@query("stable_stats", _STATS_SQL + "SELECT feature, " + ", ".join(
+    f"{r6(c)} AS {c}" for c in ("mean", "std", "p25", "p75", "min", "max")) + " FROM stats")
+def q_stable_stats(spark, sf):
+    return _r6(stable_baseline(spark, sf))
+
+
+@query("feature_ranges", _STATS_SQL + "SELECT feature, " + ", ".join(
+    f"(round({c} * 10000.0) / 10000.0 + 0.0) AS {c}" for c in ("min", "max", "p25", "p75", "mean"))
+    + " FROM stats")
+def q_feature_ranges(spark, sf):
+    return feature_ranges(stable_baseline(spark, sf))
+
+
+_Z_SQL = _STATS_SQL + f""",
+zl AS (SELECT c.seq, c.stabf, l.feature, (l.value - s.mean) / s.std AS z
+       FROM ({unpivot_sql('capped', ['seq', 'stabf'], R)}) l
+       JOIN capped c USING (seq) JOIN stats s USING (feature))
+"""
+
+
+def zscored(spark, sf):
+    c = cleaned_readings(spark, sf)
+    base = baseline_stats(c, R, label="stabf", stable_value=0, quartiles=False)
+    return with_zscores(c, base, R)
+
+
+@query("zscores_long", _STATS_SQL + f"""
+SELECT l.seq, l.feature, {r6('(l.value - s.mean) / s.std')} AS z
+FROM ({unpivot_sql('capped', ['seq'], R)}) l JOIN stats s USING (feature)""")
+def q_zscores_long(spark, sf):
+    z = zscored(spark, sf)
+    return _r6(z.select("seq", *[F.col(f"z_{c}").alias(c) for c in R])
+               .unpivot(["seq"], R, "feature", "z"))
+
+
+@query("top_deviations", _STATS_SQL + f""",
+zl AS (SELECT l.seq, l.feature, (l.value - s.mean) / s.std AS z,
+         list_position({R!r}, l.feature) AS o
+       FROM ({unpivot_sql('capped', ['seq'], R)}) l JOIN stats s USING (feature))
+SELECT seq, rank, feature, {r6('round(z * 100.0) / 100.0')} AS z_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY seq ORDER BY abs(z) DESC, o) AS rank FROM zl)
+WHERE rank <= 3""")
+def q_top_deviations(spark, sf):
+    z = zscored(spark, sf)
+    top = alerts.top_deviations([f"z_{c}" for c in R])
+    return (z.select("seq", F.posexplode(top).alias("rank", "d"))
+            .select("seq", (F.col("rank") + 1).alias("rank"), F.col("d.feature").alias("feature"),
+                    F.col("d.z_score").alias("z_score")))
+
+
+def _node_sql() -> str:
+    parts = []
+    for node, tau, p, g in [(0, "tau1", "p1", "g1"), (1, "tau2", "p2", "g2"),
+                            (2, "tau3", "p3", "g3"), (3, "tau4", "p4", "g4")]:
+        plabel = "Power Output" if node == 0 else "Power Demand"
+        parts.append(f"""SELECT seq, {node} AS node, z_{tau} AS zt, z_{p} AS zp, z_{g} AS zg,
+          '{plabel}' AS plabel FROM zw""")
+    piv = ", ".join(f"max(CASE WHEN feature = '{c}' THEN z END) AS z_{c}" for c in R)
+    return _Z_SQL + f""",
+zw AS (SELECT seq, {piv} FROM zl GROUP BY seq),
+nodes AS ({union_all(parts)}),
+k AS (SELECT *, CASE WHEN abs(zt) >= 1.5 THEN abs(zt) ELSE -1 END AS at_,
+        CASE WHEN abs(zp) >= 1.5 THEN abs(zp) ELSE -1 END AS ap_,
+        CASE WHEN abs(zg) >= 1.5 THEN abs(zg) ELSE -1 END AS ag_ FROM nodes),
+worst AS (SELECT *,
+  CASE WHEN at_ >= 0 AND at_ >= ap_ AND at_ >= ag_ THEN 'Reaction Time'
+       WHEN ap_ >= 0 AND ap_ >= ag_ THEN plabel
+       WHEN ag_ >= 0 THEN 'Grid Cooperation' END AS wl,
+  CASE WHEN at_ >= 0 AND at_ >= ap_ AND at_ >= ag_ THEN zt
+       WHEN ap_ >= 0 AND ap_ >= ag_ THEN zp
+       WHEN ag_ >= 0 THEN zg END AS wz FROM k)
+SELECT seq, node, {r6('greatest(abs(zt), abs(zp), abs(zg))')} AS max_abs_z,
+  CASE WHEN greatest(abs(zt), abs(zp), abs(zg)) < 1.5 THEN 'Normal'
+       WHEN greatest(abs(zt), abs(zp), abs(zg)) < 2.5 THEN 'Elevated' ELSE 'Critical' END AS status,
+  wl AS worst_sensor,
+  CASE WHEN wl IS NULL THEN NULL WHEN abs(wz) >= 2.5 THEN 'Critical' ELSE 'Elevated' END
+    AS alert_tier,
+  CASE WHEN wl IS NULL THEN NULL ELSE printf('%s is %s (%.2fσ)', wl,
+       CASE WHEN wz > 0 THEN 'too high' ELSE 'too low' END, round(wz * 100.0) / 100.0) END
+    AS message
+FROM worst"""
+
+
+@query("node_status", _node_sql())
+def q_node_status(spark, sf):
+    z = zscored(spark, sf)
+    return _r6(alerts.node_status(z, ["seq"]))
+
+
+@query("risk_tier", with_views("scored_fixture") + f"""
+SELECT seq, {r6('RF_prob')} AS RF_prob, {r6('XGBoost_prob')} AS XGBoost_prob,
+  {r6('ensemble_prob')} AS ensemble_prob, ensemble_label, risk_tier FROM scored_fixture""")
+def q_risk_tier(spark, sf):
+    s = scored_fixture(spark, sf)
+    return _r6(s.select("seq", "RF_prob", "XGBoost_prob", "ensemble_prob", "ensemble_label",
+                        risk_tier(F.col("ensemble_prob")).alias("risk_tier")))
+
+
+@query("recent_history", f"""
+SELECT event_id, user_id,
+  count(*) OVER w AS hist_len, {r6('sum(value) OVER w')} AS hist_sum,
+  {r6('max(value) OVER w')} AS hist_max
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id
+                         ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
+def q_recent_history(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    h = temporal.recent_history(ev, ["ts", "event_id"], ["user_id"], "value", rows=60)
+    return _r6(h.select("event_id", "user_id", F.size("history").cast("long").alias("hist_len"),
+                        F.aggregate("history", F.lit(0.0), lambda a, x: a + x).alias("hist_sum"),
+                        F.array_max("history").alias("hist_max")))
+
+
+@query("sticky_alert", f"""
+WITH s AS (SELECT avg(value) AS m, greatest(stddev_samp(value), 1e-6) AS sd FROM events),
+e AS (SELECT event_id, user_id, ts, (value - m) / sd AS z FROM events, s),
+b AS (SELECT *, abs(z) >= 1.5 AS breach,
+        CASE WHEN abs(z) >= 1.5 THEN printf('%s is %s (%.2fσ)', 'Reading',
+             CASE WHEN z > 0 THEN 'too high' ELSE 'too low' END, round(z * 100.0) / 100.0) END
+          AS msg, epoch_us(ts) AS t FROM e)
+SELECT event_id, user_id,
+  last_value(msg IGNORE NULLS) OVER w AS active_alert,
+  {r6('(t - last_value(CASE WHEN breach THEN t END IGNORE NULLS) OVER w) / 1000000.0')}
+    AS alert_age_s
+FROM b WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 10000000 PRECEDING
+                    AND CURRENT ROW)""")
+def q_sticky_alert(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    base = baseline_stats(ev, ["value"], label=None, quartiles=False)
+    z = with_zscores(ev, base, ["value"])
+    zc = F.col("z_value")
+    breach = F.abs(zc) >= F.lit(1.5)
+    msg = F.format_string("%s is %s (%.2fσ)", F.lit("Reading"),
+                          F.when(zc > 0, F.lit("too high")).otherwise(F.lit("too low")),
+                          round_cols_expr(zc))
+    out = alerts.sticky_alert(z, "ts", ["user_id"], breach, msg)
+    return _r6(out.select("event_id", "user_id", "active_alert", "alert_age_s"))
+
+
+def round_cols_expr(c):
+    from ..operators.common import rounded
+    return rounded(c, 2)
+
+
+def _edge_sql() -> str:
+    loads = [f"least(abs(p{i + 1}) / (abs(g1) + abs(g{i + 1}) + 1e-9), 1.0)" for i in (1, 2, 3)]
+    cols = [f"{3 if n == 0 else 1} AS node{n}_degree, "
+            f"CAST({1.0 if n == 0 else 0.0} AS DOUBLE) AS node{n}_betweenness, "
+            f"CAST(0.0 AS DOUBLE) AS node{n}_clustering" for n in range(4)]
+    cols += [f"{r6(l)} AS edge_load_0_{i}" for i, l in zip((1, 2, 3), loads)]
+    cols.append(f"{r6('(' + ' + '.join(loads) + ') / 3.0')} AS avg_edge_load")
+    return _capped_sql() + "SELECT seq, " + ", ".join(cols) + " FROM capped"
+
+
+@query("edge_load", _edge_sql())
+def q_edge_load(spark, sf):
+    g = graph.graph_features(cleaned_readings(spark, sf))
+    return _r6(g.select("seq", *graph.GRAPH_FEATURES))
+
+
+@query("node_degree", _capped_sql() + """
+SELECT seq, node, count(*) AS degree FROM (
+  SELECT seq, unnest([0, 0, 0, 1, 2, 3]) AS node FROM capped) GROUP BY seq, node""")
+def q_node_degree(spark, sf):
+    return graph.node_degree(graph.grid_edges(cleaned_readings(spark, sf)))
