@@ -419,3 +419,118 @@ SELECT seq, node, count(*) AS degree FROM (
   SELECT seq, unnest([0, 0, 0, 1, 2, 3]) AS node FROM capped) GROUP BY seq, node""")
 def q_node_degree(spark, sf):
     return graph.node_degree(graph.grid_edges(cleaned_readings(spark, sf)))
+
+
+# -------------------------------------------------------------- preparation --
+from ..operators import prepare  # noqa: E402
+
+
+def _u_sql(id_col: str = "seq", seed: int = 42) -> str:
+    return (f"(('0x' || substr(md5(CAST({id_col} AS VARCHAR) || '|' || '{seed}'), 1, 8))"
+            f"::BIGINT / 4294967296.0)")
+
+
+_SPLIT_SQL = _capped_sql() + f""",
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stabf ORDER BY {_u_sql()}, seq) - 1 AS rk,
+                  count(*) OVER (PARTITION BY stabf) AS n FROM capped),
+splits AS (SELECT *, CASE WHEN rk < round(n * 0.15) THEN 'test'
+    WHEN rk < round(n * 0.15) + round((n - round(n * 0.15)) * 0.1765) THEN 'val'
+    ELSE 'train' END AS split FROM ranked)
+"""
+
+
+def split_readings(spark, sf):
+    return prepare.stratified_split(cleaned_readings(spark, sf), "stabf", "seq")
+
+
+@query("stratified_split", _SPLIT_SQL + "SELECT seq, stabf, split FROM splits")
+def q_stratified_split(spark, sf):
+    return split_readings(spark, sf).select("seq", "stabf", "split")
+
+
+@query("split_summary", _SPLIT_SQL + f"""
+SELECT split, count(*) AS n, {r6('avg(stabf)')} AS positive_rate FROM splits GROUP BY split""")
+def q_split_summary(spark, sf):
+    from ..operators.profile import split_sizes
+    return _r6(split_sizes(split_readings(spark, sf), "split", "stabf"))
+
+
+@query("stratified_split_80_20", _capped_sql() + f""",
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stabf ORDER BY {_u_sql()}, seq) - 1 AS rk,
+                  count(*) OVER (PARTITION BY stabf) AS n FROM capped)
+SELECT seq, stabf, CASE WHEN rk < round(n * 0.2) THEN 'test' ELSE 'train' END AS split
+FROM ranked""")
+def q_split_80_20(spark, sf):
+    return prepare.stratified_split(cleaned_readings(spark, sf), "stabf", "seq",
+                                    test=0.2, val=0.0).select("seq", "stabf", "split")
+
+
+@query("kfold_ids", _capped_sql() + f"""
+SELECT seq, stabf, CAST((row_number() OVER (PARTITION BY stabf ORDER BY {_u_sql()}, seq) - 1)
+       % 5 AS INTEGER) AS fold FROM capped""")
+def q_kfold_ids(spark, sf):
+    return prepare.stratified_folds(cleaned_readings(spark, sf), "stabf", "seq") \
+        .select("seq", "stabf", "fold")
+
+
+@query("timeseries_folds", with_views("readings") + """,
+o AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS position, count(*) OVER () AS n
+      FROM readings),
+p AS (SELECT *, n - 5 * (n // 6) AS s0, n // 6 AS t FROM o)
+SELECT seq, position,
+  CAST(CASE WHEN position >= s0 THEN floor((position - s0) / t) END AS INTEGER) AS test_fold,
+  CAST(CASE WHEN greatest(0, floor((position - s0) / t) + 1) < 5
+       THEN greatest(0, floor((position - s0) / t) + 1) END AS INTEGER) AS first_train_fold
+FROM p""")
+def q_timeseries_folds(spark, sf):
+    return prepare.time_series_folds(readings(spark, sf).select("seq"), ["seq"]) \
+        .select("seq", "position", "test_fold", "first_train_fold")
+
+
+def _scale_sql(kind: str) -> str:
+    if kind == "std":
+        fit = ", ".join(f"avg({c}) AS {c}_c, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 "
+                        f"ELSE stddev_pop({c}) END AS {c}_s" for c in R)
+    else:
+        fit = ", ".join(f"min({c}) AS {c}_c, CASE WHEN max({c}) - min({c}) = 0 THEN 1.0 "
+                        f"ELSE max({c}) - min({c}) END AS {c}_s" for c in R)
+    cols = ", ".join(f"{r6(f'({c} - {c}_c) / {c}_s')} AS {c}" for c in R)
+    return (_SPLIT_SQL + f", params AS (SELECT {fit} FROM splits WHERE split = 'train')\n"
+            + f"SELECT seq, split, {cols} FROM splits, params")
+
+
+def _scaled(spark, sf, kind):
+    s = split_readings(spark, sf)
+    train = s.where(F.col("split") == "train")
+    params = prepare.fit_standard(train, R) if kind == "std" else prepare.fit_minmax(train, R)
+    return _r6(prepare.apply_scaler(s, params, R).select("seq", "split", *R))
+
+
+@query("standard_scale", _scale_sql("std"))
+def q_standard_scale(spark, sf):
+    return _scaled(spark, sf, "std")
+
+
+@query("minmax_scale", _scale_sql("mm"))
+def q_minmax_scale(spark, sf):
+    return _scaled(spark, sf, "mm")
+
+
+def _scaled_means_sql() -> str:
+    base = _scale_sql("std").replace("SELECT seq, split, ", ", scaled AS (SELECT seq, split, ", 1)
+    base = base.replace(", params AS", ", params AS", 1) + " WHERE split = 'train')\n"
+    parts = [f"SELECT '{c}' AS feature, (round(avg({c}) * 10000.0) / 10000.0 + 0.0) AS mean "
+             f"FROM scaled" for c in R]
+    return base + union_all(parts)
+
+
+@query("scaled_means", _scaled_means_sql())
+def q_scaled_means(spark, sf):
+    """Means of the standard-scaled train columns (≈ 0), 4 decimals."""
+    from ..operators.common import rounded
+    from ..operators.profile import column_means
+    s = split_readings(spark, sf)
+    train = s.where(F.col("split") == "train")
+    scaled = prepare.apply_scaler(train, prepare.fit_standard(train, R), R)
+    m = column_means(scaled, R)
+    return m.select("feature", (rounded(F.col("mean"), 4) + F.lit(0.0)).alias("mean"))
