@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -71,3 +71,34 @@ def with_blocks(df: DataFrame, ord_col: str, block_rows: int, back: int, ahead:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def cumulative_sums(df: DataFrame, group: Sequence[str], order: Sequence[str],
+                    values: Sequence[str], prefix: str = "cum_",
+                    num_partitions: int | None = None) -> DataFrame:
+    """Running totals of ``values`` inside each ``group`` in ``order`` (inclusive),
+    without one task per group: range-partition by (group, order) and
+    checkpoint; per (partition, group) totals — at most P + G rows — give the
+    offsets; the running sum inside a partition is a window per (partition,
+    group), bounded by the partition size. ``order`` must be unique in a group
+    (pre-aggregate ties)."""
+    group, order = list(group), list(order)
+    n = _partitions(df, num_partitions)
+    ensure_checkpoint_dir(df.sparkSession)
+    keys = group + order
+    fixed = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+             .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
+    tot = fixed.groupBy("_pid", *group).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    before = (Window.partitionBy(*group).orderBy("_pid")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offs = tot.select("_pid", *group, *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0))
+                                        .alias(f"_o_{v}") for v in values])
+    inside = (Window.partitionBy("_pid", *group).orderBy(*order)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # null-safe group keys: offsets join on (partition, group)
+    joined = fixed.join(offs, ["_pid", *group], "left") if group else \
+        fixed.join(F.broadcast(offs), "_pid", "left")
+    return joined.select(
+        *[c for c in df.columns],
+        *[(F.coalesce(F.col(f"_o_{v}"), F.lit(0)) + F.sum(v).over(inside)).alias(f"{prefix}{v}")
+          for v in values])

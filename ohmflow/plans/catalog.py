@@ -534,3 +534,174 @@ def q_scaled_means(spark, sf):
     scaled = prepare.apply_scaler(train, prepare.fit_standard(train, R), R)
     m = column_means(scaled, R)
     return m.select("feature", (rounded(F.col("mean"), 4) + F.lit(0.0)).alias("mean"))
+
+
+# ------------------------------------------------------------------ metrics --
+from ..operators import metrics  # noqa: E402
+
+MODELS = ["RF_prob", "XGBoost_prob", "ensemble_prob"]
+
+
+def scored_long(spark, sf):
+    s = scored_fixture(spark, sf)
+    return s.select("seq", "_true_label", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.col(m).alias("prob")) for m in MODELS])))
+
+
+_LONG_SQL = with_views("scored_fixture") + f""",
+long AS ({union_all([f"SELECT seq, _true_label AS y, '{m}' AS model, {m} AS prob FROM scored_fixture"
+                     for m in MODELS])})
+"""
+
+
+def _curve_sql(src: str, by: str) -> str:
+    """CTE ``c``: per (by, distinct score) running TP/FP (descending) and totals."""
+    part = f"PARTITION BY {by} " if by else ""
+    grp = f"{by}, " if by else ""
+    return f""",
+st AS (SELECT {grp}prob AS score, sum(y) AS pos, sum(1 - y) AS neg FROM {src} GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER ({part}ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_pos,
+        sum(neg) OVER ({part}ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_neg,
+        sum(pos) OVER ({part.strip()}) AS P, sum(neg) OVER ({part.strip()}) AS N FROM st)
+"""
+
+
+@query("confusion_matrix", with_views("scored_fixture") + """,
+cells AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(truth, predicted)),
+cnt AS (SELECT _true_label AS truth, ensemble_label AS predicted, count(*) AS n
+        FROM scored_fixture GROUP BY ALL)
+SELECT truth, predicted, coalesce(n, 0) AS n FROM cells LEFT JOIN cnt USING (truth, predicted)""")
+def q_confusion_matrix(spark, sf):
+    return metrics.confusion(scored_fixture(spark, sf), "_true_label", "ensemble_label")
+
+
+def _report_sql() -> str:
+    def sr(a, b):
+        return f"CASE WHEN ({b}) = 0 THEN 0.0 ELSE ({a}) / ({b}) END"
+    p0, r0 = sr("tn", "tn + fn"), sr("tn", "tn + fp")
+    p1, r1 = sr("tp", "tp + fp"), sr("tp", "tp + fn")
+
+    def f(p, r):
+        return f"CASE WHEN ({p}) + ({r}) = 0 THEN 0.0 ELSE 2.0 * ({p}) * ({r}) / (({p}) + ({r})) END"
+    f0, f1 = f(p0, r0), f(p1, r1)
+    tot = "(tp + fp + fn + tn)"
+    s0, s1 = "(tn + fp)", "(tp + fn)"
+    rows = [
+        f"SELECT '0' AS class, {r6(p0)} AS precision, {r6(r0)} AS recall, {r6(f0)} AS f1, "
+        f"CAST({s0} AS BIGINT) AS support FROM k",
+        f"SELECT '1', {r6(p1)}, {r6(r1)}, {r6(f1)}, CAST({s1} AS BIGINT) FROM k",
+        f"SELECT 'accuracy', NULL, NULL, {r6(sr('tp + tn', tot))}, CAST({tot} AS BIGINT) FROM k",
+        f"SELECT 'macro avg', {r6(f'(({p0}) + ({p1})) / 2')}, {r6(f'(({r0}) + ({r1})) / 2')}, "
+        f"{r6(f'(({f0}) + ({f1})) / 2')}, CAST({tot} AS BIGINT) FROM k",
+        f"SELECT 'weighted avg', {r6(sr(f'({p0}) * {s0} + ({p1}) * {s1}', tot))}, "
+        f"{r6(sr(f'({r0}) * {s0} + ({r1}) * {s1}', tot))}, "
+        f"{r6(sr(f'({f0}) * {s0} + ({f1}) * {s1}', tot))}, CAST({tot} AS BIGINT) FROM k"]
+    return with_views("scored_fixture") + """,
+k AS (SELECT count_if(_true_label = 1 AND ensemble_label = 1) AS tp,
+             count_if(_true_label = 0 AND ensemble_label = 1) AS fp,
+             count_if(_true_label = 1 AND ensemble_label = 0) AS fn,
+             count_if(_true_label = 0 AND ensemble_label = 0) AS tn FROM scored_fixture)
+""" + union_all(rows)
+
+
+@query("classification_report", _report_sql())
+def q_classification_report(spark, sf):
+    return _r6(metrics.classification_report(scored_fixture(spark, sf), "_true_label",
+                                             "ensemble_label"))
+
+
+_BIN_SQL = """
+SELECT {r6acc} AS accuracy, {f1s} AS f1_stable, {f1u} AS f1_unstable, {mcc} AS mcc FROM k"""
+
+
+@query("binary_metrics", with_views("scored_fixture") + """,
+k AS (SELECT CAST(count_if(_true_label = 1 AND ensemble_label = 1) AS DOUBLE) AS tp,
+             CAST(count_if(_true_label = 0 AND ensemble_label = 1) AS DOUBLE) AS fp,
+             CAST(count_if(_true_label = 1 AND ensemble_label = 0) AS DOUBLE) AS fn,
+             CAST(count_if(_true_label = 0 AND ensemble_label = 0) AS DOUBLE) AS tn
+      FROM scored_fixture)
+SELECT """ + ", ".join([
+    f"{r6('(tp + tn) / (tp + tn + fp + fn)')} AS accuracy",
+    f"{r6('2 * tn / (2 * tn + fp + fn)')} AS f1_stable",
+    f"{r6('2 * tp / (2 * tp + fp + fn)')} AS f1_unstable",
+    r6("CASE WHEN sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) = 0 THEN 0.0 ELSE "
+       "(tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END") + " AS mcc"])
+    + " FROM k")
+def q_binary_metrics(spark, sf):
+    return _r6(metrics.binary_metrics(scored_fixture(spark, sf), "_true_label", "ensemble_label"))
+
+
+@query("roc_auc", _LONG_SQL + _curve_sql("long", "model") + f"""
+SELECT model, {r6('sum(neg * (2 * cum_pos - pos) / 2.0) / (any_value(P) * any_value(N))')}
+  AS roc_auc FROM c GROUP BY model""")
+def q_roc_auc(spark, sf):
+    return _r6(metrics.roc_auc(scored_long(spark, sf), "_true_label", "prob", by=["model"]))
+
+
+@query("average_precision", _LONG_SQL + _curve_sql("long", "model") + f"""
+SELECT model, {r6('sum(pos * (cum_pos / (cum_pos + cum_neg))) / any_value(P)')}
+  AS average_precision FROM c GROUP BY model""")
+def q_average_precision(spark, sf):
+    return _r6(metrics.average_precision(scored_long(spark, sf), "_true_label", "prob",
+                                         by=["model"]))
+
+
+_EV_LONG = """
+WITH ev AS (SELECT CAST(event_type = 'error' AS INTEGER) AS y, value AS prob FROM events)"""
+
+
+@query("roc_auc_events", _EV_LONG + _curve_sql("ev", "") + f"""
+SELECT {r6('sum(neg * (2 * cum_pos - pos) / 2.0) / (any_value(P) * any_value(N))')} AS roc_auc,
+  {r6('sum(pos * (cum_pos / (cum_pos + cum_neg))) / any_value(P)')} AS average_precision
+FROM c""")
+def q_roc_auc_events(spark, sf):
+    ev = table(spark, sf, "events").select(
+        (F.col("event_type") == "error").cast("int").alias("y"), F.col("value").alias("prob"))
+    roc = metrics.roc_auc(ev, "y", "prob")
+    ap = metrics.average_precision(ev, "y", "prob")
+    return _r6(attach_row_df(roc, ap))
+
+
+def attach_row_df(a, b):
+    from ..operators.common import attach_row
+    return attach_row(a, b)
+
+
+@query("best_threshold", _LONG_SQL + _curve_sql("long", "model") + f""",
+pr AS (SELECT model, score AS threshold, cum_pos / (cum_pos + cum_neg) AS precision,
+         cum_pos / P AS recall FROM c),
+f AS (SELECT *, 2.0 * precision * recall / (precision + recall + 1e-12) AS f1 FROM pr)
+SELECT model, {r6('threshold')} AS threshold, {r6('precision')} AS precision,
+  {r6('recall')} AS recall, {r6('f1')} AS f1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY model ORDER BY recall >= 0.9 DESC, f1 DESC,
+                               threshold) AS rk FROM f) WHERE rk = 1""")
+def q_best_threshold(spark, sf):
+    return _r6(metrics.best_threshold(scored_long(spark, sf), "_true_label", "prob",
+                                      by=["model"]))
+
+
+@query("calibration_curve", with_views("scored_fixture") + """,
+e AS (SELECT """ + ", ".join(f"quantile_cont(ensemble_prob, {i / 10}) AS e{i}"
+                             for i in range(1, 10)) + """ FROM scored_fixture),
+b AS (SELECT _true_label, ensemble_prob, """ + " + ".join(
+    f"CAST(ensemble_prob > e{i} AS INTEGER)" for i in range(1, 10)) + """ AS bin
+      FROM scored_fixture, e)
+SELECT bin, """ + r6("avg(ensemble_prob)") + " AS mean_predicted_probability, "
+       + r6("avg(_true_label)") + """ AS fraction_of_positives, count(*) AS n
+FROM b GROUP BY bin""")
+def q_calibration_curve(spark, sf):
+    return _r6(metrics.calibration_curve(scored_fixture(spark, sf), "_true_label",
+                                         "ensemble_prob"))
+
+
+@query("cluster_naming", with_views("scored_fixture") + f"""
+SELECT cluster_id, {r6('fault_rate')} AS fault_rate, rank,
+  coalesce(['normal operation', 'pre-fault stress', 'active fault'][rank], 'unknown') AS name
+FROM (SELECT cluster_id, avg(_true_label) AS fault_rate,
+        row_number() OVER (ORDER BY avg(_true_label), cluster_id) AS rank
+      FROM scored_fixture GROUP BY cluster_id)""")
+def q_cluster_naming(spark, sf):
+    from ..schema import CLUSTER_NAMES
+    c = metrics.cluster_names(scored_fixture(spark, sf), "cluster_id", "_true_label",
+                              CLUSTER_NAMES)
+    return _r6(c.withColumn("rank", F.col("rank").cast("long")))
