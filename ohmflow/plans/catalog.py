@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, profile, temporal
 from ..operators.common import round_cols
-from ..schema import LAG_FEATURES, RAW_FEATURES, ROLL_WINDOWS, LAGS, ROLLING_FEATURES
-from ..sources.fixtures import readings, scored_fixture, with_views  # noqa: F401
+from ..schema import (FEATURE_LABELS, LAG_FEATURES, LAGS, RAW_FEATURES, ROLL_WINDOWS,
+                      ROLLING_FEATURES)
+from ..sources.fixtures import SCORED_SQL, readings, scored_fixture, with_views  # noqa: F401
 from ..sources.tables import table
 from .registry import query
 from .sqlgen import r6, union_all, unpivot_sql
@@ -87,7 +88,7 @@ SELECT stabf, feature, {r6('any_value(q1)')} AS q1, {r6('any_value(median)')} AS
     AS whisker_low,
   {r6('max(CASE WHEN value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN value END)')}
     AS whisker_high,
-  count_if(NOT (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))) AS n_outliers
+  CAST(count_if(NOT (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))) AS BIGINT) AS n_outliers
 FROM long JOIN q USING (stabf, feature) WHERE value IS NOT NULL GROUP BY stabf, feature""")
 def q_boxplot_by_class(spark, sf):
     return _r6(profile.boxplot_stats(readings(spark, sf), R, "stabf"))
@@ -126,7 +127,7 @@ b AS (SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.7
 SELECT feature, {r6('any_value(q1)')} AS q1, {r6('any_value(q3)')} AS q3,
   {r6('any_value(q3 - q1)')} AS iqr, {r6('any_value(q1 - 3 * (q3 - q1))')} AS lower,
   {r6('any_value(q3 + 3 * (q3 - q1))')} AS upper,
-  count_if(value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1)) AS n_outliers
+  CAST(count_if(value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1)) AS BIGINT) AS n_outliers
 FROM long JOIN b USING (feature) GROUP BY feature""")
 def q_iqr_outliers(spark, sf):
     return _r6(clean.outlier_counts(readings(spark, sf), ["p1", "p2", "p3", "p4"]))
@@ -134,8 +135,8 @@ def q_iqr_outliers(spark, sf):
 
 @query("drop_null_rows", with_views("readings") + """
 SELECT count(*) AS n_rows,
-  count_if(""" + " AND ".join(f"{c} IS NOT NULL" for c in R) + """) AS n_kept,
-  count_if(""" + " OR ".join(f"{c} IS NULL" for c in R) + """) AS n_dropped
+  CAST(count_if(""" + " AND ".join(f"{c} IS NOT NULL" for c in R) + """) AS BIGINT) AS n_kept,
+  CAST(count_if(""" + " OR ".join(f"{c} IS NULL" for c in R) + """) AS BIGINT) AS n_dropped
 FROM readings""")
 def q_drop_null_rows(spark, sf):
     r = readings(spark, sf)
@@ -301,7 +302,8 @@ def q_top_deviations(spark, sf):
     z = zscored(spark, sf)
     top = alerts.top_deviations([f"z_{c}" for c in R])
     return (z.select("seq", F.posexplode(top).alias("rank", "d"))
-            .select("seq", (F.col("rank") + 1).alias("rank"), F.col("d.feature").alias("feature"),
+            .select("seq", (F.col("rank") + 1).cast("long").alias("rank"),
+                    F.col("d.feature").alias("feature"),
                     F.col("d.z_score").alias("z_score")))
 
 
@@ -597,10 +599,10 @@ def _report_sql() -> str:
         f"{r6(sr(f'({r0}) * {s0} + ({r1}) * {s1}', tot))}, "
         f"{r6(sr(f'({f0}) * {s0} + ({f1}) * {s1}', tot))}, CAST({tot} AS BIGINT) FROM k"]
     return with_views("scored_fixture") + """,
-k AS (SELECT count_if(_true_label = 1 AND ensemble_label = 1) AS tp,
-             count_if(_true_label = 0 AND ensemble_label = 1) AS fp,
-             count_if(_true_label = 1 AND ensemble_label = 0) AS fn,
-             count_if(_true_label = 0 AND ensemble_label = 0) AS tn FROM scored_fixture)
+k AS (SELECT CAST(count_if(_true_label = 1 AND ensemble_label = 1) AS BIGINT) AS tp,
+             CAST(count_if(_true_label = 0 AND ensemble_label = 1) AS BIGINT) AS fp,
+             CAST(count_if(_true_label = 1 AND ensemble_label = 0) AS BIGINT) AS fn,
+             CAST(count_if(_true_label = 0 AND ensemble_label = 0) AS BIGINT) AS tn FROM scored_fixture)
 """ + union_all(rows)
 
 
@@ -615,10 +617,10 @@ SELECT {r6acc} AS accuracy, {f1s} AS f1_stable, {f1u} AS f1_unstable, {mcc} AS m
 
 
 @query("binary_metrics", with_views("scored_fixture") + """,
-k AS (SELECT CAST(count_if(_true_label = 1 AND ensemble_label = 1) AS DOUBLE) AS tp,
-             CAST(count_if(_true_label = 0 AND ensemble_label = 1) AS DOUBLE) AS fp,
-             CAST(count_if(_true_label = 1 AND ensemble_label = 0) AS DOUBLE) AS fn,
-             CAST(count_if(_true_label = 0 AND ensemble_label = 0) AS DOUBLE) AS tn
+k AS (SELECT CAST(CAST(count_if(_true_label = 1 AND ensemble_label = 1) AS BIGINT) AS DOUBLE) AS tp,
+             CAST(CAST(count_if(_true_label = 0 AND ensemble_label = 1) AS BIGINT) AS DOUBLE) AS fp,
+             CAST(CAST(count_if(_true_label = 1 AND ensemble_label = 0) AS BIGINT) AS DOUBLE) AS fn,
+             CAST(CAST(count_if(_true_label = 0 AND ensemble_label = 0) AS BIGINT) AS DOUBLE) AS tn
       FROM scored_fixture)
 SELECT """ + ", ".join([
     f"{r6('(tp + tn) / (tp + tn + fp + fn)')} AS accuracy",
@@ -705,3 +707,154 @@ def q_cluster_naming(spark, sf):
     c = metrics.cluster_names(scored_fixture(spark, sf), "cluster_id", "_true_label",
                               CLUSTER_NAMES)
     return _r6(c.withColumn("rank", F.col("rank").cast("long")))
+
+
+# ---------------------------------------------------------------- dashboard --
+from ..operators import dashboard  # noqa: E402
+
+
+def _feed(spark, sf):
+    return dashboard.feed_order(scored_fixture(spark, sf))
+
+
+_FEED_SQL = with_views("scored_fixture") + """,
+feed AS (SELECT *, row_number() OVER (ORDER BY ensemble_prob, seq) AS row FROM scored_fixture)
+"""
+
+
+@query("upload_summary", with_views("scored_fixture") + """
+SELECT count(*) AS total_rows, CAST(sum(ensemble_label) AS BIGINT) AS fault_count,
+  CAST(count_if(ensemble_label = 0) AS BIGINT) AS stable_count,
+  (round(100.0 * sum(ensemble_label) / count(*) * 10.0) / 10.0 + 0.0) AS fault_pct,
+  (round(avg(ensemble_prob) * 10000.0) / 10000.0 + 0.0) AS mean_prob,
+  (round(max(ensemble_prob) * 10000.0) / 10000.0 + 0.0) AS max_prob,
+  (round(min(ensemble_prob) * 10000.0) / 10000.0 + 0.0) AS min_prob,
+  CAST(count_if(risk_tier = 'Green') AS BIGINT) AS tier_green, CAST(count_if(risk_tier = 'Amber') AS BIGINT) AS tier_amber,
+  CAST(count_if(risk_tier = 'Red') AS BIGINT) AS tier_red,
+  (SELECT CAST(count_if(""" + " OR ".join(f"{c} IS NULL" for c in R) + """) AS BIGINT) FROM readings)
+    AS rows_dropped
+FROM scored_fixture WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in R))
+def q_upload_summary(spark, sf):
+    s = scored_fixture(spark, sf)
+    return dashboard.upload_summary(readings(spark, sf), clean.drop_null_rows(s, R))
+
+
+@query("tier_mix", with_views("scored_fixture") + """
+SELECT t.name, t.ordinal, coalesce(c.value, 0) AS value
+FROM (VALUES ('Green', 0), ('Amber', 1), ('Red', 2)) t(name, ordinal)
+LEFT JOIN (SELECT risk_tier AS name, count(*) AS value FROM scored_fixture GROUP BY 1) c
+USING (name)""")
+def q_tier_mix(spark, sf):
+    return dashboard.tier_mix(scored_fixture(spark, sf))
+
+
+@query("cluster_mix", with_views("scored_fixture") + f"""
+SELECT kmeans_cluster AS name, count(*) AS value,
+  {r6('count(*) / (SELECT count(*) FROM scored_fixture)')} AS pct
+FROM scored_fixture GROUP BY kmeans_cluster""")
+def q_cluster_mix(spark, sf):
+    return _r6(dashboard.cluster_mix(scored_fixture(spark, sf)))
+
+
+@query("feed_summary", _FEED_SQL + f"""
+SELECT {r6('avg(CAST(ensemble_label = _true_label AS DOUBLE))')} AS accuracy,
+  {r6('avg(ensemble_label)')} AS fault_rate, {r6('avg(_true_label)')} AS true_fault_rate,
+  {r6('avg(ensemble_prob)')} AS mean_prob, {r6('greatest(max(ensemble_prob), 0.0)')} AS max_prob,
+  CAST(CASE WHEN max(ensemble_prob) > 0 THEN arg_max(row, (ensemble_prob, -row)) ELSE 0 END
+       AS BIGINT) AS max_row,
+  CAST(round(avg(RF_prob) * 100.0) AS BIGINT) AS rf_pct,
+  CAST(round(avg(XGBoost_prob) * 100.0) AS BIGINT) AS xgb_pct,
+  CAST(round(avg(ensemble_prob) * 100.0) AS BIGINT) AS ensemble_pct,
+  {r6('avg(IF_anomaly_score)')} AS anomaly_mean
+FROM feed""")
+def q_feed_summary(spark, sf):
+    return _r6(dashboard.feed_summary(_feed(spark, sf)))
+
+
+_STRESS_SQL = _STATS_SQL + "," + SCORED_SQL + f""",
+sl AS ({unpivot_sql('scored_fixture', ['seq'], R)}),
+az AS (SELECT sl.feature, abs((coalesce(sl.value, s.mean) - s.mean) / greatest(s.std, 1e-6))
+         AS abs_z FROM sl JOIN stats s USING (feature))
+"""
+
+
+@query("sensor_stress", _STRESS_SQL + """
+SELECT feature, (round(avg(abs_z) * 100.0) / 100.0 + 0.0) AS mean,
+  (round(max(abs_z) * 100.0) / 100.0 + 0.0) AS max FROM az GROUP BY feature""")
+def q_sensor_stress(spark, sf):
+    return dashboard.sensor_stress(scored_fixture(spark, sf), stable_baseline(spark, sf))
+
+
+@query("group_stress", _STRESS_SQL + """
+SELECT regexp_replace(feature, '[0-9]', '', 'g') AS "group",
+  (round(avg(abs_z) * 100.0) / 100.0 + 0.0) AS stress,
+  CASE regexp_replace(feature, '[0-9]', '', 'g') WHEN 'tau' THEN 'Reaction Time'
+    WHEN 'p' THEN 'Power Balance' WHEN 'g' THEN 'Cooperation' END AS label
+FROM az GROUP BY 1""")
+def q_group_stress(spark, sf):
+    return dashboard.group_stress(scored_fixture(spark, sf), stable_baseline(spark, sf))
+
+
+@query("trend_sample", _FEED_SQL + f"""
+SELECT row, CAST(round(ensemble_prob * 100.0) AS BIGINT) AS probability,
+  CAST(round(RF_prob * 100.0) AS BIGINT) AS rf, CAST(round(XGBoost_prob * 100.0) AS BIGINT) AS xgb,
+  {r6('IF_anomaly_score')} AS anomaly, risk_tier AS tier
+FROM feed, (SELECT count(*) AS n FROM feed) k
+WHERE (row - 1) % greatest(1, ceil(n / 90.0)) = 0 OR row = n""")
+def q_trend_sample(spark, sf):
+    return _r6(dashboard.trend_sample(_feed(spark, sf)))
+
+
+@query("stable_screen", with_views("scored_fixture") + """
+SELECT *, row_number() OVER (ORDER BY baseline_prob, seq) AS screen_rank FROM (
+  SELECT seq, kmeans_cluster, (round(ensemble_prob * 10000.0) / 10000.0 + 0.0) AS baseline_prob
+  FROM scored_fixture WHERE _true_label = 0 AND ensemble_prob < 0.35)""")
+def q_stable_screen(spark, sf):
+    s = scored_fixture(spark, sf).select("seq", "kmeans_cluster", "ensemble_prob", "_true_label")
+    return dashboard.stable_screen(s).select("seq", "kmeans_cluster", "baseline_prob",
+                                             "screen_rank")
+
+
+def _export_sql() -> str:
+    piv = ", ".join(f"max(CASE WHEN feature = '{c}' THEN z END) AS z_{c}" for c in R)
+    labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FEATURE_LABELS.items())
+    return _STATS_SQL + "," + SCORED_SQL + f""",
+sl AS ({unpivot_sql('scored_fixture', ['seq'], R)}),
+zl AS (SELECT sl.seq, sl.feature, list_position({R!r}, sl.feature) AS o,
+         (coalesce(sl.value, s.mean) - s.mean) / s.std AS z FROM sl JOIN stats s USING (feature)),
+top AS (SELECT seq, string_agg(feature || '(' || regexp_replace(regexp_replace(
+           printf('%.2f', round(z * 100.0) / 100.0 + 0.0), '0+$', ''), '[.]$', '') || 'σ)', '; '
+           ORDER BY rk) AS alert_reason,
+           arg_min(feature, rk) AS top_feature
+        FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY abs(z) DESC, o) AS rk FROM zl)
+        WHERE rk <= 3 GROUP BY seq)
+SELECT row_number() OVER (ORDER BY f.seq) AS row, """ + ", ".join(R) + f""",
+  printf('%.4f', round(ensemble_prob * 10000.0) / 10000.0 + 0.0) AS ensemble_prob, risk_tier,
+  CASE WHEN ensemble_label = 1 THEN 'Fault' ELSE 'Stable' END AS label, kmeans_cluster,
+  printf('%.4f', round(RF_prob * 10000.0) / 10000.0 + 0.0) AS RF_prob,
+  printf('%.4f', round(XGBoost_prob * 10000.0) / 10000.0 + 0.0) AS XGBoost_prob,
+  printf('%.4f', round(IF_anomaly_score * 10000.0) / 10000.0 + 0.0) AS IF_anomaly_score,
+  t.alert_reason, CASE risk_tier WHEN 'Green' THEN 0 WHEN 'Amber' THEN 1 WHEN 'Red' THEN 2
+  ELSE 0 END AS tier_order, CASE t.top_feature {labels} END AS top_reason_label
+FROM scored_fixture f JOIN top t USING (seq)"""
+
+
+@query("export_rows", _export_sql())
+def q_export_rows(spark, sf):
+    s = scored_fixture(spark, sf)
+    z = with_zscores(s, stable_baseline(spark, sf), R)
+    z = z.withColumn("alert_reason", alerts.top_deviations([f"z_{c}" for c in R]))
+    from ..operators.sequence import with_ordinal
+    z = with_ordinal(z, ["seq"], "_o").withColumn("row", (F.col("_o") + 1)).drop("_o")
+    return dashboard.export_rows(z)
+
+
+@query("split_union", _SPLIT_SQL + """
+SELECT seq, split, stabf FROM splits WHERE split = 'train'
+UNION ALL SELECT seq, split, stabf FROM splits WHERE split = 'val'
+UNION ALL SELECT seq, split, stabf FROM splits WHERE split = 'test'""")
+def q_split_union(spark, sf):
+    from functools import reduce
+    s = split_readings(spark, sf).select("seq", "split", "stabf")
+    parts = [s.where(F.col("split") == x) for x in ("train", "val", "test")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
