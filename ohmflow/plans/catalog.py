@@ -858,3 +858,96 @@ def q_split_union(spark, sf):
     s = split_readings(spark, sf).select("seq", "split", "stabf")
     parts = [s.where(F.col("split") == x) for x in ("train", "val", "test")]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+# ------------------------------------------------ cross-validation & shares --
+CV_METRICS = ["pr_auc", "roc_auc", "f1_stable", "f1_unstable", "mcc"]
+
+
+def cv_fold_metrics(spark, sf):
+    """Metrics per (fold, model) on the scored feed with stratified fold ids."""
+    s = scored_fixture(spark, sf)
+    folds = prepare.stratified_folds(s.select("seq", "_true_label", *MODELS), "_true_label", "seq")
+    long = folds.select("fold", "_true_label", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.col(m).alias("prob")) for m in MODELS])))
+    long = long.withColumn("pred", (F.col("prob") >= F.lit(0.5)).cast("int"))
+    by = ["fold", "model"]
+    ap = metrics.average_precision(long, "_true_label", "prob", by).withColumnRenamed(
+        "average_precision", "pr_auc")
+    roc = metrics.roc_auc(long, "_true_label", "prob", by)
+    cls = metrics.binary_metrics(long, "_true_label", "pred", by).drop("accuracy")
+    return ap.join(roc, by).join(cls, by)
+
+
+_CV_SQL = _LONG_SQL + f""",
+fl AS (SELECT l.*, CAST((row_number() OVER (PARTITION BY l.y, l.model ORDER BY {_u_sql('l.seq')},
+          l.seq) - 1) % 5 AS INTEGER) AS fold FROM long l),
+""" + _curve_sql("fl", "fold, model")[2:].replace("GROUP BY ALL", "GROUP BY ALL") + """,
+ap AS (SELECT fold, model, sum(pos * (cum_pos / (cum_pos + cum_neg))) / any_value(P) AS pr_auc,
+         sum(neg * (2 * cum_pos - pos) / 2.0) / (any_value(P) * any_value(N)) AS roc_auc
+       FROM c GROUP BY fold, model),
+k AS (SELECT fold, model,
+        CAST(count_if(y = 1 AND prob >= 0.5) AS DOUBLE) AS tp,
+        CAST(count_if(y = 0 AND prob >= 0.5) AS DOUBLE) AS fp,
+        CAST(count_if(y = 1 AND prob < 0.5) AS DOUBLE) AS fn,
+        CAST(count_if(y = 0 AND prob < 0.5) AS DOUBLE) AS tn FROM fl GROUP BY fold, model),
+m AS (SELECT ap.*,
+        CASE WHEN 2 * tn + fp + fn = 0 THEN 0.0 ELSE 2 * tn / (2 * tn + fp + fn) END AS f1_stable,
+        CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1_unstable,
+        CASE WHEN sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) = 0 THEN 0.0 ELSE
+          (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END AS mcc
+      FROM ap JOIN k USING (fold, model))
+"""
+
+
+@query("cv_summary", _CV_SQL + "SELECT 'stratified' AS cv_strategy, model, " + ", ".join(
+    f"{r6(f'avg({m})')} AS {m}_mean, {r6(f'stddev_samp({m})')} AS {m}_std" for m in CV_METRICS)
+    + " FROM m GROUP BY model")
+def q_cv_summary(spark, sf):
+    s = metrics.summarize(cv_fold_metrics(spark, sf), ["model"], CV_METRICS)
+    return _r6(s.select(F.lit("stratified").alias("cv_strategy"), "*"))
+
+
+IMPORTANCE_FEATURES = R + ["edge_load_0_1", "edge_load_0_2", "edge_load_0_3", "avg_edge_load"]
+
+
+def importance_table(spark, sf):
+    """Data-derived importances: |Pearson corr(feature, label)| on cleaned readings."""
+    g = graph.graph_features(cleaned_readings(spark, sf))
+    agg = g.agg(*[F.abs(F.corr(F.col(c), F.col("stabf").cast("double"))).alias(c)
+                  for c in IMPORTANCE_FEATURES])
+    return agg.unpivot([], IMPORTANCE_FEATURES, "feature", "importance")
+
+
+def _share_sql() -> str:
+    loads = {f"edge_load_0_{i}": f"least(abs(p{i + 1}) / (abs(g1) + abs(g{i + 1}) + 1e-9), 1.0)"
+             for i in (1, 2, 3)}
+    loads["avg_edge_load"] = "(" + " + ".join(loads.values()) + ") / 3.0"
+    expr = {**{c: c for c in R}, **loads}
+    parts = [f"SELECT '{f}' AS feature, abs(corr({e}, CAST(stabf AS DOUBLE))) AS importance "
+             f"FROM capped" for f, e in expr.items()]
+    return _capped_sql() + f""",
+imp AS ({union_all(parts)}),
+r AS (SELECT feature, greatest(importance, 0.0) AS importance,
+        row_number() OVER (ORDER BY greatest(importance, 0.0) DESC, feature) AS rank FROM imp),
+cs AS (SELECT *, sum(importance) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING)
+         / (sum(importance) OVER () + 1e-12) AS cum_importance FROM r),
+sel AS (SELECT *, rank <= greatest(count_if(cum_importance <= 0.95) OVER (), 1) + 1 AS selected
+        FROM cs)
+"""
+
+
+@query("cumulative_share", _share_sql() + f"""
+SELECT feature, {r6('importance')} AS importance, rank, {r6('cum_importance')} AS cum_importance,
+  selected FROM sel""")
+def q_cumulative_share(spark, sf):
+    s = metrics.cumulative_share(importance_table(spark, sf))
+    return _r6(s.withColumn("rank", F.col("rank").cast("long")))
+
+
+@query("unselected_features", _share_sql() + """
+SELECT feature FROM imp WHERE feature NOT IN (SELECT feature FROM sel WHERE selected)""")
+def q_unselected_features(spark, sf):
+    imp = importance_table(spark, sf)
+    sel = metrics.cumulative_share(imp).where("selected").select("feature")
+    return imp.select("feature").join(sel, "feature", "left_anti")
