@@ -80,3 +80,9 @@ def hash_uniform(*parts: Column) -> Column:
     key = F.concat_ws("|", *[p.cast("string") for p in parts])
     return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double")
             / F.lit(4294967296.0))
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson correlation as an aggregate; NULL (not an ANSI error) when a
+    column is constant. SQL twin: covar_pop(a,b) / nullif(stddev_pop(a)*stddev_pop(b), 0)."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))

@@ -42,7 +42,8 @@ def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Da
     c = curve(df, label, score, by)
     prev_tp = F.col("cum_pos") - F.col("pos")
     area = F.col("neg") * (F.col("cum_pos") + prev_tp) / F.lit(2.0)
-    return c.groupBy(*by).agg((F.sum(area) / (F.first("P") * F.first("N"))).alias("roc_auc"))
+    return c.groupBy(*by).agg(F.try_divide(F.sum(area), F.first("P") * F.first("N"))
+                              .alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -51,14 +52,14 @@ def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] =
     c = curve(df, label, score, by)
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     return c.groupBy(*by).agg(
-        (F.sum(F.col("pos") * prec) / F.first("P")).alias("average_precision"))
+        F.try_divide(F.sum(F.col("pos") * prec), F.first("P")).alias("average_precision"))
 
 
 def pr_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """PR table: threshold, precision, recall, f1 (1e-12 guard, F15)."""
     c = curve(df, label, score, by)
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    rec = F.col("cum_pos") / F.col("P")
+    rec = F.try_divide(F.col("cum_pos"), F.col("P"))
     return c.select(*by, F.col("score").alias("threshold"), prec.alias("precision"),
                     rec.alias("recall")).withColumn(
         "f1", f1_guarded(F.col("precision"), F.col("recall")))

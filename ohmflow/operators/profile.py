@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import pearson
 from .common import attach_row
 from .stats import exact_quantiles, qname
 
@@ -55,7 +56,7 @@ def class_histogram(df: DataFrame, cols: Sequence[str], label: str, bins: int =
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A4: Pearson correlation of every pair i < j (lower triangle) in one agg."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    agg = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    agg = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
     long = agg.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "corr")
     return long.select(F.split("pair", r"\|").getItem(0).alias("feature_a"),
                        F.split("pair", r"\|").getItem(1).alias("feature_b"), "corr")

@@ -71,7 +71,8 @@ def q_class_histogram(spark, sf):
 
 
 @query("correlation_pairs", with_views("readings") + union_all([
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r6(f'corr({a}, {b})')} AS corr "
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, "
+    f"{r6(f'covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)')} AS corr "
     f"FROM readings" for i, a in enumerate(R) for b in R[i + 1:]]))
 def q_correlation_pairs(spark, sf):
     return _r6(profile.correlation_pairs(readings(spark, sf), R))
@@ -914,7 +915,8 @@ IMPORTANCE_FEATURES = R + ["edge_load_0_1", "edge_load_0_2", "edge_load_0_3", "a
 def importance_table(spark, sf):
     """Data-derived importances: |Pearson corr(feature, label)| on cleaned readings."""
     g = graph.graph_features(cleaned_readings(spark, sf))
-    agg = g.agg(*[F.abs(F.corr(F.col(c), F.col("stabf").cast("double"))).alias(c)
+    from ..functions.scalar import pearson
+    agg = g.agg(*[F.abs(pearson(F.col(c), F.col("stabf").cast("double"))).alias(c)
                   for c in IMPORTANCE_FEATURES])
     return agg.unpivot([], IMPORTANCE_FEATURES, "feature", "importance")
 
@@ -924,7 +926,8 @@ def _share_sql() -> str:
              for i in (1, 2, 3)}
     loads["avg_edge_load"] = "(" + " + ".join(loads.values()) + ") / 3.0"
     expr = {**{c: c for c in R}, **loads}
-    parts = [f"SELECT '{f}' AS feature, abs(corr({e}, CAST(stabf AS DOUBLE))) AS importance "
+    parts = [f"SELECT '{f}' AS feature, abs(covar_pop({e}, CAST(stabf AS DOUBLE)) / nullif("
+             f"stddev_pop({e}) * stddev_pop(CAST(stabf AS DOUBLE)), 0)) AS importance "
              f"FROM capped" for f, e in expr.items()]
     return _capped_sql() + f""",
 imp AS ({union_all(parts)}),
