@@ -13,6 +13,7 @@ from ..schema import (FEATURE_LABELS, LAG_FEATURES, LAGS, RAW_FEATURES, ROLL_WIN
 from ..sources.fixtures import SCORED_SQL, readings, scored_fixture, with_views  # noqa: F401
 from ..sources.tables import table
 from .registry import query
+from ..operators.common import round_cols  # noqa: F811
 from .sqlgen import r6, union_all, unpivot_sql
 
 R = RAW_FEATURES
@@ -557,15 +558,15 @@ long AS ({union_all([f"SELECT seq, _true_label AS y, '{m}' AS model, {m} AS prob
 """
 
 
-def _curve_sql(src: str, by: str) -> str:
+def _curve_sql(src: str, by: str, c: str = "c", prob: str = "prob") -> str:
     """CTE ``c``: per (by, distinct score) running TP/FP (descending) and totals."""
     part = f"PARTITION BY {by} " if by else ""
     grp = f"{by}, " if by else ""
     return f""",
-st AS (SELECT {grp}prob AS score, sum(y) AS pos, sum(1 - y) AS neg FROM {src} GROUP BY ALL),
-c AS (SELECT *, sum(pos) OVER ({part}ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_pos,
+{c}_st AS (SELECT {grp}{prob} AS score, sum(y) AS pos, sum(1 - y) AS neg FROM {src} GROUP BY ALL),
+{c} AS (SELECT *, sum(pos) OVER ({part}ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_pos,
         sum(neg) OVER ({part}ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_neg,
-        sum(pos) OVER ({part.strip()}) AS P, sum(neg) OVER ({part.strip()}) AS N FROM st)
+        sum(pos) OVER ({part.strip()}) AS P, sum(neg) OVER ({part.strip()}) AS N FROM {c}_st)
 """
 
 
@@ -954,3 +955,117 @@ def q_unselected_features(spark, sf):
     imp = importance_table(spark, sf)
     sel = metrics.cumulative_share(imp).where("selected").select("feature")
     return imp.select("feature").join(sel, "feature", "left_anti")
+
+
+# ------------------------------------------------- scoring & what-if (SQL) --
+from ..operators import scoring, whatif  # noqa: E402
+
+
+@query("counterfactuals", _STATS_SQL + f""",
+v AS (SELECT c.seq, s.feature, s.mean AS stable,
+        CASE s.feature {' '.join(f"WHEN '{x}' THEN c.{x}" for x in R)} END AS cur,
+        c.tau1, c.p1 FROM capped c, stats s),
+m AS (SELECT *, CASE WHEN feature = 'tau1' THEN stable ELSE tau1 END AS tau1_m,
+        CASE WHEN feature = 'p1' THEN stable ELSE p1 END AS p1_m FROM v
+      WHERE abs(cur - stable) >= 1e-6)
+SELECT seq, feature, {r6('cur')} AS current_value,
+  (round(stable * 10000.0) / 10000.0 + 0.0) AS stable_value,
+  (round((0.4 * least(tau1_m / 50.0, 1.0) + 0.6 * least(p1_m / 12.0, 1.0)) * 10000.0) / 10000.0
+    + 0.0) AS new_prob,
+  (round(((0.4 * least(tau1_m / 50.0, 1.0) + 0.6 * least(p1_m / 12.0, 1.0))
+          - (0.4 * least(tau1 / 50.0, 1.0) + 0.6 * least(p1 / 12.0, 1.0))) * 10000.0) / 10000.0
+    + 0.0) AS delta
+FROM m""")
+def q_counterfactuals(spark, sf):
+    c = cleaned_readings(spark, sf)
+    out = scoring.counterfactuals(c, "seq", scoring.fixture_scorer(), (0.4, 0.6), 0.5,
+                                  stable_baseline(spark, sf))
+    return round_cols(out, 6, ["current_value"])
+
+
+def _soft_vote_sql() -> str:
+    return (_SPLIT_SQL + "," + SCORED_SQL + """,
+v AS (SELECT f.seq, f._true_label AS y, f.RF_prob, f.XGBoost_prob
+      FROM scored_fixture f JOIN splits s USING (seq) WHERE s.split = 'val')"""
+            + _curve_sql("v", "", "crf", "RF_prob") + _curve_sql("v", "", "cxg", "XGBoost_prob")
+            + """,
+w AS (SELECT a.ap_rf, b.ap_xgb,
+        CASE WHEN a.ap_rf + b.ap_xgb > 0 THEN a.ap_rf / (a.ap_rf + b.ap_xgb) ELSE 0.5 END AS w_rf,
+        CASE WHEN a.ap_rf + b.ap_xgb > 0 THEN b.ap_xgb / (a.ap_rf + b.ap_xgb) ELSE 0.5 END AS w_xgb
+      FROM (SELECT sum(pos * (cum_pos / (cum_pos + cum_neg))) / any_value(P) AS ap_rf FROM crf) a,
+           (SELECT sum(pos * (cum_pos / (cum_pos + cum_neg))) / any_value(P) AS ap_xgb FROM cxg) b),
+vote AS (SELECT y, w_rf * RF_prob + w_xgb * XGBoost_prob AS prob FROM v, w)"""
+            + _curve_sql("vote", "", "cv") + f""",
+pr AS (SELECT score AS threshold, cum_pos / (cum_pos + cum_neg) AS precision, cum_pos / P AS recall
+       FROM cv),
+f AS (SELECT *, 2.0 * precision * recall / (precision + recall + 1e-12) AS f1 FROM pr),
+t AS (SELECT threshold FROM f ORDER BY recall >= 0.9 DESC, f1 DESC, threshold LIMIT 1)
+SELECT {r6('ap_rf')} AS ap_rf, {r6('ap_xgb')} AS ap_xgb, {r6('w_rf')} AS w_rf,
+  {r6('w_xgb')} AS w_xgb, {r6('threshold')} AS threshold FROM w, t""")
+
+
+@query("soft_vote", _soft_vote_sql())
+def q_soft_vote(spark, sf):
+    val_ids = split_readings(spark, sf).where(F.col("split") == "val").select("seq")
+    s = scored_fixture(spark, sf).join(val_ids, "seq")  # J1: labels/scores by id
+    return _r6(scoring.soft_vote(s, "_true_label"))
+
+
+@query("majority_baseline", _SPLIT_SQL + f""",
+maj AS (SELECT stabf AS majority_label FROM splits WHERE split = 'train'
+        GROUP BY stabf ORDER BY count(*) DESC, stabf LIMIT 1)
+SELECT majority_label, count(*) AS n_test,
+  {r6('avg(CAST(stabf = majority_label AS DOUBLE))')} AS test_accuracy
+FROM splits, maj WHERE split = 'test' GROUP BY majority_label""")
+def q_majority_baseline(spark, sf):
+    from ..operators import models
+    s = split_readings(spark, sf)
+    return _r6(models.majority_baseline(s, "stabf"))
+
+
+# ---- fixed values: the reference's preset scenario "Cascading Overload" ----
+SCENARIO_EVENTS = [
+    ("Cascading Overload", 0, "main", "p2", 3, 18, None, "3x"),
+    ("Cascading Overload", 1, "main", "p3", 13, 28, None, "3x"),
+]
+# An operator fix applied from step 30 (rebased): shed Node 1 load.
+SCENARIO_FIX = [("Cascading Overload", 2, "fix", "p2", 0, 5, None, "0.5x")]
+SCENARIO_STEPS, SCENARIO_FIX_AT = 40, 30
+
+
+def _overlay_sql() -> str:
+    rows = ", ".join(
+        f"({o}, '{ph}', '{f}', {s0}, {s1}, NULL, '{e}')"
+        for _, o, ph, f, s0, s1, _sv, e in SCENARIO_EVENTS + SCENARIO_FIX)
+    base_val = "CASE ev.feature " + " ".join(f"WHEN '{x}' THEN st.{x}" for x in R) + " END"
+    s0 = f"coalesce(ev.start_val, {base_val})"
+    s1 = (f"CASE WHEN lower(trim(ev.end_val)) LIKE '%x' THEN {s0} * TRY_CAST(substr(trim(ev.end_val),"
+          f" 1, length(trim(ev.end_val)) - 1) AS DOUBLE) ELSE TRY_CAST(trim(ev.end_val) AS DOUBLE) END")
+    interp = (f"{s0} + CAST(st.step - ev.start_step AS DOUBLE) / CAST(greatest(ev.end_step - "
+              f"ev.start_step, 1) AS DOUBLE) * ({s1} - {s0})")
+    cols = ", ".join(f"{r6(f'coalesce(max(CASE WHEN a.feature = {chr(39)}{x}{chr(39)} THEN a.value END), any_value(st2.{x}))')} AS {x}" for x in R)
+    return _capped_sql() + f""",
+ev0 AS (SELECT * FROM (VALUES {rows}) t(ordinal, phase, feature, start_step, end_step, start_val,
+        end_val)),
+ev AS (SELECT ordinal, phase, feature,
+         CASE WHEN phase = 'fix' THEN start_step + {SCENARIO_FIX_AT} ELSE start_step END AS start_step,
+         CASE WHEN phase = 'fix' THEN end_step + {SCENARIO_FIX_AT} ELSE end_step END AS end_step,
+         CAST(start_val AS DOUBLE) AS start_val, end_val FROM ev0),
+st AS (SELECT c.*, s.step FROM capped c, range(0, {SCENARIO_STEPS}) s(step)),
+j AS (SELECT st.seq, st.step, ev.feature, ev.ordinal,
+        CASE WHEN st.step <= ev.end_step THEN {interp} ELSE {s1} END AS value
+      FROM st JOIN ev ON st.step >= ev.start_step
+      WHERE CASE WHEN st.step >= {SCENARIO_FIX_AT} THEN ev.phase = 'fix' ELSE ev.phase = 'main' END),
+a AS (SELECT seq, step, feature, arg_max(value, ordinal) AS value FROM j GROUP BY ALL),
+st2 AS (SELECT * FROM st)
+SELECT st2.seq, CAST(st2.step AS INTEGER) AS step, {cols}
+FROM st2 LEFT JOIN a USING (seq, step) GROUP BY st2.seq, st2.step"""
+
+
+@query("schedule_overlay", _overlay_sql())
+def q_schedule_overlay(spark, sf):
+    c = cleaned_readings(spark, sf).select("seq", *R)
+    ev = spark.createDataFrame(SCENARIO_EVENTS + SCENARIO_FIX, whatif.EVENT_SCHEMA)
+    stepped = whatif.expand_steps(c, "seq", SCENARIO_STEPS)
+    out = whatif.overlay(stepped, ev, "seq", fix_at_step=SCENARIO_FIX_AT)
+    return _r6(out.select("seq", "step", *R))
