@@ -46,3 +46,12 @@ def round_cols(df: DataFrame, digits: int, cols: Sequence[str] | None = None) ->
 def feature_index(features: Sequence[str], col: Column) -> Column:
     """0-based ordinal of a feature name in a fixed list (tie keys for sorts)."""
     return F.array_position(F.array(*[F.lit(f) for f in features]), col) - F.lit(1)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder (``spark.checkpoint.dir``)
+    and continue from the written copy: iterative learners then re-read it
+    instead of recomputing the lineage, and a lost executor costs a re-read."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

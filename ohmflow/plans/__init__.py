@@ -2,4 +2,4 @@
 independent SQL formulation used as a correctness oracle."""
 
 from .registry import ORACLE, QUERIES  # noqa: F401
-from . import catalog  # noqa: F401  (registers the queries)
+from . import catalog, modeling  # noqa: F401  (registers the queries)
