@@ -1069,3 +1069,49 @@ def q_schedule_overlay(spark, sf):
     stepped = whatif.expand_steps(c, "seq", SCENARIO_STEPS)
     out = whatif.overlay(stepped, ev, "seq", fix_at_step=SCENARIO_FIX_AT)
     return _r6(out.select("seq", "step", *R))
+
+
+# ---------------------------------------------------------------- streaming --
+from ..streaming import monitor  # noqa: E402
+
+_EV_STATS_SQL = """
+WITH s AS (SELECT avg(value) AS m, greatest(stddev_samp(value), 1e-6) AS sd FROM events),
+z AS (SELECT event_id, user_id, ts, value, (value - m) / sd AS z FROM events, s)
+"""
+
+
+def _event_baseline(spark, sf):
+    ev = table(spark, sf, "events").select("value")
+    return baseline_stats(ev, ["value"], label=None, quartiles=False)
+
+
+def scored_events_stream(spark, sf):
+    return monitor.score_stream(monitor.table_stream(spark, sf), _event_baseline(spark, sf))
+
+
+@query("stream_scores", _EV_STATS_SQL + f"""
+SELECT event_id, user_id, {r6('z')} AS z,
+  CASE WHEN abs(z) < 1.5 THEN 'Normal' WHEN abs(z) < 2.5 THEN 'Elevated' ELSE 'Critical' END
+    AS status FROM z""")
+def q_stream_scores(spark, sf):
+    s = scored_events_stream(spark, sf).select("event_id", "user_id", "z", "status")
+    return _r6(monitor.run_available(s, "scores"))
+
+
+@query("stream_alerts")
+def q_stream_alerts(spark, sf):
+    return monitor.run_available(monitor.sticky_alerts(scored_events_stream(spark, sf)), "alerts")
+
+
+@query("stream_windows", _EV_STATS_SQL + f""",
+w AS (SELECT z.*, time_bucket(INTERVAL 10 MINUTE, CAST(ts AS TIMESTAMP)) - INTERVAL (k * 10) MINUTE
+        AS window_start FROM z, range(0, 6) r(k)),
+wm AS (SELECT max(ts) - INTERVAL 1 MINUTE AS wmark FROM events)
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, user_id, count(*) AS n,
+  {r6('avg(value)')} AS mean_value, {r6('max(abs(z))')} AS max_abs_z
+FROM w, wm WHERE ts >= window_start AND ts < window_start + INTERVAL 1 HOUR
+  AND window_start + INTERVAL 1 HOUR <= wmark
+GROUP BY window_start, user_id""")
+def q_stream_windows(spark, sf):
+    return _r6(monitor.run_available(monitor.window_stats(scored_events_stream(spark, sf)),
+                                     "windows"))
