@@ -1115,3 +1115,44 @@ GROUP BY window_start, user_id""")
 def q_stream_windows(spark, sf):
     return _r6(monitor.run_available(monitor.window_stats(scored_events_stream(spark, sf)),
                                      "windows"))
+
+
+# ------------------------------------------------------ neighbours & SMOTE --
+from ..operators import neighbors  # noqa: E402
+
+EMB_DIMS = 64
+
+
+def _minority_embeddings(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    counts = emb.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    minority = counts.agg(F.min_by("label", F.struct("n", "label")).alias("label"))
+    arr = F.col("embedding")
+    return emb.join(minority, "label").select(
+        "vec_id", *[arr[i].cast("double").alias(f"e{i}") for i in range(EMB_DIMS)])
+
+
+@query("minority_knn", f"""
+WITH c AS (SELECT label FROM embeddings GROUP BY label ORDER BY count(*), label LIMIT 1),
+m AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label = (SELECT label FROM c)),
+p AS (SELECT a.vec_id, b.vec_id AS nid, sqrt(list_sum(list_transform(
+        list_zip(a.e, b.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS dist
+      FROM m a JOIN m b ON a.vec_id <> b.vec_id)
+SELECT vec_id, rank, nid, {r6('dist')} AS dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nid) AS rank FROM p)
+WHERE rank <= 5""")
+def q_minority_knn(spark, sf):
+    df = _minority_embeddings(spark, sf)
+    nb = neighbors.knn(df, "vec_id", [f"e{i}" for i in range(EMB_DIMS)], k=5)
+    out = nb.select("vec_id", F.posexplode("neighbors").alias("rank", "n"))
+    return _r6(out.select("vec_id", (F.col("rank") + 1).cast("long").alias("rank"),
+                          F.col("n.nid").alias("nid"), F.col("n.dist").alias("dist")))
+
+
+@query("smote_balance")
+def q_smote_balance(spark, sf):
+    s = split_readings(spark, sf)
+    train = s.where(F.col("split") == "train")
+    params = prepare.fit_standard(train, R)
+    scaled = prepare.apply_scaler(train, params, R)
+    return _r6(neighbors.smote(scaled, "seq", "stabf", R, k=5))

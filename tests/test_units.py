@@ -109,3 +109,39 @@ def test_split_disjoint_and_exhaustive(spark):
     got = {(r.split, r.y): r["count"] for r in s}
     assert sum(got.values()) == 2000
     assert got[("test", 1)] == round(667 * 0.15)
+
+
+def test_knn_exact_and_smote_properties(spark):
+    import numpy as np
+    from ohmflow.operators import neighbors
+    rng = np.random.default_rng(0)
+    pts = np.vstack([rng.normal(0, 1, (60, 3)), rng.normal(8, 0.5, (5, 3)), [[40.0, 40.0, 40.0]]])
+    rows = [(i, *map(float, p)) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    got = {r.id: [n.nid for n in r.neighbors] for r in neighbors.knn(df, "id", ["a", "b", "c"], 4).collect()}
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+    for i in range(len(pts)):
+        want = [j for _, j in sorted((d[i, j], j) for j in range(len(pts)) if j != i)][:4]
+        assert got[i] == want
+    lab = spark.createDataFrame([(i, int(i < 20), *map(float, p)) for i, p in enumerate(pts)],
+                                "id long, y int, a double, b double, c double")
+    out = neighbors.smote(lab, "id", "y", ["a", "b", "c"], k=3)
+    counts = {r.y: r["count"] for r in out.groupBy("y").count().collect()}
+    assert counts[0] == counts[1]
+    syn = out.where("synthetic").toPandas()
+    base = pts[:20]
+    for r in syn.itertuples():  # each synthetic point lies on a segment between two minority points
+        x = np.array([r.a, r.b, r.c])
+        ok = False
+        for i in range(20):
+            for j in range(20):
+                v = base[j] - base[i]
+                if i == j or not v.any():
+                    continue
+                t = np.dot(x - base[i], v) / np.dot(v, v)
+                if -1e-9 <= t <= 1 + 1e-9 and np.allclose(base[i] + t * v, x, atol=1e-9):
+                    ok = True
+                    break
+            if ok:
+                break
+        assert ok
