@@ -1156,3 +1156,25 @@ def q_smote_balance(spark, sf):
     params = prepare.fit_standard(train, R)
     scaled = prepare.apply_scaler(train, params, R)
     return _r6(neighbors.smote(scaled, "seq", "stabf", R, k=5))
+
+
+# ------------------------------------------------------------------ sources --
+from ..sources import io as sio  # noqa: E402
+
+
+@query("roundtrip_tables", _SPLIT_SQL + "SELECT seq, split, stabf, " + ", ".join(
+    f"{r6(c)} AS {c}" for c in R) + " FROM splits")
+def q_roundtrip_tables(spark, sf):
+    """IO1, IO4–IO7, IO11: readings → CSV → schema'd read → split table
+    partitioned by split → named-split load; equals the in-memory split."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    r = readings(spark, sf)
+    sio.export_csv(r.select("seq", *R, "stab", "stabf"), f"{root}/readings_csv")
+    back = sio.read_readings_csv(spark, f"{root}/readings_csv")
+    split = prepare.stratified_split(clean.clean_readings(back), "stabf", "seq")
+    sio.write_splits(split, f"{root}/splits")
+    loaded = sio.load_splits(spark, f"{root}/splits", ["train", "val", "test"])
+    return _r6(sio.materialize_once(spark, loaded, f"{root}/feed")
+               .select("seq", "split", "stabf", *R))

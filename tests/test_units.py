@@ -145,3 +145,31 @@ def test_knn_exact_and_smote_properties(spark):
             if ok:
                 break
         assert ok
+
+
+def test_upload_validation_and_quarantine(spark, tmp_path):
+    from ohmflow.sources import io as sio
+    feats = ["tau1", "tau2", "tau3", "tau4", "p1", "p2", "p3", "p4", "g1", "g2", "g3", "g4"]
+    good = ",".join(feats + ["extra"]) + "\n" + "\n".join(
+        ",".join(["1.5"] * 12 + ["x"]) for _ in range(3)) + "\n" + ",".join(["oops"] * 12 + ["y"]) + "\n"
+    p = tmp_path / "up.csv"
+    p.write_text(good)
+    q = str(tmp_path / "quarantine")
+    df = sio.read_upload(spark, str(p), quarantine=q)
+    assert df.columns == feats and df.count() == 3
+    assert spark.read.text(q).count() == 1
+    with pytest.raises(ValueError, match="Only .csv"):
+        sio.read_upload(spark, str(tmp_path / "up.txt"))
+    bad = tmp_path / "bad.csv"
+    bad.write_text("tau1,tau2\n1,2\n")
+    with pytest.raises(ValueError, match="Missing required columns"):
+        sio.read_upload(spark, str(bad))
+
+
+def test_load_splits_names_missing(spark, tmp_path):
+    from ohmflow.sources import io as sio
+    df = spark.createDataFrame([(1, "train"), (2, "test")], "seq int, split string")
+    sio.write_splits(df, str(tmp_path / "s"))
+    assert sio.load_splits(spark, str(tmp_path / "s"), ["train"]).count() == 1
+    with pytest.raises(FileNotFoundError, match="val"):
+        sio.load_splits(spark, str(tmp_path / "s"), ["train", "val"])
