@@ -24,15 +24,38 @@ def qname(q: float) -> str:
     return "q" + f"{q:.4f}".rstrip("0").rstrip(".").replace("0.", "", 1).replace(".", "_")
 
 
+# Inputs the optimizer estimates at or below this size use Spark's exact
+# in-memory ``percentile`` aggregate (one pass; each group's distinct values
+# are held by one task, so it is only chosen behind this size check).
+IN_MEMORY_QUANTILE_BYTES = 256 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the optimized plan (as used for broadcasts)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: take the bounded-memory path
+        return IN_MEMORY_QUANTILE_BYTES + 1
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     by: Sequence[str] = (), approx: bool = False,
-                    accuracy: int = 100000) -> DataFrame:
-    """Long table ``(by..., feature, q..)`` with one column per prob (see ``qname``)."""
+                    accuracy: int = 100000, method: str = "auto") -> DataFrame:
+    """Long table ``(by..., feature, q..)`` with one column per prob (see ``qname``).
+
+    ``method``: "sort" (bounded memory, any size), "memory" (``percentile``
+    aggregate) or "auto" (memory when the estimated input is small)."""
     by = list(by)
     long = unpivot(df.select(*by, *cols), by, cols).where(F.col("value").isNotNull())
     if approx:
         return long.groupBy(*by, "feature").agg(*[
             F.percentile_approx("value", q, accuracy).alias(qname(q)) for q in probs])
+    if method == "auto":
+        small = estimated_bytes(df.select(*by, *cols)) <= IN_MEMORY_QUANTILE_BYTES
+        method = "memory" if small else "sort"
+    if method == "memory":
+        return long.groupBy(*by, "feature").agg(*[
+            F.percentile("value", F.lit(float(q))).alias(qname(q)) for q in probs])
     o = with_ordinal(long, by + ["feature", "value"], "_ord")
     grp = o.groupBy(*by, "feature").agg(F.min("_ord").alias("_start"),
                                         F.count(F.lit(1)).alias("_n"))

@@ -27,8 +27,54 @@ def expand_steps(base: DataFrame, id_col: str, n_steps: int) -> DataFrame:
     return base.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))))
 
 
+# Event tables up to this many rows are compiled into column expressions.
+EXPRESSION_EVENTS_MAX = 256
+
+
 def overlay(stepped: DataFrame, events: DataFrame, id_col: str,
             features: Sequence[str] = RAW_FEATURES, fix_at_step: int | None = None) -> DataFrame:
+    """J4 entry point. A scenario's schedule is a handful of rows: when the
+    (counted) event table is small it becomes per-feature CASE expressions —
+    row-local, no join, no shuffle; larger tables take the range-join path."""
+    if events.limit(EXPRESSION_EVENTS_MAX + 1).count() <= EXPRESSION_EVENTS_MAX:
+        return overlay_expr(stepped, events.collect(), features, fix_at_step)
+    return overlay_join(stepped, events, id_col, features, fix_at_step)
+
+
+def overlay_expr(stepped: DataFrame, events, features: Sequence[str] = RAW_FEATURES,
+                 fix_at_step: int | None = None) -> DataFrame:
+    """Same semantics as ``overlay_join`` with the events as literals: for each
+    feature, the applicable event with the highest ordinal wins."""
+    step = F.col("step")
+    out = {}
+    for f in features:
+        evs = sorted([e for e in events if e["feature"] == f], key=lambda e: -e["ordinal"])
+        if not evs:
+            continue
+        expr = None
+        for e in evs:
+            s, en = e["start_step"], e["end_step"]
+            if fix_at_step is not None and e["phase"] == "fix":
+                s, en = s + fix_at_step, en + fix_at_step
+            if fix_at_step is None:
+                live = F.lit(e["phase"] == "main")
+            elif e["phase"] == "fix":
+                live = step >= F.lit(fix_at_step)
+            else:
+                live = step < F.lit(fix_at_step)
+            s0 = F.col(f) if e["start_val"] is None else F.lit(float(e["start_val"]))
+            s1 = resolve_target(F.lit(str(e["end_val"])), s0)
+            val = F.when(step <= F.lit(en), interpolate(step, F.lit(s), F.lit(en), s0, s1)) \
+                .otherwise(s1)
+            cond = live & (step >= F.lit(s))
+            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+        out[f] = expr.otherwise(F.col(f))
+    return stepped.withColumns(out)
+
+
+def overlay_join(stepped: DataFrame, events: DataFrame, id_col: str,
+                 features: Sequence[str] = RAW_FEATURES,
+                 fix_at_step: int | None = None) -> DataFrame:
     """Apply ``events`` (columns of ``EVENT_SCHEMA``; ``phase`` 'main' or
     'fix') to every (row, step). A null ``start_val`` means the base row's
     value; ``end_val`` may be relative (``"3x"``). With ``fix_at_step`` the main

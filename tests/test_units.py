@@ -173,3 +173,17 @@ def test_load_splits_names_missing(spark, tmp_path):
     assert sio.load_splits(spark, str(tmp_path / "s"), ["train"]).count() == 1
     with pytest.raises(FileNotFoundError, match="val"):
         sio.load_splits(spark, str(tmp_path / "s"), ["train", "val"])
+
+
+def test_overlay_expression_equals_join(spark):
+    from ohmflow.operators import whatif
+    base = spark.createDataFrame([(1, 1.0, -2.0), (2, 3.0, -1.0)], "seq int, p2 double, p3 double")
+    ev = spark.createDataFrame([
+        ("s", 0, "main", "p2", 2, 6, None, "3x"), ("s", 1, "main", "p2", 4, 4, 5.0, "0.2x"),
+        ("s", 2, "main", "p3", 0, 0, None, "9.8"), ("s", 3, "fix", "p2", 0, 3, None, "0.5x")],
+        whatif.EVENT_SCHEMA)
+    st = whatif.expand_steps(base, "seq", 12)
+    for fix in (None, 8):
+        a = whatif.overlay_expr(st, ev.collect(), ["p2", "p3"], fix).orderBy("seq", "step").collect()
+        b = whatif.overlay_join(st, ev, "seq", ["p2", "p3"], fix).orderBy("seq", "step").collect()
+        assert [(r.seq, r.step, r.p2, r.p3) for r in a] == [(r.seq, r.step, r.p2, r.p3) for r in b]
