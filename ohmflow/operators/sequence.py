@@ -31,6 +31,12 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
 def with_ordinal(df: DataFrame, keys: Sequence[str | Column], name: str = "_ord",
                  num_partitions: int | None = None) -> DataFrame:
     """Add ``name``: 0-based position of each row in the total order ``keys``."""
+    return with_ordinal_count(df, keys, name, num_partitions)[0]
+
+
+def with_ordinal_count(df: DataFrame, keys: Sequence[str | Column], name: str = "_ord",
+                       num_partitions: int | None = None) -> tuple[DataFrame, int]:
+    """``with_ordinal`` plus the total row count (known from the partition counts)."""
     n = _partitions(df, num_partitions)
     ensure_checkpoint_dir(df.sparkSession)
     # The range-partitioned, sorted rows are checkpointed to the shared
@@ -47,7 +53,7 @@ def with_ordinal(df: DataFrame, keys: Sequence[str | Column], name: str = "_ord"
     mid = F.monotonically_increasing_id()
     off = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]),
                        (F.shiftright(mid, _LOCAL_BITS) + 1).cast("int"))
-    return fixed.withColumn(name, off + mid.bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+    return fixed.withColumn(name, off + mid.bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))), run
 
 
 def with_blocks(df: DataFrame, ord_col: str, block_rows: int, back: int, ahead: int,

@@ -9,8 +9,9 @@ Semantics (pandas ``rolling(w, min_periods=1)`` over rows in order):
 
 Execution: ``mode="halo"`` (default) never puts a whole series in one task:
 rows get a global ordinal (``sequence.with_ordinal``), are cut into blocks of
-``block_rows`` with a 19-row look-back and 3-row look-ahead copy, and every
-window runs per (series key, block). One range exchange + one hash exchange,
+``block_rows`` (default: adaptive to the row count and cores) with a 19-row
+look-back and 3-row look-ahead copy, and every window runs per (series key,
+block). One range exchange + one hash exchange,
 independent of how skewed the series keys are. ``mode="plain"`` is the
 ordinary ``partitionBy(series)`` window (one task per series).
 """
@@ -24,9 +25,18 @@ from pyspark.sql import functions as F
 
 from ..schema import LAG_FEATURES, LAGS, ROLL_WINDOWS, ROLLING_FEATURES
 from .common import attach_row
-from .sequence import with_blocks, with_ordinal
+from .sequence import with_blocks, with_ordinal, with_ordinal_count
 
-DEFAULT_BLOCK_ROWS = 1 << 20
+MAX_BLOCK_ROWS = 1 << 20
+MIN_BLOCK_ROWS = 2048
+BLOCKS_PER_CORE = 4
+
+
+def adaptive_block_rows(n: int, parallelism: int) -> int:
+    """Enough blocks to keep every core busy (4 per core), each at least 2048
+    rows (halo copies stay ~1 %) and at most 1M rows (bounded task memory)."""
+    want = -(-n // max(parallelism * BLOCKS_PER_CORE, 1))
+    return int(min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, want)))
 
 
 def feature_names(rolling: Sequence[str], lag_cols: Sequence[str],
@@ -75,7 +85,7 @@ def temporal_features(df: DataFrame, order_by: Sequence[str],
                       lag_cols: Sequence[str] = LAG_FEATURES,
                       windows: Sequence[int] = ROLL_WINDOWS, lags: Sequence[int] = LAGS,
                       rate: bool = True, mode: str = "halo",
-                      block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                      block_rows: int | None = None) -> DataFrame:
     """All temporal features in one pass; ``order_by`` must be unique
     within ``partition_by`` (add tie columns)."""
     keys = list(partition_by)
@@ -90,7 +100,9 @@ def temporal_features(df: DataFrame, order_by: Sequence[str],
         raise ValueError(f"unknown mode {mode!r}")
     back = max(max(windows, default=1) - 1 if rolling else 0, max_lag, 1)
     ahead = max_lag
-    o = with_ordinal(df, keys + list(order_by), "_ord")
+    o, n = with_ordinal_count(df, keys + list(order_by), "_ord")
+    if block_rows is None:
+        block_rows = adaptive_block_rows(n, df.sparkSession.sparkContext.defaultParallelism)
     b = with_blocks(o, "_ord", block_rows, back, ahead)
     win = Window.partitionBy(*keys, "_blk").orderBy("_ord")
     rn = F.row_number().over(win)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import risk_tier
 from ..schema import CLUSTER_NAMES, RAW_FEATURES
+from ..operators.common import materialize
 from .tables import table
 
 # Scales are powers of two so every reading is a dyadic rational: sums,
@@ -51,10 +52,14 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     aggs += [((at(1, "_tax") - at(1, "_disc")) / F.lit(DISC_SCALE)).alias("stab")]
     per_order = slotted.groupBy("l_orderkey").agg(*aggs)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return (per_order.join(orders, per_order.l_orderkey == orders.o_orderkey, "inner")
+    view = (per_order.join(orders, per_order.l_orderkey == orders.o_orderkey, "inner")
             .select(F.col("l_orderkey").alias("seq"), *RAW_FEATURES, "stab",
                     F.when(F.col("o_orderstatus") == "F", F.lit("unstable"))
                     .otherwise(F.lit("stable")).alias("stabf")))
+    # Every consumer (statistics, then the rows they are applied to, then
+    # ordinals) reads the view several times: write it once to the shared
+    # checkpoint folder instead of re-running the lineitem window and join.
+    return materialize(view)
 
 
 READINGS_SQL = """
