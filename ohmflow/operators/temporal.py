@@ -99,24 +99,36 @@ def temporal_features(df: DataFrame, order_by: Sequence[str],
     if mode != "halo":
         raise ValueError(f"unknown mode {mode!r}")
     back = max(max(windows, default=1) - 1 if rolling else 0, max_lag, 1)
-    ahead = max_lag
+
+    def build(win, rn):
+        # A series with <= k rows: for its r-th row, no row sits k+1-r places
+        # later. Such rows are near the series start; the look-ahead copy keeps
+        # the rows that follow them visible even at a block end.
+        short = {}
+        for k in lags:
+            cond = F.lit(False)
+            for r in range(1, k + 1):
+                cond = F.when(rn == r, F.lead("_ord", k + 1 - r).over(win).isNull()).otherwise(cond)
+            short[k] = cond
+        return _exprs(win, rolling, lag_cols, windows, lags, rate, rn, short)
+    return blocked_window(df, order_by, keys, back, max_lag, build, block_rows)
+
+
+def blocked_window(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str],
+                   back: int, ahead: int, build, block_rows: int | None = None) -> DataFrame:
+    """Run row-frame window expressions per (series key, block) instead of per
+    series. ``build(win, rn)`` returns the expressions over ``win`` (ordered by
+    the global ordinal ``_ord``); frames may look ``back`` rows behind and
+    ``ahead`` rows ahead. ``rn`` (row number in the block partition) equals the
+    position in the series whenever it is ≤ ``back``."""
+    keys = list(partition_by)
     o, n = with_ordinal_count(df, keys + list(order_by), "_ord")
     if block_rows is None:
         block_rows = adaptive_block_rows(n, df.sparkSession.sparkContext.defaultParallelism)
     b = with_blocks(o, "_ord", block_rows, back, ahead)
     win = Window.partitionBy(*keys, "_blk").orderBy("_ord")
     rn = F.row_number().over(win)
-    # A series with <= k rows: for its r-th row, no row sits k+1-r places later.
-    # Such rows are near the series start; the look-ahead copy keeps the rows
-    # that follow them visible even at a block end.
-    short = {}
-    for k in lags:
-        cond = F.lit(False)
-        for r in range(1, k + 1):
-            cond = F.when(rn == r, F.lead("_ord", k + 1 - r).over(win).isNull()).otherwise(cond)
-        short[k] = cond
-    feats = _exprs(win, rolling, lag_cols, windows, lags, rate, rn, short)
-    return (b.select("*", *feats).where(F.col("_halo") == 0)
+    return (b.select("*", *build(win, rn)).where(F.col("_halo") == 0)
             .drop("_ord", "_blk", "_halo"))
 
 
@@ -141,7 +153,8 @@ def first_rows(df: DataFrame, order_by: Sequence[str], n: int = 200) -> DataFram
 def recent_history(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str],
                    value_col: str, rows: int = 60) -> DataFrame:
     """For each row, the trailing ``rows`` values of its series as an array
-    (bounded: at most ``rows`` elements per row)."""
-    w = (Window.partitionBy(*partition_by).orderBy(*order_by)
-         .rowsBetween(-(rows - 1), Window.currentRow))
-    return df.withColumn("history", F.collect_list(F.col(value_col)).over(w))
+    (at most ``rows`` elements per row), computed per (series, block)."""
+    def build(win, rn):
+        fr = win.rowsBetween(-(rows - 1), Window.currentRow)
+        return [F.collect_list(F.col(value_col)).over(fr).alias("history")]
+    return blocked_window(df, order_by, partition_by, rows - 1, 0, build)
