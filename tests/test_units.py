@@ -187,3 +187,23 @@ def test_overlay_expression_equals_join(spark):
         a = whatif.overlay_expr(st, ev.collect(), ["p2", "p3"], fix).orderBy("seq", "step").collect()
         b = whatif.overlay_join(st, ev, "seq", ["p2", "p3"], fix).orderBy("seq", "step").collect()
         assert [(r.seq, r.step, r.p2, r.p3) for r in a] == [(r.seq, r.step, r.p2, r.p3) for r in b]
+
+
+def test_sticky_alert_blocks_equal_range_frame(spark):
+    from pyspark.sql import Window
+    from ohmflow.operators import alerts
+    rows = [(k, i, i * 3 + (k % 2), float(((i * 37 + k * 11) % 17) - 8)) for k in range(3)
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, i int, sec long, z double") \
+        .withColumn("ts", F.timestamp_seconds("sec"))
+    breach = F.abs(F.col("z")) >= 6
+    msg = F.concat(F.lit("z="), F.col("z").cast("string"))
+    got = alerts.sticky_alert(df, "ts", ["k"], breach, msg, block_rows=37) \
+        .select("k", "i", "active_alert", "alert_age_s").orderBy("k", "i").collect()
+    t = F.unix_micros("ts")
+    w = Window.partitionBy("k").orderBy(t).rangeBetween(-10_000_000, 0)
+    ref = (df.withColumn("m", F.when(breach, msg)).withColumn("bt", F.when(breach, t))
+           .select("k", "i", F.last("m", True).over(w).alias("active_alert"),
+                   ((t - F.last("bt", True).over(w)) / 1e6).alias("alert_age_s"))
+           .orderBy("k", "i").collect())
+    assert [tuple(r) for r in got] == [tuple(r) for r in ref]
