@@ -59,10 +59,20 @@ def normalize_label(df: DataFrame, col: str, positive: str = "unstable",
 def invalid_labels(df: DataFrame, col: str, positive: str = "unstable",
                    negative: str = "stable") -> DataFrame:
     txt = F.lower(F.trim(F.col(col).cast("string")))
-    ok = txt.isin(positive, negative) | txt.try_cast("double").isin(0.0, 1.0)
+    ok = F.coalesce(txt.isin(positive, negative) | txt.try_cast("double").isin(0.0, 1.0),
+                    F.lit(False))
     return df.where(~ok | F.col(col).isNull()).select(txt.alias("label")).distinct()
 
 
+def require_binary_target(df: DataFrame, col: str) -> None:
+    """The target column exists and holds at most two distinct values."""
+    if col not in df.columns:
+        raise ValueError(f"Target column '{col}' not found")
+    n = df.agg(F.count_distinct(F.col(col)).alias("n")).first()["n"]
+    if n > 2:
+        raise ValueError(f"Target '{col}' is not binary ({n} distinct values)")
+
+
 def drop_null_rows(df: DataFrame, cols: Sequence[str] = RAW_FEATURES) -> DataFrame:
     """Rows with a null in any of ``cols`` are dropped."""
     return df.na.drop(subset=list(cols))

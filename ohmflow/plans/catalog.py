@@ -1178,3 +1178,27 @@ def q_roundtrip_tables(spark, sf):
     loaded = sio.load_splits(spark, f"{root}/splits", ["train", "val", "test"])
     return _r6(sio.materialize_once(spark, loaded, f"{root}/feed")
                .select("seq", "split", "stabf", *R))
+
+
+@query("first_rows", with_views("readings") + "SELECT seq, " + ", ".join(R)
+       + ", stabf FROM readings ORDER BY seq LIMIT 200")
+def q_first_rows(spark, sf):
+    """The first 200 readings in order (the trend view's head: a top-n
+    is the feature here)."""
+    return temporal.first_rows(readings(spark, sf), ["seq"], 200).select("seq", *R, "stabf")
+
+
+@query("ensemble_metadata", _soft_vote_sql())
+def q_ensemble_metadata(spark, sf):
+    """IO7/IO9/IO10: the soft-vote metadata (weights, threshold) and cluster
+    names written as JSON and a parquet table, read back."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/meta-{uuid.uuid4().hex}"
+    val_ids = split_readings(spark, sf).where(F.col("split") == "val").select("seq")
+    meta = scoring.soft_vote(scored_fixture(spark, sf).join(val_ids, "seq"), "_true_label")
+    sio.write_json_row(_r6(meta), f"{root}/ensemble_meta")
+    sio.write_table(_r6(meta), f"{root}/ensemble_table")
+    back = spark.read.schema(meta.schema).json(f"{root}/ensemble_meta")
+    same = spark.read.parquet(f"{root}/ensemble_table")
+    return back.unionByName(same).distinct()

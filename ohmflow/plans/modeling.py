@@ -130,9 +130,14 @@ def q_score_all_splits(spark, sf):
     names = cluster_names(clustered, "cluster_id", LABEL, CLUSTER_NAMES).select(
         "cluster_id", F.col("name").alias("kmeans_cluster"))
     out = clustered.join(F.broadcast(names), "cluster_id", "left")  # k rows
-    return round_cols(out.select("seq", "split", LABEL, "RF_prob", "XGBoost_prob", "ensemble_prob",
-                                 "ensemble_label", "threshold", "IF_anomaly_score",
-                                 "kmeans_cluster"), 6)
+    out = out.select("seq", "split", LABEL, *R, "RF_prob", "XGBoost_prob", "ensemble_prob",
+                     "ensemble_label", "threshold", "IF_anomaly_score", "kmeans_cluster")
+    # U4: the scored record — tier, z-score map and top-3 reasons vs the baseline
+    # (features are standard-scaled here, so the baseline is taken on them too)
+    from ..operators.baseline import baseline_stats
+    base = baseline_stats(tr, R, label=LABEL, stable_value=0, quartiles=False)
+    rec = scoring.assemble(out, base, R, keep=["seq"])
+    return round_cols(rec.drop(*R), 6)
 
 
 @query("cross_validate")

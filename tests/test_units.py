@@ -207,3 +207,20 @@ def test_sticky_alert_blocks_equal_range_frame(spark):
                    ((t - F.last("bt", True).over(w)) / 1e6).alias("alert_age_s"))
            .orderBy("k", "i").collect())
     assert [tuple(r) for r in got] == [tuple(r) for r in ref]
+
+
+def test_projection_labels_and_lookup(spark):
+    from ohmflow.operators import dashboard
+    df = spark.createDataFrame([(1, 2.0, " Unstable "), (2, 3.0, "stable"), (3, 1.0, "maybe")],
+                               "row int, a double, y string")
+    proj = clean.project_features(df, ["a", "missing"], keep=["row"])
+    assert proj.columns == ["row", "a", "missing"] and proj.first()["missing"] == 0.0   # P2
+    norm = [r.y for r in clean.normalize_label(df, "y").orderBy("row").collect()]
+    assert norm == [1, 0, None]                                                          # P10
+    assert [r.label for r in clean.invalid_labels(df, "y").collect()] == ["maybe"]
+    clean.require_binary_target(df.where("row < 3"), "y")                                # P11
+    with pytest.raises(ValueError, match="not binary"):
+        clean.require_binary_target(df, "y")
+    with pytest.raises(ValueError, match="not found"):
+        clean.require_binary_target(df, "zz")
+    assert dashboard.lookup_row(df, 2).first()["a"] == 3.0                               # P15
