@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import pearson
-from .common import attach_row
 from .stats import exact_quantiles, qname
 
 
@@ -94,5 +93,3 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     agg = df.agg(*[F.avg(c).alias(c) for c in cols])
     return agg.unpivot([], list(cols), "feature", "mean")
 
-
-__all__ = ["attach_row"]

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, importance, isoforest, models, prepare, scoring, temporal
 from ..operators.common import materialize, round_cols
-from ..operators.sequence import with_ordinal
 from ..schema import CLUSTER_NAMES, RAW_FEATURES as R
-from .catalog import IMPORTANCE_FEATURES, cleaned_readings, split_readings, stable_baseline
+from .catalog import IMPORTANCE_FEATURES, cleaned_readings, split_readings
 from .registry import query
 
 FEATS = IMPORTANCE_FEATURES  # 12 raw + edge loads
@@ -244,5 +243,3 @@ def q_score_modes(spark, sf):
     return round_cols(a.join(b, "seq").withColumn("tier_sequence", risk_tier(F.col("prob_sequence")))
                       .withColumn("tier_independent", risk_tier(F.col("prob_independent"))), 6)
 
-
-_ = (with_ordinal, stable_baseline)
