@@ -224,3 +224,17 @@ def test_projection_labels_and_lookup(spark):
     with pytest.raises(ValueError, match="not found"):
         clean.require_binary_target(df, "zz")
     assert dashboard.lookup_row(df, 2).first()["a"] == 3.0                               # P15
+
+
+def test_knn_exact_with_sharded_dense_cells(spark, monkeypatch):
+    import numpy as np
+    from ohmflow.operators import neighbors
+    monkeypatch.setattr(neighbors, "SHARD_ROWS", 7)   # force probe/target shards
+    rng = np.random.default_rng(1)
+    pts = np.vstack([rng.normal(0, 0.01, (80, 3)), rng.normal(3, 1, (40, 3))])  # one dense cluster
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)],
+                               "id long, a double, b double, c double")
+    got = {r.id: [n.nid for n in r.neighbors] for r in neighbors.knn(df, "id", ["a", "b", "c"], 5).collect()}
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+    for i in range(len(pts)):
+        assert got[i] == [j for _, j in sorted((d[i, j], j) for j in range(len(pts)) if j != i)][:5]
