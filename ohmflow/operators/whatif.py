@@ -3,10 +3,11 @@ overlay interval events, optionally switch to a rebased fix schedule.
 
 Per step, an event holds ``start + t·(end − start)`` inside [s, e] (t =
 (step−s)/max(e−s,1)), its end value after e, nothing before s; when several
-events touch a feature the later one in list order wins. This is a range
-join of (row, step) with the small event table (events of one scenario are a
-handful of rows, broadcast) followed by ``max_by(value, ordinal)`` per
-(row, step, feature) — no per-row Python."""
+events touch a feature the later one in list order wins. A scenario's few
+events compile to per-feature CASE expressions over the exploded steps
+(row-local); large event tables take a bucketed range join (events expanded
+over the steps they affect, equi-joined on step) and ``max_by(value,
+ordinal)`` per (row, step, feature). No per-row Python either way."""
 
 from __future__ import annotations
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import interpolate, resolve_target
 from ..schema import RAW_FEATURES
+from .common import attach_row
 
 EVENT_SCHEMA = ("scenario string, ordinal int, phase string, feature string, start_step int, "
                 "end_step int, start_val double, end_val string")
@@ -89,8 +91,15 @@ def overlay_join(stepped: DataFrame, events: DataFrame, id_col: str,
                            .otherwise(F.col("end_step")))
     in_phase = (F.col("phase") == "main") if fix_at_step is None else F.when(
         F.col("step") >= F.lit(fix_at_step), F.col("phase") == "fix").otherwise(F.col("phase") == "main")
-    j = stepped.join(F.broadcast(ev), F.col("step") >= F.col("start_step"))  # range join
-    j = j.where(in_phase)
+    # Range join by bucketing: each event is expanded to the steps it affects
+    # (start_step .. last step of the run) — a table of events × steps, sized by
+    # the scenario, not the data — and joined on ``step`` (an equi-join; Spark
+    # picks broadcast or shuffle by the size of that table).
+    last = stepped.agg(F.max("step").alias("_last"))
+    ev = attach_row(ev, last)
+    ev = ev.withColumn("step", F.explode(F.sequence(F.col("start_step"),
+                                                     F.greatest(F.col("_last"), F.col("start_step")))))
+    j = stepped.join(ev.drop("_last"), "step").where(in_phase)
     base_val = F.coalesce(*[F.when(F.col("feature") == c, F.col(c)) for c in features])
     s0 = F.coalesce(F.col("start_val"), base_val)
     s1 = resolve_target(F.col("end_val"), s0)
