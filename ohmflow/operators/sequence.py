@@ -64,19 +64,20 @@ def with_blocks(df: DataFrame, ord_col: str, block_rows: int, back: int, ahead:
     """
     if block_rows <= max(back, ahead):
         raise ValueError("block_rows must exceed the halo widths")
-    o = df.withColumn(block, F.floor(F.col(ord_col) / F.lit(block_rows)))
+    blk = F.floor(F.col(ord_col) / F.lit(block_rows))
     pos = F.pmod(F.col(ord_col), F.lit(block_rows))
-    parts = [o.withColumn(role, F.lit(0))]
+
+    def copy(b, r):
+        return F.struct(b.cast("long").alias("b"), F.lit(r).alias("r"))
+    # one pass over the rows: each row yields itself and, near a block edge,
+    # its copies for the neighbouring block (no union of three scans)
+    copies = [copy(blk, 0)]
     if back > 0:
-        parts.append(o.where(pos >= F.lit(block_rows - back))
-                     .withColumn(block, F.col(block) + 1).withColumn(role, F.lit(1)))
+        copies.append(F.when(pos >= F.lit(block_rows - back), copy(blk + 1, 1)))
     if ahead > 0:
-        parts.append(o.where((pos < F.lit(ahead)) & (F.col(block) > 0))
-                     .withColumn(block, F.col(block) - 1).withColumn(role, F.lit(2)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        copies.append(F.when((pos < F.lit(ahead)) & (blk > 0), copy(blk - 1, 2)))
+    return (df.withColumn("_cp", F.explode(F.filter(F.array(*copies), lambda c: c.isNotNull())))
+            .withColumn(block, F.col("_cp.b")).withColumn(role, F.col("_cp.r")).drop("_cp"))
 
 
 def cumulative_sums(df: DataFrame, group: Sequence[str], order: Sequence[str],
