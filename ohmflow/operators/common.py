@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row table (a global aggregate) to every row.
 
-    The right side is an aggregate without grouping keys, so it has exactly
-    one row: broadcasting it is size-safe. Equi-join on a constant key, so the
-    plan is a broadcast hash join (no nested loop).
-    """
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one")
-            .drop("_one"))
+    Batch plans use one uncorrelated scalar subquery returning a struct of all
+    the columns: Spark runs it once and inlines the values in the projection,
+    so there is no join at all. Streaming plans (stream–static) use a
+    broadcast of the one-row table instead."""
+    if df.isStreaming:
+        return (df.withColumn("_one", F.lit(1))
+                .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one")
+                .drop("_one"))
+    packed = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
+    return df.select("*", *[packed[c].alias(c) for c in one_row.columns])
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str],
