@@ -12,8 +12,10 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row table (a global aggregate) to every row.
 
     The right side is an aggregate without grouping keys, so it has exactly
-    one row: broadcasting it is size-safe. Equi-join on a constant key, so the
-    plan is a broadcast hash join (no nested loop).
+    one row: broadcasting it is size-safe. Catalyst folds the constant key, so
+    the plan is a broadcast nested-loop join against that single row — a
+    map-side attach, no shuffle of ``df``. (A scalar subquery per column would
+    re-run the aggregate once per column.)
     """
     return (df.withColumn("_one", F.lit(1))
             .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one")
