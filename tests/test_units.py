@@ -238,3 +238,17 @@ def test_knn_exact_with_sharded_dense_cells(spark, monkeypatch):
     d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
     for i in range(len(pts)):
         assert got[i] == [j for _, j in sorted((d[i, j], j) for j in range(len(pts)) if j != i)][:5]
+
+
+def test_model_save_and_load(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegressionModel
+    from ohmflow.operators import models
+    from ohmflow.sources import io as sio
+    df = spark.createDataFrame([(float(i), float(i % 7), int(i % 2)) for i in range(60)],
+                               "a double, b double, y int")
+    m = models.logistic("y", 60).fit(models.assemble(df, ["a", "b"]))
+    sio.save_model(m, str(tmp_path / "lr"))                                             # IO8
+    back = LogisticRegressionModel.load(str(tmp_path / "lr"))
+    a = [r.prediction for r in m.transform(models.assemble(df, ["a", "b"])).collect()]
+    b = [r.prediction for r in back.transform(models.assemble(df, ["a", "b"])).collect()]
+    assert a == b
