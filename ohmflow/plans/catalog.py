@@ -1202,3 +1202,10 @@ def q_ensemble_metadata(spark, sf):
     back = spark.read.schema(meta.schema).json(f"{root}/ensemble_meta")
     same = spark.read.parquet(f"{root}/ensemble_table")
     return back.unionByName(same).distinct()
+
+
+@query("profile_head", with_views("readings") + "SELECT seq, " + ", ".join(R)
+       + ", stab, stabf FROM readings ORDER BY seq LIMIT 5")
+def q_profile_head(spark, sf):
+    """A1: the first five readings shown by the profile (a head is the feature)."""
+    return temporal.first_rows(readings(spark, sf), ["seq"], 5).select("seq", *R, "stab", "stabf")
