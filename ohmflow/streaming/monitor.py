@@ -68,7 +68,9 @@ def _sticky(seconds: int):
             yield pd.DataFrame({"user_id": [uid], "ts": [pd.Timestamp(expires, unit="ms")],
                                 "kind": ["clear"], "message": [msg]})
             return
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+        frames = [p for p in pdfs if len(p)]
+        rows = (pd.concat(frames).sort_values(["ts", "event_id"]) if frames
+                else pd.DataFrame({"ts": [], "event_id": [], "z": []}))
         br = rows[rows["z"].abs() >= STATUS_ELEVATED_AT]
         out = []
         pending = state.get if state.exists else None
