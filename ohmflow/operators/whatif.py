@@ -34,19 +34,24 @@ EXPRESSION_EVENTS_MAX = 256
 
 
 def overlay(stepped: DataFrame, events: DataFrame, id_col: str,
-            features: Sequence[str] = RAW_FEATURES, fix_at_step: int | None = None) -> DataFrame:
+            features: Sequence[str] = RAW_FEATURES, fix_at_step: int | None = None,
+            scenario_col: str | None = None) -> DataFrame:
     """J4 entry point. A scenario's schedule is a handful of rows: when the
     (counted) event table is small it becomes per-feature CASE expressions —
     row-local, no join, no shuffle; larger tables take the range-join path."""
     if events.limit(EXPRESSION_EVENTS_MAX + 1).count() <= EXPRESSION_EVENTS_MAX:
-        return overlay_expr(stepped, events.collect(), features, fix_at_step)
+        return overlay_expr(stepped, events.collect(), features, fix_at_step, scenario_col)
+    if scenario_col is not None:
+        raise ValueError("multi-scenario runs take at most "
+                         f"{EXPRESSION_EVENTS_MAX} events; run scenarios separately")
     return overlay_join(stepped, events, id_col, features, fix_at_step)
 
 
 def overlay_expr(stepped: DataFrame, events, features: Sequence[str] = RAW_FEATURES,
-                 fix_at_step: int | None = None) -> DataFrame:
+                 fix_at_step: int | None = None, scenario_col: str | None = None) -> DataFrame:
     """Same semantics as ``overlay_join`` with the events as literals: for each
-    feature, the applicable event with the highest ordinal wins."""
+    feature, the applicable event with the highest ordinal wins. With
+    ``scenario_col`` an event applies only to rows of its own scenario."""
     step = F.col("step")
     out = {}
     for f in features:
@@ -69,6 +74,8 @@ def overlay_expr(stepped: DataFrame, events, features: Sequence[str] = RAW_FEATU
             val = F.when(step <= F.lit(en), interpolate(step, F.lit(s), F.lit(en), s0, s1)) \
                 .otherwise(s1)
             cond = live & (step >= F.lit(s))
+            if scenario_col is not None:
+                cond = cond & (F.col(scenario_col) == F.lit(e["scenario"]))
             expr = F.when(cond, val) if expr is None else expr.when(cond, val)
         out[f] = expr.otherwise(F.col(f))
     return stepped.withColumns(out)

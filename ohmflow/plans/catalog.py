@@ -1209,3 +1209,57 @@ def q_ensemble_metadata(spark, sf):
 def q_profile_head(spark, sf):
     """A1: the first five readings shown by the profile (a head is the feature)."""
     return temporal.first_rows(readings(spark, sf), ["seq"], 5).select("seq", *R, "stab", "stabf")
+
+
+# ---- fixed values: the reference's five preset scenarios (name, feature,
+# start step, end step, start value, end value) ----
+PRESET_EVENTS = [
+    ("Consumer Spike — Node 1", "p2", 5, 20, None, "3x"),
+    ("Consumer Spike — Node 2", "p3", 5, 20, None, "3x"),
+    ("Generator Sag", "p1", 3, 25, None, "0.2x"),
+    ("Response Slowdown — Node 1", "tau2", 5, 25, None, "9.8"),
+    ("Cascading Overload", "p2", 3, 18, None, "3x"),
+    ("Cascading Overload", "p3", 13, 28, None, "3x"),
+]
+PRESET_FEATURES = ["tau2", "p1", "p2", "p3"]
+
+
+def _presets_sql() -> str:
+    rows = ", ".join(f"('{n}', {i}, '{f}', {s0}, {s1}, '{e}')"
+                     for i, (n, f, s0, s1, _sv, e) in enumerate(PRESET_EVENTS))
+    names = ", ".join(f"('{n}')" for n in dict.fromkeys(n for n, *_ in PRESET_EVENTS))
+    base_val = "CASE ev.feature " + " ".join(f"WHEN '{x}' THEN st.{x}" for x in R) + " END"
+    s1 = (f"CASE WHEN lower(trim(ev.end_val)) LIKE '%x' THEN {base_val} * TRY_CAST(substr("
+          f"trim(ev.end_val), 1, length(trim(ev.end_val)) - 1) AS DOUBLE) "
+          f"ELSE TRY_CAST(trim(ev.end_val) AS DOUBLE) END")
+    interp = (f"{base_val} + CAST(st.step - ev.start_step AS DOUBLE) / CAST(greatest(ev.end_step"
+              f" - ev.start_step, 1) AS DOUBLE) * ({s1} - {base_val})")
+    cols = ", ".join(
+        f"{r6(f'coalesce(max(CASE WHEN a.feature = {chr(39)}{x}{chr(39)} THEN a.value END), any_value(st2.{x}))')} AS {x}"
+        for x in PRESET_FEATURES)
+    return _capped_sql() + f""",
+ev AS (SELECT * FROM (VALUES {rows}) t(scenario, ordinal, feature, start_step, end_step, end_val)),
+sc AS (SELECT * FROM (VALUES {names}) t(scenario)),
+st AS (SELECT c.*, sc.scenario, s.step FROM capped c, sc, range(0, {SCENARIO_STEPS}) s(step)),
+j AS (SELECT st.seq, st.scenario, st.step, ev.feature, ev.ordinal,
+        CASE WHEN st.step <= ev.end_step THEN {interp} ELSE {s1} END AS value
+      FROM st JOIN ev ON st.scenario = ev.scenario AND st.step >= ev.start_step),
+a AS (SELECT seq, scenario, step, feature, arg_max(value, ordinal) AS value FROM j GROUP BY ALL),
+st2 AS (SELECT * FROM st)
+SELECT st2.seq, st2.scenario, CAST(st2.step AS INTEGER) AS step, {cols}
+FROM st2 LEFT JOIN a USING (seq, scenario, step) GROUP BY st2.seq, st2.scenario, st2.step"""
+
+
+@query("scenario_presets", _presets_sql())
+def q_scenario_presets(spark, sf):
+    """M21 over every preset: each cleaned reading as the base row of each
+    preset scenario, 40 steps (rows × scenarios × steps, all row-local)."""
+    c = cleaned_readings(spark, sf).select("seq", *R)
+    names = list(dict.fromkeys(n for n, *_ in PRESET_EVENTS))
+    ev = spark.createDataFrame(
+        [(n, i, "main", f, s0, s1, sv, e) for i, (n, f, s0, s1, sv, e) in enumerate(PRESET_EVENTS)],
+        whatif.EVENT_SCHEMA)
+    with_sc = c.withColumn("scenario", F.explode(F.array(*[F.lit(n) for n in names])))
+    stepped = whatif.expand_steps(with_sc, "seq", SCENARIO_STEPS)
+    out = whatif.overlay(stepped, ev, "seq", scenario_col="scenario")
+    return _r6(out.select("seq", "scenario", "step", *PRESET_FEATURES))
