@@ -6,9 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import minhash, quality_rules
+from . import decontam, minhash, quality_rules
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -32,3 +33,37 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"),
                                        table(spark, sf_dir, "labels"))
+
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          f"'abcdefghijklmnopqrstuvwxyz'), '{_ALNUM}')")
+
+
+@query("op5_benchmark_decontamination", f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, w[k:k + least(10, len(w)) - 1] AS g, least(10, len(w)) AS n
+        FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(k) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+grams AS (SELECT doc_id, k, s.n, w[k:k + s.n - 1] AS g
+          FROM d, sizes s, unnest(range(1, len(w) - s.n + 2)) AS u(k)),
+hit AS (SELECT doc_id, item_id, k, win.n FROM grams JOIN win USING (g)),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+          FROM hit, unnest(range(k, k + n)) AS u(p) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+          string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s
+          FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"),
+                                   table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit",
+                        F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
