@@ -187,9 +187,10 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
                              F.when(kind == KINDS[0], made[KINDS[0]])), m)
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal values of ``text_col`` replaced, and pii_<kind>
-    counts (long) added; every other column and row is passed through.
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text",
+                 counts: bool = True) -> DataFrame:
+    """``docs`` with personal values of ``text_col`` replaced, and (``counts``)
+    pii_<kind> counts (long) added; all other columns and rows pass through.
 
     A null text stays null with zero counts; an empty one stays empty. Values
     that fail validation (a wrong check digit, an impossible day, an octet over
@@ -207,7 +208,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
         lambda g, v: F.array(g, F.coalesce(v, F.lit(""))))), "")
     changed = F.coalesce(F.exists("_found", lambda x: x["k"].isNotNull()), F.lit(False))
     rows = rows.withColumn(text_col, F.when(changed, rebuilt).otherwise(F.col(text_col)))
-    for k in KINDS:
+    for k in KINDS if counts else ():
         rows = rows.withColumn(f"pii_{k}", F.coalesce(F.size(F.filter(
             "_found", _is(k))), F.lit(0)).cast("long"))
     return rows.drop("_found", "_gaps")

@@ -108,31 +108,24 @@ def base_counts(w: Words) -> dict[str, np.ndarray]:
             "n_repeat_words": rep}
 
 
-def score_documents(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD,
-                    buckets: int = BUCKETS) -> DataFrame:
-    """Base counts, llr and verdict per row, in one pass without a shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(ratios)
-    ids = docs.select("doc_id").schema[0].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            key, text = batch.column(0), batch.column(1)
-            for lo, hi in slices(text):
-                w = words(text.slice(lo, hi - lo), SPACED)
-                c = base_counts(w)
-                bins, of = _bins(w, buckets)
-                n = np.bincount(of, minlength=hi - lo)
-                llr = np.bincount(of, model.value[bins], minlength=hi - lo) / np.maximum(n, 1)
-                failed = (c["n_words"] < MIN_WORDS) | (
-                    100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
-                yield pa.RecordBatch.from_arrays(
-                    [key.slice(lo, hi - lo), *[pa.array(v.astype(np.int64)) for v in c.values()],
-                     pa.array(failed), pa.array(~failed & (llr >= threshold)), pa.array(llr)],
-                    ["doc_id", *c, "base_failed", "kept", "llr"])
-
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {ids}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-             "n_repeat_words long, base_failed boolean, kept boolean, llr double")
+def _verdicts(text: pa.Array, ratios: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
+    """Base counts, base_failed, kept and llr of each text of a slice."""
+    w = words(text, SPACED)
+    c = base_counts(w)
+    bins, of = _bins(w, len(ratios))
+    n = np.bincount(of, minlength=len(text))
+    llr = np.bincount(of, ratios[bins], minlength=len(text)) / np.maximum(n, 1)
+    failed = (c["n_words"] < MIN_WORDS) | (
+        100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+    return {**{k: v.astype(np.int64) for k, v in c.items()}, "base_failed": failed,
+            "kept": ~failed & (llr >= threshold), "llr": llr}
+
+
+def _ratios(docs: DataFrame, labels: DataFrame, buckets: int) -> np.ndarray:
+    docs = docs.select("doc_id", "text")
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    target = ngram_counts(docs.join(good, "doc_id", "left_semi"), buckets)
+    return log_ratios(target, ngram_counts(docs, buckets), buckets)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
@@ -146,8 +139,34 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     name no document change nothing else. Empty tables give an empty result;
     columns other than doc_id and text are ignored.
     """
-    docs = docs.select("doc_id", "text")
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    target = ngram_counts(docs.join(good, "doc_id", "left_semi"), buckets)
-    ratios = log_ratios(target, ngram_counts(docs, buckets), buckets)
-    return score_documents(docs, ratios, threshold, buckets)
+    model = docs.sparkSession.sparkContext.broadcast(_ratios(docs, labels, buckets))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            key, text = batch.column(0), batch.column(1)
+            for lo, hi in slices(text):
+                v = _verdicts(text.slice(lo, hi - lo), model.value, threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [key.slice(lo, hi - lo), *map(pa.array, v.values())], ["doc_id", *v])
+
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+             "n_repeat_words long, base_failed boolean, kept boolean, llr double")
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
+                   buckets: int = BUCKETS) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns,
+    without a shuffle. Cases as there."""
+    model = docs.sparkSession.sparkContext.broadcast(_ratios(docs, labels, buckets))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for lo, hi in slices(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                v = _verdicts(part.column(at), model.value, threshold)
+                yield part.filter(pa.array(v["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import (classifier, decontam, html_diff, lm, minhash, packing, pii, quality_rules,
-               warc)
+from . import (chat_format, classifier, decontam, html_diff, lm, minhash, packing, pii,
+               quality_rules, warc)
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -75,7 +75,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-@query("op4_warc_normaliser")
+@query("op4_warc_normaliser", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS h,
+        max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(
+         h, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31) AS INTEGER) + 1, 1)
+         FOR k IN range(32)], 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -105,3 +116,78 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_diff.extract(table(spark, sf_dir, "pages")).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "lines_deleted")
+
+
+#: argument schemas of the derived tools
+TOOL_SCHEMAS = {
+    "reply": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False,
+              "properties": {"prompt": {"type": "string", "minLength": 20},
+                             "turn": {"type": "integer", "minimum": 0}}},
+    "configure": {"type": "object", "required": ["prompt", "turn"],
+                  "properties": {"prompt": {"type": "string", "minLength": 1},
+                                 "turn": {"type": "integer", "maximum": 0}}},
+}
+
+
+def tool_traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results read out of plain conversations: a user turn calls
+    ``reply``, a system turn ``configure``, an assistant turn is the result of
+    the call one turn before; a user turn builds on the call two turns before."""
+    turn = F.col("turn").cast("long")
+
+    def name(t):
+        return F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
+    asks = conversations.where("role in ('user', 'system')")
+    calls = asks.select(
+        "conv_id", name(turn).alias("call_id"), turn.alias("seq"),
+        F.when(F.col("role") == "user", "reply").otherwise("configure").alias("name"),
+        F.to_json(F.struct(F.col("text").alias("prompt"), turn.alias("turn"))).alias("arguments"),
+        F.when(F.col("role") == "user", name(turn - 2)).alias("parent"))
+    results = conversations.where("role = 'assistant'").select(
+        "conv_id", name(turn - 1).alias("call_id"), turn.alias("seq"), F.col("text").alias("content"))
+    return calls, results
+
+
+@query("op2_tool_call_linking", """
+WITH c AS (SELECT conv_id, 'c' || conv_id || '-' || turn AS call_id, turn AS seq,
+             CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name, text, turn,
+             CASE role WHEN 'user' THEN 'c' || conv_id || '-' || (turn - 2) END AS parent
+           FROM conversations WHERE role IN ('user', 'system')),
+r AS (SELECT conv_id, 'c' || conv_id || '-' || (turn - 1) AS call_id, turn AS seq, text AS content
+      FROM conversations WHERE role = 'assistant'),
+chain AS (SELECT conv_id, turn, turn - 2 * row_number() OVER (
+            PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island
+          FROM c WHERE name = 'reply'),
+-- a parent may also be a system call, which has no parent itself
+d AS (SELECT a.conv_id, a.turn, row_number() OVER (PARTITION BY a.conv_id, a.turn % 2, a.island
+          ORDER BY a.turn) - 1 + max(CASE WHEN s.turn IS NULL THEN 0 ELSE 1 END) OVER (
+          PARTITION BY a.conv_id, a.turn % 2, a.island) AS depth
+      FROM chain a LEFT JOIN c s ON s.conv_id = a.conv_id AND s.name = 'configure'
+        AND s.turn = a.turn - 2 ),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id,
+        c.name, c.text, c.turn, r.content, coalesce(c.seq, r.seq) AS seq,
+        CASE WHEN c.call_id IS NULL THEN 'no_call' WHEN r.call_id IS NULL THEN 'no_result'
+             ELSE 'linked' END AS status,
+        CASE WHEN c.call_id IS NOT NULL THEN coalesce(d.depth, 0) END AS depth
+      FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+      LEFT JOIN d ON d.conv_id = c.conv_id AND d.turn = c.turn AND c.name = 'reply'),
+e AS (SELECT *, CASE WHEN status = 'no_call' THEN CAST([] AS VARCHAR[]) ELSE [x FOR x IN [
+        CASE WHEN text IS NULL THEN '$.prompt: missing' END,
+        CASE WHEN name = 'reply' AND length(text) < 20 OR length(text) < 1 THEN '$.prompt: too short' END,
+        CASE WHEN name = 'reply' AND turn < 0 THEN '$.turn: below minimum' END,
+        CASE WHEN name = 'configure' AND turn > 0 THEN '$.turn: above maximum' END]
+        IF x IS NOT NULL] END AS errors FROM j)
+SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id ORDER BY
+         coalesce(depth, 4611686018427387904), seq, call_id) - 1 AS position,
+       CAST(depth AS BIGINT) AS depth, status, status <> 'no_call' AND len(errors) = 0 AS valid,
+       array_to_string(errors, '; ') AS errors, '{"arguments":' || CASE WHEN status = 'no_call' THEN 'null' ELSE
+         '{"prompt":' || to_json(text) || ',"turn":' || turn || '}' END || ',"id":' || to_json(call_id)
+         || ',"name":' || CASE WHEN name IS NULL THEN 'null' ELSE to_json(name) END || ',"result":'
+         || CASE WHEN content IS NULL THEN 'null' ELSE to_json(content) END || ',"status":"' || status
+         || '"}' AS record
+FROM e
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_traffic(table(spark, sf_dir, "conversations"))
+    return chat_format.link_calls(calls, results, TOOL_SCHEMAS).withColumn(
+        "errors", F.array_join("errors", "; "))
