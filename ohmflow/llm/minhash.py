@@ -7,11 +7,13 @@ minhashes each cost only the square root of the usual hashing. Keys are formed
 only from collections whose value another document shares (a key cannot
 collide otherwise), and every candidate is confirmed on full shingle sets.
 
-Equal sets fold into one class first. Members of a bucket are then compared
-with the bucket's leader; where a bucket still spans several components, its
-members outside the largest one are compared with all others. So every
-colliding pair is confirmed or already connected, without emitting the pairs
-of a large group of copies.
+Equal sets fold into one class first. Candidates whose own shingles alone break
+the threshold are left out. Each other member of a bucket is compared with one
+leader, the document of its buckets with the fewest shingles of its own; where a
+bucket still spans several components, its members outside the largest one are
+compared with all others that the shared counts allow. So every colliding pair
+is confirmed, ruled out by a bound, or already connected, without emitting the
+pairs of a large group of copies.
 """
 
 from __future__ import annotations
@@ -108,30 +110,41 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _collisions(reps: DataFrame) -> DataFrame:
-    """(key, doc_id, n) of table buckets with two documents or more."""
+    """(key, i, j, doc_id) of table buckets with two documents or more."""
     def tagged(side):
         return F.transform(side, lambda v, i: F.struct(F.lit(side).alias("s"), i.alias("i"),
                                                        v.alias("v")))
-    halves = (reps.select("doc_id", "n_shingles",
-                          F.explode(F.concat(tagged("a"), tagged("b"))).alias("h"))
-              .select("doc_id", "n_shingles", "h.*"))
+    halves = reps.select("doc_id", F.explode(F.concat(tagged("a"), tagged("b"))).alias("h")
+                         ).select("doc_id", "h.*")
     shared = halves.groupBy("s", "i", "v").count().where("count > 1").drop("count")
-    mine = (halves.join(shared, ["s", "i", "v"]).groupBy("doc_id", "n_shingles")
+    mine = (halves.join(shared, ["s", "i", "v"]).groupBy("doc_id")
             .agg(F.collect_list(F.struct("s", "i", "v")).alias("h")))    # at most 2 m entries
 
     def side(s):
         return F.explode(F.filter("h", lambda x: x["s"] == s))
     keys = (mine.withColumn("x", side("a")).withColumn("y", side("b"))
-            .select(F.xxhash64("x.i", "y.i", "x.v", "y.v").alias("key"), "doc_id", "n_shingles"))
+            .select(F.xxhash64("x.i", "y.i", "x.v", "y.v").alias("key"),
+                    F.col("x.i").alias("i"), F.col("y.i").alias("j"), "doc_id"))
     keys = stored(keys, "keys")
-    led = keys.groupBy("key").agg(F.min("doc_id").alias("leader"),
-                                  F.min_by("n_shingles", "doc_id").alias("leader_n"),
-                                  F.count("*").alias("c")).where("c > 1").drop("c")
-    return stored(keys.join(led, "key"), "buckets")
+    several = keys.groupBy("key").count().where("count > 1").drop("count")
+    return stored(keys.join(several, "key"), "buckets")
 
 
-def _near(n1: str, n2: str, percent: int) -> Column:
-    return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2})")
+def _linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, s): set size and how many of its shingles any other candidate
+    has. A document whose own shingles alone break the threshold has no link and
+    is left out: J(x, y) <= s(x) / n(x)."""
+    grams = sets.select("doc_id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    common = grams.groupBy("g").count().where("count > 1").drop("count")
+    return (grams.join(common, "g").groupBy("doc_id", "n").agg(F.count("*").alias("s"))
+            .where(F.col("s") * 100 >= F.col("n") * percent))
+
+
+def _bound(n1: str, s1: str, n2: str, s2: str, percent: int) -> Column:
+    """Whether two documents can reach the threshold, as their intersection is at
+    most the smaller of their shared counts."""
+    most = F.least(s1, s2)
+    return most * 100 >= (F.col(n1) + F.col(n2) - most) * percent
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,32 +184,46 @@ def near_duplicates(docs: DataFrame, percent: int = 85, half: int = HALF,
                       ["doc_id", "f1", "f2", "n_shingles"], "left_semi")
             .dropDuplicates(["doc_id", "f1", "f2"]))
     buckets = _collisions(reps)
-    first = stored(buckets.where("leader <> doc_id").where(_near("n_shingles", "leader_n", percent))
-                   .select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(),
-                   "pairs")
     wanted = buckets.select("doc_id").distinct()
     sets = stored(shingle_sets(docs.join(wanted, "doc_id", "left_semi")).distinct(), "sets")
+    members = stored(buckets.join(_linkable(sets, percent), "doc_id"), "members")
+
+    # first each member with one leader: of its buckets, the document least of
+    # whose shingles are its own
+    rank = F.struct((F.col("s") * 1_000_000 / F.col("n")).cast("long"), -F.col("doc_id"))
+    lead = members.groupBy("key").agg(F.max_by(F.struct("doc_id", "n", "s"), rank).alias("lead"),
+                                      F.max(rank).alias("r"), F.count("*").alias("c"))
+    led = (members.join(lead.where("c > 1"), "key").groupBy("doc_id", "n", "s")
+           .agg(F.max_by("lead", "r").alias("lead")).select("doc_id", "n", "s", "lead.doc_id",
+                                                            "lead.n", "lead.s")
+           .toDF("a", "na", "sa", "b", "nb", "sb"))
+    first = stored(led.where("a <> b").where(_bound("na", "sa", "nb", "sb", percent)).select(
+        F.col("b").alias("a"), F.col("a").alias("b")), "pairs")
     edges = stored(confirm(first, sets, percent), "links")
     comp = stored(components(edges), "components")
 
-    members = stored(buckets.join(comp, F.col("doc_id") == F.col("node"), "left")
-                     .select("key", "doc_id", "n_shingles",
-                             F.coalesce("component", "doc_id").alias("comp")), "members")
-    parts = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    # then what is left in buckets that still span several components
+    placed = members.join(comp, F.col("doc_id") == F.col("node"), "left").withColumn(
+        "comp", F.coalesce("component", "doc_id")).drop("node", "component")
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct(F.col("c"), -F.col("comp")))
-                                     .alias("main"), F.count("*").alias("k")).where("k > 1")
-    inside = stored(members.join(mixed.drop("k"), "key"), "mixed")
-    if not inside.isEmpty():
-        other = inside.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"),
-                              F.col("comp").alias("cb"))
-        rest = (inside.where("comp <> main").join(other, "key")
-                .where("comp <> cb and (cb = main or doc_id < b)")
-                .where(_near("n_shingles", "nb", percent))
-                .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
-                .distinct().join(first, ["a", "b"], "left_anti"))
-        more = stored(confirm(rest, sets, percent), "links")
-        if not more.isEmpty():
-            comp = stored(components(edges.unionByName(more)), "components")
+                                     .alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    inside = stored(placed.join(mixed, "key").join(reps.select("doc_id", "a", "b"), "doc_id"),
+                    "mixed")
+    other = inside.select("key", F.col("doc_id").alias("doc2"), F.col("n").alias("n2"),
+                          F.col("s").alias("s2"), F.col("comp").alias("comp2"),
+                          F.col("a").alias("a2"), F.col("b").alias("b2"))
+    # a pair counts only in the first bucket that it shares
+    once = ("array_position(zip_with(a, a2, (x, y) -> x = y), true) = i + 1 and "
+            "array_position(zip_with(b, b2, (x, y) -> x = y), true) = j + 1")
+    rest = (inside.where("comp <> main").join(other, "key")
+            .where("comp <> comp2 and (comp2 = main or doc_id < doc2)")
+            .where(_bound("n", "s", "n2", "s2", percent)).where(once)
+            .select(F.least("doc_id", "doc2").alias("a"), F.greatest("doc_id", "doc2").alias("b"))
+            .distinct())
+    more = stored(confirm(rest, sets, percent), "links")
+    if not more.isEmpty():
+        comp = stored(components(edges.unionByName(more)), "components")
 
     rep_of = classes.where("copies > 1").select("f1", "f2", "n_shingles", "rep")
     out = (sig.select("doc_id", "n_shingles", "f1", "f2")
