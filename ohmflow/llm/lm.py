@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .arrays import SPACED, Words, mix, slices, words
 from .store import scratch, stored
 
-FREQUENT = 1536
-ENDINGS = 512
+FREQUENT = 768
+ENDINGS = 256
 CLASSES = 64
 SWEEPS = 12
 PRIOR = 20.0
@@ -226,8 +226,9 @@ def fit(counts: DataFrame, codes_of, classes: int = CLASSES) -> tuple[Model, Dat
     size = FREQUENT + ENDINGS
     pairs = np.zeros((size, size))
     got = (encoded.where("kind = 'pair'").groupBy("term", "number").agg(F.sum("n").alias("n"))
-           .toPandas())
-    pairs[got["term"].to_numpy(np.int64), got["number"].to_numpy(np.int64)] = got["n"].to_numpy()
+           .toArrow())
+    pairs[got.column("term").to_numpy(), got.column("number").to_numpy()] = got.column("n").to_numpy()
+    del got
     cls = exchange(pairs, classes)
     spark = counts.sparkSession
     marked = spark.createDataFrame(pa.table({"term": pa.array(frequent.view(np.int64))}))
