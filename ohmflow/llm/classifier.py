@@ -25,7 +25,7 @@ BUCKETS = 1 << 15
 DIMS = 32
 NONZERO = 4
 REACH = 2
-#: bound on labelled rows used for the fit (smallest hashes of doc_id)
+#: bound on labelled rows used for the fit (chosen by hash of doc_id)
 MAX_LABELLED = 20_000
 HIDDEN = 32
 EPOCHS = 60
@@ -183,6 +183,19 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = EPOCHS
     return net
 
 
+def _taught(x: DataFrame, labels: DataFrame, max_labelled: int) -> Network:
+    """Network fitted on the labelled rows, or on those whose hash of doc_id is
+    below a cut that leaves about ``max_labelled`` (and never more)."""
+    known = stored(x.where("not held_out").join(
+        labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id"), "labelled")
+    known = known.withColumn("h", F.xxhash64("doc_id"))
+    share = min(1.0, 0.97 * max_labelled / max(known.count(), 1))
+    some = known.where(F.pmod("h", F.lit(1_000_000_007)) < int(share * 1_000_000_007) + 1)
+    rows = some.select("h", "doc_id", "quality", "x").toPandas()
+    rows = rows.sort_values(["h", "doc_id", "quality"], kind="stable")[:max_labelled]
+    return fit(np.array(rows["x"].tolist()), rows["quality"].to_numpy(np.float64))
+
+
 def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
              cut: float = CUT) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
@@ -199,11 +212,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     vectors = word_vectors(context_sums(docs))
     x = stored(features(docs, vectors), "features").withColumn(
         "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
-    teach = (x.where("not held_out")
-             .join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
-             .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
-             .select("x", "quality").toPandas())
-    net = fit(np.array(teach["x"].tolist()), teach["quality"].to_numpy(np.float64))
+    net = _taught(x, labels, max_labelled)
     model = docs.sparkSession.sparkContext.broadcast(net)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
