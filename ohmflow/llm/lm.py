@@ -19,6 +19,7 @@ counts of its distinct rare words by a join and is scored as one group.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -54,21 +55,25 @@ class Model(NamedTuple):
     types: int
 
 
-def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes with END after each text, the ending of each, and text bounds."""
+def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Terms with END after each text, and text bounds. A term is a word's hash
+    with the hash of its ending in the top byte."""
     texts = len(w.first) - 1
     bounds = w.first + np.arange(texts + 1)
     at = np.arange(len(w.hash)) + np.repeat(np.arange(texts), np.diff(w.first))
-    h = np.full(len(w.hash) + texts, END, np.uint64)
-    h[at] = w.hash
     tail = np.zeros(len(w.hash), np.uint64)
     for k in range(1, 4):
         inside = w.end - k >= w.start
         byte = np.where(inside, w.data[np.maximum(w.end - k, 0)], 0) if len(w.data) else tail
         tail = tail * np.uint64(256) + byte.astype(np.uint64)
-    ending = np.zeros(len(h), np.int64)
-    ending[at] = (mix(tail + np.uint64(1)) % np.uint64(ENDINGS)).astype(np.int64)
-    return h, ending, bounds
+    h = np.full(len(w.hash) + texts, END, np.uint64)
+    top = mix(tail + np.uint64(1)) % np.uint64(ENDINGS) << np.uint64(56)
+    h[at] = w.hash & np.uint64((1 << 56) - 1) | top
+    return h, bounds
+
+
+def _ending(terms: np.ndarray) -> np.ndarray:
+    return (terms >> np.uint64(56)).astype(np.int64)
 
 
 def _slices(batches, *more: str):
@@ -80,40 +85,41 @@ def _slices(batches, *more: str):
 
 
 def token_counts(train: DataFrame) -> DataFrame:
-    """(term, ending, n) of every token of the training texts."""
+    """(term, n) of every token of the training texts."""
     def run(batches: Iterator[pa.RecordBatch]):
-        for lo, hi, h, ending, bounds in _slices(batches):
-            terms, at, n = np.unique(h, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(terms.view(np.int64)), pa.array(ending[at].astype(np.int32)), pa.array(n)],
-                ["term", "ending", "n"])
+        for _, _, h, _ in _slices(batches):
+            terms, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)],
+                                             ["term", "n"])
 
-    return (train.select("text").mapInArrow(run, "term long, ending int, n long")
-            .groupBy("term", "ending").agg(F.sum("n").alias("n")))
+    return (train.select("text").mapInArrow(run, "term long, n long")
+            .groupBy("term").agg(F.sum("n").alias("n")))
 
 
-def _units(frequent: np.ndarray, units: np.ndarray, h: np.ndarray, ending: np.ndarray):
+def _units(frequent: np.ndarray, units: np.ndarray, h: np.ndarray):
     """Unit of each token, and which tokens are frequent words (their place)."""
+    ending = _ending(h)
     if not len(frequent):
-        return ending.copy(), np.full(len(h), -1)
+        return FREQUENT + ending, np.full(len(h), -1)
     at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
     known = frequent[at] == h
     return np.where(known, units[at], FREQUENT + ending), np.where(known, at, -1)
 
 
 def encode(docs: DataFrame, frequent: np.ndarray, units: np.ndarray) -> DataFrame:
-    """Texts as codes, stored once. Rows of three kinds: ``text`` (slice, doc_id,
-    held_out, codes: place of a frequent word as -1 - place, else the number of a
-    rare word in its slice), ``rare`` (slice, term, ending, number) and ``pair``
-    (unit, next unit, n) over training texts, END leading in each text."""
+    """Texts as codes, stored once. Rows of three kinds: ``text`` (one per slice:
+    ids, held_out and number of tokens of its texts, and their codes: place of a
+    frequent word as -1 - place, else the number of a rare word in its slice),
+    ``rare`` (slice, term, number) and ``pair`` (unit, next unit, n) over
+    training texts, END leading in each text."""
     model = docs.sparkSession.sparkContext.broadcast((frequent, units))
     size = FREQUENT + ENDINGS
-    schema = ("kind string, slice long, doc_id long, held_out boolean, codes binary, "
-              "term long, number int, ending int, n long")
-    names = [c.split()[0] for c in schema.split(", ")]
-    types = {"kind": pa.string(), "slice": pa.int64(), "doc_id": pa.int64(),
-             "held_out": pa.bool_(), "codes": pa.binary(), "term": pa.int64(),
-             "number": pa.int32(), "ending": pa.int32(), "n": pa.int64()}
+    types = {"kind": pa.string(), "slice": pa.int64(), "ids": pa.list_(pa.int64()),
+             "held_out": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()),
+             "codes": pa.binary(), "term": pa.int64(), "number": pa.int32(), "n": pa.int64()}
+    names = list(types)
+    schema = ("kind string, slice long, ids array<long>, held_out array<boolean>, "
+              "sizes array<long>, codes binary, term long, number int, n long")
 
     def rows(size_: int, **cols) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -122,22 +128,22 @@ def encode(docs: DataFrame, frequent: np.ndarray, units: np.ndarray) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]):
         pairs = np.zeros(size * size, np.int64)
         freq, unit_of = model.value
-        for lo, hi, h, ending, bounds, ids, held in _slices(batches, "doc_id", "held_out"):
-            unit, place = _units(freq, unit_of, h, ending)
+        for lo, hi, h, bounds, ids, held in _slices(batches, "doc_id", "held_out"):
+            unit, place = _units(freq, unit_of, h)
             rare = place < 0
-            terms, first, number = np.unique(h[rare], return_index=True, return_inverse=True)
+            terms, number = np.unique(h[rare], return_inverse=True)
             code = -1 - place
             code[rare] = number
             name = uuid.uuid4().int >> 65
-            raw = code.astype("<i4")
-            k = hi - lo
-            yield rows(k, kind=pa.array(["text"] * k), slice=pa.array(np.full(k, name)), doc_id=ids,
-                       held_out=held, codes=pa.array(
-                           [raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]))
+            whole = pa.array([0, hi - lo], pa.int32())
+            yield rows(1, kind=pa.array(["text"]), slice=pa.array([name]),
+                       ids=pa.ListArray.from_arrays(whole, ids.cast(pa.int64())),
+                       held_out=pa.ListArray.from_arrays(whole, held),
+                       sizes=pa.ListArray.from_arrays(whole, pa.array(np.diff(bounds))),
+                       codes=pa.array([_squeeze(code)]))
             k = len(terms)
             yield rows(k, kind=pa.array(["rare"] * k), slice=pa.array(np.full(k, name)),
-                       term=pa.array(terms.view(np.int64)), number=pa.array(np.arange(k)),
-                       ending=pa.array(ending[rare][first]))
+                       term=pa.array(terms.view(np.int64)), number=pa.array(np.arange(k)))
             lead = unit_of[np.searchsorted(freq, END)] if len(freq) else FREQUENT
             previous = np.empty_like(unit)
             previous[1:] = unit[:-1]
@@ -154,6 +160,17 @@ def encode(docs: DataFrame, frequent: np.ndarray, units: np.ndarray) -> DataFram
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
+def _squeeze(codes: np.ndarray) -> bytes:
+    """int32 codes, one byte plane after the other, deflated."""
+    planes = codes.astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _unsqueeze(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
+
+
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -232,7 +249,8 @@ def fit(counts: DataFrame, codes_of, classes: int = CLASSES) -> tuple[Model, Dat
     cls = exchange(pairs, classes)
     spark = counts.sparkSession
     marked = spark.createDataFrame(pa.table({"term": pa.array(frequent.view(np.int64))}))
-    rest = (counts.join(F.broadcast(marked), "term", "left_anti").groupBy("ending")
+    rest = (counts.join(F.broadcast(marked), "term", "left_anti")
+            .groupBy(F.shiftrightunsigned("term", 56).alias("ending"))
             .agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas())
     mass, kinds = np.zeros(classes), np.zeros(classes)
     np.add.at(mass, cls[units], freq_n)
@@ -287,27 +305,29 @@ def score_texts(docs: DataFrame, held_out, classes: int = CLASSES) -> DataFrame:
     counts = stored(token_counts(docs.where("not held_out")), "counts")
     model, encoded = fit(counts, lambda f, u: encode(docs, f, u), classes)
     share = docs.sparkSession.sparkContext.broadcast(model)
-    rare = (encoded.where("kind = 'rare'").select("slice", "term", "number", "ending")
-            .join(counts.select("term", "n"), "term", "left")
-            .select(F.col("slice").alias("part"), F.col("number").alias("number"),
-                    F.col("ending").alias("ending"), F.coalesce("n", F.lit(0)).alias("n")))
-    texts = encoded.where("kind = 'text'").select("slice", "doc_id", "held_out", "codes")
+    # a rare word's number and its ending in one column
+    rare = (encoded.where("kind = 'rare'").select("slice", "term", "number")
+            .join(counts, "term", "left").select(
+                F.col("slice").alias("part"),
+                F.shiftrightunsigned("term", 56).bitwiseOR(
+                    F.shiftleft(F.col("number").cast("long"), 8)).alias("word"),
+                F.coalesce("n", F.lit(0)).alias("count")))
+    texts = encoded.where("kind = 'text'").select("slice", "ids", "held_out", "sizes", "codes")
 
     def run(text: pa.Table, words_: pa.Table) -> pa.Table:
         m = share.value
-        number = words_.column("number").to_numpy()
+        word = words_.column("word").to_numpy()
+        number = word >> 8
         n, ending = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-        n[number] = words_.column("n").to_numpy()
-        ending[number] = words_.column("ending").to_numpy()
-        raw = [b.as_buffer() for b in text.column("codes")]
-        codes = np.concatenate([np.frombuffer(b, "<i4") for b in raw]).astype(np.int64) \
-            if raw else np.zeros(0, np.int64)
-        bounds = np.concatenate([[0], np.cumsum([len(b) // 4 for b in raw])]).astype(np.int64)
-        k = np.diff(bounds)
+        n[number] = words_.column("count").to_numpy()
+        ending[number] = word & 255
+        ids, held, k = (text.column(c).combine_chunks().values for c in ("ids", "held_out", "sizes"))
+        k = k.to_numpy()
+        codes = _unsqueeze(text.column("codes")[0].as_py())
+        bounds = np.concatenate([[0], np.cumsum(k)]).astype(np.int64)
         known, base, score = _scores(m, codes, bounds, n, ending)
         return pa.table({
-            "doc_id": text.column("doc_id"), "held_out": text.column("held_out"),
-            "n_tokens": pa.array(k), "n_known": pa.array(known),
+            "doc_id": ids, "held_out": held, "n_tokens": pa.array(k), "n_known": pa.array(known),
             "train_tokens": pa.array(np.full(len(k), m.total)), "base_score": pa.array(base),
             "score": pa.array(score), "perplexity": pa.array(10 ** np.minimum(-score / k, 300))})
 
