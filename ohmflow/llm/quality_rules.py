@@ -124,7 +124,8 @@ def _verdicts(text: pa.Array, ratios: np.ndarray, threshold: float) -> dict[str,
 def _ratios(docs: DataFrame, labels: DataFrame, buckets: int) -> np.ndarray:
     docs = docs.select("doc_id", "text")
     good = labels.where("quality = 1").select("doc_id").distinct()
-    target = ngram_counts(docs.join(good, "doc_id", "left_semi"), buckets)
+    # one strategy at every size: labels grow with the corpus
+    target = ngram_counts(docs.join(good.hint("merge"), "doc_id", "left_semi"), buckets)
     return log_ratios(target, ngram_counts(docs, buckets), buckets)
 
 
