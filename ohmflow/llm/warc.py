@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from .store import scratch, stored
 
 LEVEL = 6
-ARCHIVE_BYTES = 64 << 20
+ARCHIVE_BYTES = 64 << 20    # of records, before compression
 CHUNK = 1 << 20
 MIN_REVISIT = 0
 DATE = "1970-01-01T00:00:00Z"
 RANGE = 500
+READ_BYTES = 8 << 20
 
 
 def _file(uri: str):
@@ -182,7 +183,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 yield pd.DataFrame(rows, columns=names)
 
     names = ["path", "number", "offset", "length", "record_id"]
-    return archives.select("archive").repartition("archive").mapInPandas(
+    return archives.select("archive").repartition(max(archives.count(), 1), "archive").mapInPandas(
         run, "path string, number long, offset long, length long, record_id string")
 
 
@@ -215,7 +216,9 @@ def read_records(index: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
-    return (index.repartition("path", F.floor(F.col("number") / RANGE))
+    # rows are small but the records behind them are not: a set number of tasks
+    tasks = (index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES + 1
+    return (index.repartition(tasks, "path", F.floor(F.col("number") / RANGE))
             .sortWithinPartitions("path", "offset").select("path", "offset", "length").mapInPandas(
                 run, "page_id long, url string, record_type string, payload_bytes long, "
                      "payload_digest string, refers_to long, payload binary"))
