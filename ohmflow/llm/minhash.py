@@ -11,9 +11,9 @@ Equal sets fold into one class first. Candidates whose own shingles alone break
 the threshold are left out. Each other member of a bucket is compared with one
 leader, the document of its buckets with the fewest shingles of its own; where a
 bucket still spans several components, its members outside the largest one are
-compared with all others that the shared counts allow. So every colliding pair
-is confirmed, ruled out by a bound, or already connected, without emitting the
-pairs of a large group of copies.
+compared with all others that the shared counts and the distances to a common
+leader allow. So every colliding pair is confirmed, ruled out by a bound, or
+already connected, without emitting the pairs of a large group of copies.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ SHINGLE = 5
 HALF = 3
 MISS = 5e-4
 SALTS = 256
+CELLS = 64
 
 
 def collections_for(percent: int, half: int = HALF, miss: float = MISS) -> int:
@@ -131,35 +132,48 @@ def _collisions(reps: DataFrame) -> DataFrame:
 
 
 def _linkable(sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n, s): set size and how many of its shingles any other candidate
-    has. A document whose own shingles alone break the threshold has no link and
-    is left out: J(x, y) <= s(x) / n(x)."""
+    """(doc_id, n, s, cells): set size, how many of its shingles any other
+    candidate has, and those by cell of the hash space. A document whose own
+    shingles alone break the threshold has no link and is left out:
+    J(x, y) <= s(x) / n(x)."""
     grams = sets.select("doc_id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
     common = grams.groupBy("g").count().where("count > 1").drop("count")
-    return (grams.join(common, "g").groupBy("doc_id", "n").agg(F.count("*").alias("s"))
-            .where(F.col("s") * 100 >= F.col("n") * percent))
-
-
-def _bound(n1: str, s1: str, n2: str, s2: str, percent: int) -> Column:
-    """Whether two documents can reach the threshold, as their intersection is at
-    most the smaller of their shared counts."""
-    most = F.least(s1, s2)
-    return most * 100 >= (F.col(n1) + F.col(n2) - most) * percent
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)``, those whose full sets reach the threshold. Side a is
-    copied to salted keys, so a document that is in very many pairs is spread
-    over up to SALTS tasks; a copy is made only where a pair uses it."""
+    cells = (grams.join(common, "g").groupBy("doc_id", "n", F.pmod("g", F.lit(CELLS)).alias("k"))
+             .agg(F.count("*").cast("int").alias("c")))
+    by = F.map_from_entries(F.collect_list(F.struct("k", "c")))     # at most CELLS entries
+    return (cells.groupBy("doc_id", "n").agg(F.sum("c").alias("s"), by.alias("by"))
+            .where(F.col("s") * 100 >= F.col("n") * percent)
+            .select("doc_id", "n", "s", F.transform(
+                F.sequence(F.lit(0), F.lit(CELLS - 1)),
+                lambda k: F.coalesce(F.try_element_at("by", k.cast("long")), F.lit(0))).alias("cells")))
+
+
+def _reachable(percent: int) -> Column:
+    """Whether two rows (n, s, cells) and (n2, s2, cells2) can reach the threshold:
+    their intersection is at most the smaller count of each cell, in sum."""
+    most = F.aggregate(F.zip_with("cells", "cells2", lambda x, y: F.least(x, y)), F.lit(0),
+                       lambda t, x: t + x)
+    least = F.least("s", "s2")
+
+    def enough(k):
+        return k * 100 >= (F.col("n") + F.col("n2") - k) * percent
+    return F.when(enough(least), enough(most)).otherwise(F.lit(False))
+
+
+def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs(a, b)`` with their Jaccard distance d over full sets, and linked.
+    Side a is copied to salted keys, so a document that is in very many pairs is
+    spread over up to SALTS tasks; a copy is made only where a pair uses it."""
     p = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     left = (p.select("a", "salt").distinct()
             .join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a"))
     both = (p.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
             .join(left, ["a", "salt"])
-            .select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"),
-                    F.size(F.array_intersect("ga", "gb")).alias("both")))
-    return both.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
-                      ).select("a", "b")
+            .select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("both"),
+                    (F.size("ga") + F.size("gb")).alias("sum")))
+    union = F.col("sum") - F.col("both")
+    return both.select("a", "b", (1 - F.col("both") / union).alias("d"),
+                       (F.col("both") * 100 >= union * percent).alias("linked"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, half: int = HALF,
@@ -186,42 +200,49 @@ def near_duplicates(docs: DataFrame, percent: int = 85, half: int = HALF,
     buckets = _collisions(reps)
     wanted = buckets.select("doc_id").distinct()
     sets = stored(shingle_sets(docs.join(wanted, "doc_id", "left_semi")).distinct(), "sets")
-    members = stored(buckets.join(_linkable(sets, percent), "doc_id"), "members")
+    facts = stored(_linkable(sets, percent), "facts")
+    members = stored(buckets.join(facts.drop("cells"), "doc_id"), "members")
 
     # first each member with one leader: of its buckets, the document least of
     # whose shingles are its own
     rank = F.struct((F.col("s") * 1_000_000 / F.col("n")).cast("long"), -F.col("doc_id"))
-    lead = members.groupBy("key").agg(F.max_by(F.struct("doc_id", "n", "s"), rank).alias("lead"),
+    lead = members.groupBy("key").agg(F.max_by("doc_id", rank).alias("lead"),
                                       F.max(rank).alias("r"), F.count("*").alias("c"))
-    led = (members.join(lead.where("c > 1"), "key").groupBy("doc_id", "n", "s")
-           .agg(F.max_by("lead", "r").alias("lead")).select("doc_id", "n", "s", "lead.doc_id",
-                                                            "lead.n", "lead.s")
-           .toDF("a", "na", "sa", "b", "nb", "sb"))
-    first = stored(led.where("a <> b").where(_bound("na", "sa", "nb", "sb", percent)).select(
-        F.col("b").alias("a"), F.col("a").alias("b")), "pairs")
-    edges = stored(confirm(first, sets, percent), "links")
+    led = (members.join(lead.where("c > 1"), "key").groupBy(F.col("doc_id").alias("b"))
+           .agg(F.max_by("lead", "r").alias("a")).where("a <> b"))
+    tested = stored(compare(led.select("a", "b"), sets, percent), "tested")
+    edges = tested.where("linked").select("a", "b")
     comp = stored(components(edges), "components")
 
     # then what is left in buckets that still span several components
     placed = members.join(comp, F.col("doc_id") == F.col("node"), "left").withColumn(
         "comp", F.coalesce("component", "doc_id")).drop("node", "component")
+    placed = placed.join(tested.select(F.col("b").alias("doc_id"), F.col("a").alias("pivot"), "d"),
+                         "doc_id", "left").withColumn("pivot", F.coalesce("pivot", "doc_id")
+                                                      ).withColumn("d", F.coalesce("d", F.lit(0.0)))
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct(F.col("c"), -F.col("comp")))
                                      .alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    inside = stored(placed.join(mixed, "key").join(reps.select("doc_id", "a", "b"), "doc_id"),
-                    "mixed")
+    inside = stored(placed.join(mixed, "key").join(reps.select("doc_id", "a", "b"), "doc_id")
+                    .join(facts.select("doc_id", "cells"), "doc_id"), "mixed")
     other = inside.select("key", F.col("doc_id").alias("doc2"), F.col("n").alias("n2"),
                           F.col("s").alias("s2"), F.col("comp").alias("comp2"),
+                          F.col("cells").alias("cells2"),
+                          F.col("pivot").alias("pivot2"), F.col("d").alias("d2"),
                           F.col("a").alias("a2"), F.col("b").alias("b2"))
+    # Jaccard distance is a metric: two documents whose distances to one leader
+    # differ by more than the threshold allows cannot be linked
+    apart = (F.col("pivot") == F.col("pivot2")) & (
+        F.abs(F.col("d") - F.col("d2")) > 1 - percent / 100 + 1e-9)
     # a pair counts only in the first bucket that it shares
     once = ("array_position(zip_with(a, a2, (x, y) -> x = y), true) = i + 1 and "
             "array_position(zip_with(b, b2, (x, y) -> x = y), true) = j + 1")
     rest = (inside.where("comp <> main").join(other, "key")
             .where("comp <> comp2 and (comp2 = main or doc_id < doc2)")
-            .where(_bound("n", "s", "n2", "s2", percent)).where(once)
+            .where(~apart).where(once).where(_reachable(percent))
             .select(F.least("doc_id", "doc2").alias("a"), F.greatest("doc_id", "doc2").alias("b"))
             .distinct())
-    more = stored(confirm(rest, sets, percent), "links")
+    more = stored(compare(rest, sets, percent).where("linked").select("a", "b"), "links")
     if not more.isEmpty():
         comp = stored(components(edges.unionByName(more)), "components")
 
