@@ -199,7 +199,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             grid[a] -= r
             grid[:, a] -= l
             grid[a, a] -= own
-            out, into = grid.sum(1), grid.sum(0)
+            out, into = grid.sum(1) + l, grid.sum(0) + r    # others as with u in any class
             ru, lu = r.sum() + own, l.sum() + own
             gain = (_f(grid + r) - _f(grid)).sum(1) + (_f(grid.T + l) - _f(grid.T)).sum(1)
             d = np.diag(grid)
