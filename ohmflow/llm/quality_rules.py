@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .arrays import SPACED, Words, slices, span_hash, windows, words
 
 BUCKETS = 1 << 16
-SMOOTHING = 1.0
+SHRINK = 0.01
 THRESHOLD = -0.1
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -54,17 +54,20 @@ def ngram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def log_ratios(target: DataFrame, raw: DataFrame, buckets: int = BUCKETS,
-               smoothing: float = SMOOTHING) -> np.ndarray:
+               shrink: float = SHRINK) -> np.ndarray:
     """log(target / raw) per bucket: ``buckets`` numbers, a size the parameter
-    fixes. Without any target text all ratios are 0 and no document is rejected."""
+    fixes. The target is shrunk towards the raw corpus by one count per bucket
+    and a share of its own size, so scarce counts prove nothing. Without any
+    target text all ratios are 0 and no document is rejected by them."""
     t, r = np.zeros(buckets), np.zeros(buckets)
     for v, df in ((t, target), (r, raw)):
         rows = df.toPandas()
         v[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
     if not t.sum():
         return np.zeros(buckets)
-    return (np.log((t + smoothing) / (t.sum() + smoothing * buckets))
-            - np.log((r + smoothing) / (r.sum() + smoothing * buckets)))
+    share = (r + 1e-3) / (r.sum() + 1e-3 * buckets)
+    prior = buckets + shrink * t.sum()
+    return np.log((t + prior * share) / (t.sum() + prior)) - np.log(share)
 
 
 def _repeats(h: np.ndarray) -> int:
