@@ -111,7 +111,7 @@ def test_junk_scores_below_clean(spark):
     rows = [(i, " ".join(f"good{(i * 7 + k) % 90}" for k in range(80))) for i in range(40)]
     rows += [(100 + i, " ".join(f"JUNK{(i + k) % 90}!!" for k in range(80))) for i in range(6)]
     got = {r.doc_id: r.kept for r in quality_rules.quality_rules(
-        docs_of(spark, rows), labels(spark, [(i, 1, 0) for i in range(20)])).collect()}
+        docs_of(spark, rows), labels(spark, [(i, 1, 0) for i in range(20)]), buckets=256).collect()}
     assert all(got[i] for i in range(40)) and not any(got[100 + i] for i in range(6))
 
 
