@@ -33,8 +33,11 @@ def curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Data
     st = score_table(df, label, score, by).withColumn("neg_score", -F.col("score"))
     cum = cumulative_sums(st, by, ["neg_score"], ["pos", "neg"])
     totals = st.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return (cum.join(F.broadcast(totals), list(by)) if by else attach_row(cum, totals)) \
-        .drop("neg_score")
+    if not by:
+        return attach_row(cum, totals).drop("neg_score")
+    totals = totals.select(*[F.col(c).alias(f"_g_{c}") for c in by], "P", "N")
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]
+    return cum.join(totals, same).drop("neg_score", *[f"_g_{c}" for c in by])
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:

@@ -30,7 +30,7 @@ def class_rank(df: DataFrame, label: str, id_col: str, seed: int = SEED) -> Data
     u = with_uniform(df, id_col, seed)
     o = with_ordinal(u, [label, "_u", id_col], "_ord")
     sizes = o.groupBy(label).agg(F.min("_ord").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    return (o.join(F.broadcast(sizes), label)
+    return (o.join(sizes, label)
             .withColumn("_rank", F.col("_ord") - F.col("_start"))
             .drop("_ord", "_start"))
 

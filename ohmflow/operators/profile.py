@@ -46,7 +46,7 @@ def class_histogram(df: DataFrame, cols: Sequence[str], label: str, bins: int =
     b = F.when(span == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("value") - F.col("lo")) / span * F.lit(float(bins))),
                 F.lit(bins - 1)))
-    return (long.join(F.broadcast(rng), [label, "feature"])
+    return (long.join(rng, [label, "feature"])
             .groupBy(label, "feature", b.cast("int").alias("bin"))
             .agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"),
                  F.first("hi").alias("hi")))
@@ -73,7 +73,7 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     hi = F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1"))
     v = F.col("value")
     inside = (v >= lo) & (v <= hi)
-    return (long.join(F.broadcast(q), [label, "feature"])
+    return (long.join(q, [label, "feature"])
             .groupBy(label, "feature")
             .agg(F.first("q1").alias("q1"), F.first("median").alias("median"),
                  F.first("q3").alias("q3"),

@@ -102,9 +102,11 @@ def cumulative_sums(df: DataFrame, group: Sequence[str], order: Sequence[str],
                                         .alias(f"_o_{v}") for v in values])
     inside = (Window.partitionBy("_pid", *group).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # null-safe group keys: offsets join on (partition, group)
-    joined = fixed.join(offs, ["_pid", *group], "left") if group else \
-        fixed.join(F.broadcast(offs), "_pid", "left")
+    # null-safe group keys: a null group keeps its offsets
+    offs = offs.select(*[F.col(c).alias(f"_g_{c}") for c in ["_pid", *group]],
+                       *[f"_o_{v}" for v in values])
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in ["_pid", *group]]
+    joined = fixed.join(offs, same, "left")
     return joined.select(
         *[c for c in df.columns],
         *[(F.coalesce(F.col(f"_o_{v}"), F.lit(0)) + F.sum(v).over(inside)).alias(f"{prefix}{v}")

@@ -3,9 +3,8 @@
 ST1 ``score_stream``: stateless z-score / status of every arriving reading
 (stream–static join with a one-row baseline, broadcast).
 ST2 ``sticky_alerts``: per series, every breach (|z| ≥ 1.5) raises an alert
-that stays 10 s; a later breach restarts the timer; the "clear" is emitted by
-an event-time timeout once the watermark passes. State per key is one
-(message, expiry) pair. Rows older than the watermark are dropped (a rule the
+that stays 10 s; a later breach restarts the timer; the "clear" is the end of an
+event-time session window, emitted once the watermark passes. Rows older than the watermark are dropped (a rule the
 replay UI did not need).
 ST3 ``window_stats``: sliding event-time windows per series with a watermark.
 
@@ -15,22 +14,16 @@ parquet sink under the shared checkpoint folder and returns the written table.""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalar import status_of
-from ..operators.common import attach_row
+from ..operators.common import attach_row, rounded
 from ..schema import STATUS_ELEVATED_AT, STICKY_ALERT_SECONDS
 from ..session import ensure_checkpoint_dir
 
 WATERMARK = "1 minute"
-ALERT_SCHEMA = "user_id long, ts timestamp, kind string, message string"
-ALERT_STATE = "message string, expires long"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str = "events",
@@ -51,54 +44,23 @@ def score_stream(stream: DataFrame, baseline: DataFrame, value: str = "value") -
             .drop("_mean", "_std"))
 
 
-def alert_message(z: pd.Series) -> pd.Series:
-    r = np.round(z.to_numpy() * 100.0) / 100.0 + 0.0
-    direction = np.where(z.to_numpy() > 0, "too high", "too low")
-    return pd.Series([f"Reading is {d} ({v:.2f}σ)" for d, v in zip(direction, r)], index=z.index)
-
-
-def _sticky(seconds: int):
-    span = seconds * 1000
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        uid = int(key[0])
-        if state.hasTimedOut:
-            msg, expires = state.get
-            state.remove()
-            yield pd.DataFrame({"user_id": [uid], "ts": [pd.Timestamp(expires, unit="ms")],
-                                "kind": ["clear"], "message": [msg]})
-            return
-        frames = [p for p in pdfs if len(p)]
-        rows = (pd.concat(frames).sort_values(["ts", "event_id"]) if frames
-                else pd.DataFrame({"ts": [], "event_id": [], "z": []}))
-        br = rows[rows["z"].abs() >= STATUS_ELEVATED_AT]
-        out = []
-        pending = state.get if state.exists else None
-        if len(br):
-            t = br["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
-            msgs = alert_message(br["z"]).to_numpy()
-            if pending is not None and t[0] > pending[1]:
-                out.append(("clear", pending[1], pending[0]))
-            out += [("raise", int(x), m) for x, m in zip(t, msgs)]
-            gaps = np.where(t[1:] > t[:-1] + span)[0]          # timer ran out in between
-            out += [("clear", int(t[i] + span), msgs[i]) for i in gaps]
-            state.update((str(msgs[-1]), int(t[-1] + span)))
-            state.setTimeoutTimestamp(int(t[-1] + span))
-        elif pending is not None:
-            state.setTimeoutTimestamp(int(pending[1]))
-        if out:
-            yield pd.DataFrame({"user_id": uid, "ts": [pd.Timestamp(x[1], unit="ms") for x in out],
-                                "kind": [x[0] for x in out], "message": [x[2] for x in out]})
-    return fn
-
-
 def sticky_alerts(scored: DataFrame, seconds: int = STICKY_ALERT_SECONDS,
                   delay: str = WATERMARK) -> DataFrame:
-    """ST2: raise/clear alert events per user (state: message + expiry)."""
-    return (scored.select("user_id", "event_id", "ts", "z").withWatermark("ts", delay)
-            .groupBy("user_id")
-            .applyInPandasWithState(_sticky(seconds), ALERT_SCHEMA, ALERT_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    """ST2: raise/clear alert events per user. Raises are a stateless filter; a
+    clear is the end of a session of breaches, with the message of the latest."""
+    z = rounded(F.col("z"), 2) + F.lit(0.0)
+    # quiet readings move the watermark too: the predicate names ts, so that it
+    # is not pushed below the watermark
+    breach = F.when(F.col("ts").isNotNull(), F.abs("z") >= F.lit(STATUS_ELEVATED_AT))
+    breaches = scored.withWatermark("ts", delay).where(breach).select(
+        "user_id", "event_id", "ts", F.format_string(
+            "Reading is %s (%.2fσ)", F.when(F.col("z") > 0, "too high").otherwise("too low"), z)
+        .alias("message"))
+    raises = breaches.select("user_id", "ts", F.lit("raise").alias("kind"), "message")
+    clears = (breaches.groupBy("user_id", F.session_window("ts", f"{seconds} seconds").alias("w"))
+              .agg(F.max_by("message", F.struct("ts", "event_id")).alias("message"))
+              .select("user_id", F.col("w.end").alias("ts"), F.lit("clear").alias("kind"), "message"))
+    return raises.unionByName(clears)
 
 
 def window_stats(scored: DataFrame, length: str = "1 hour", slide: str = "10 minutes",

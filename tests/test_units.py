@@ -252,3 +252,14 @@ def test_model_save_and_load(spark, tmp_path):
     a = [r.prediction for r in m.transform(models.assemble(df, ["a", "b"])).collect()]
     b = [r.prediction for r in back.transform(models.assemble(df, ["a", "b"])).collect()]
     assert a == b
+
+
+def test_null_group_keeps_its_running_total(spark):
+    from ohmflow.operators.metrics import roc_auc
+    from ohmflow.operators.sequence import cumulative_sums
+    df = spark.range(40).selectExpr("id", "cast(null as string) as g", "1L as v")
+    rows = cumulative_sums(df, ["g"], ["id"], ["v"], num_partitions=4).collect()
+    assert sorted(r.cum_v for r in rows) == list(range(1, 41))
+    two = df.selectExpr("g", "cast(id % 2 as int) as y", "id / 40.0D as s").unionByName(
+        df.selectExpr("'a' as g", "cast(id % 2 as int) as y", "id / 40.0D as s"))
+    assert roc_auc(two, "y", "s", ["g"]).count() == 2
