@@ -1,7 +1,7 @@
 """Derived views the operators are tested on.
 
-``readings``: one sensor reading per order, built from ``lineitem`` +
-``orders`` (4 line slots -> 4 nodes). ``scored_fixture``: a deterministic
+``readings``: one sensor reading per four lines of an order, built from
+``lineitem`` + ``orders`` (4 line slots -> 4 nodes); no line is left out. ``scored_fixture``: a deterministic
 stand-in for model output, so metrics/dashboard operators can be checked
 against SQL without a trained model. Each view has a Spark builder and the
 identical SQL text used as a CTE by the oracle queries.
@@ -21,6 +21,8 @@ from .tables import table
 # medians and quartiles of them are exact in binary floating point, so two
 # engines summing in different orders agree to the last bit.
 PRICE_SCALE = 8192.0
+#: readings an order may yield (four lines each); more lines are an error
+PARTS = 8
 DISC_SCALE = 16.0
 SLOT_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
               "l_extendedprice", "l_quantity", "l_discount"]
@@ -44,16 +46,20 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = li.select("l_orderkey", *SLOT_ORDER, price.alias("_price"), disc.alias("_disc"),
                    tax.alias("_tax"))
     w = Window.partitionBy("l_orderkey").orderBy(*SLOT_ORDER)
-    slotted = li.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= 4)
+    line = F.row_number().over(w) - 1
+    part = F.floor(F.col("line") / 4)
+    slotted = (li.withColumn("line", line).withColumn("slot", F.col("line") % 4 + 1)
+               .withColumn("part", F.when(part < PARTS, part).otherwise(
+                   F.raise_error(F.lit(f"an order has more than {4 * PARTS} lines")).cast("long"))))
     aggs = [at(i, "l_quantity").alias(f"tau{i}") for i in range(1, 5)]
     aggs += [(at(1, "_price") / F.lit(PRICE_SCALE)).alias("p1")]
     aggs += [(at(i, "_price") / F.lit(-PRICE_SCALE)).alias(f"p{i}") for i in range(2, 5)]
     aggs += [(at(i, "_disc") / F.lit(DISC_SCALE)).alias(f"g{i}") for i in range(1, 5)]
     aggs += [((at(1, "_tax") - at(1, "_disc")) / F.lit(DISC_SCALE)).alias("stab")]
-    per_order = slotted.groupBy("l_orderkey").agg(*aggs)
+    per_order = slotted.groupBy("l_orderkey", "part").agg(*aggs)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     view = (per_order.join(orders, per_order.l_orderkey == orders.o_orderkey, "inner")
-            .select(F.col("l_orderkey").alias("seq"), *RAW_FEATURES, "stab",
+            .select((F.col("l_orderkey") * PARTS + F.col("part")).alias("seq"), *RAW_FEATURES, "stab",
                     F.when(F.col("o_orderstatus") == "F", F.lit("unstable"))
                     .otherwise(F.lit("stable")).alias("stabf")))
     # Every consumer (statistics, then the rows they are applied to, then
@@ -64,7 +70,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 READINGS_SQL = """
 readings AS (
-  SELECT s.l_orderkey AS seq,
+  SELECT s.l_orderkey * 8 + part AS seq,
     max(CASE WHEN slot = 1 THEN l_quantity END) AS tau1,
     max(CASE WHEN slot = 2 THEN l_quantity END) AS tau2,
     max(CASE WHEN slot = 3 THEN l_quantity END) AS tau3,
@@ -81,12 +87,12 @@ readings AS (
       - max(CASE WHEN slot = 1 THEN round(l_discount * 100.0) END)) / 16.0 AS stab,
     CASE WHEN any_value(o.o_orderstatus) = 'F' THEN 'unstable' ELSE 'stable' END AS stabf
   FROM (
-    SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
-           l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount) AS slot
-    FROM lineitem) s
+    SELECT *, (line - 1) % 4 + 1 AS slot, (line - 1) // 4 AS part FROM (
+      SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
+             l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount) AS line
+      FROM lineitem)) s
   JOIN orders o ON o.o_orderkey = s.l_orderkey
-  WHERE slot <= 4
-  GROUP BY s.l_orderkey
+  GROUP BY s.l_orderkey, part
 )"""
 
 
