@@ -10,11 +10,6 @@ from ..schema import (CAPACITY_EPS, PR_EPS, STATUS_CRITICAL_AT, STATUS_ELEVATED_
                       TIER_AMBER_MAX, TIER_GREEN_BELOW)
 
 
-def zscore(x: Column, mean: Column, std: Column) -> Column:
-    """deviation from a baseline in standard deviations."""
-    return (x - mean) / std
-
-
 def risk_tier(prob: Column) -> Column:
     """Green below 0.4, Amber up to and including 0.7, else Red."""
     return (F.when(prob < F.lit(TIER_GREEN_BELOW), F.lit("Green"))
@@ -29,10 +24,6 @@ def status_of(max_abs_z: Column) -> Column:
             .otherwise(F.lit("Critical")))
 
 
-def max_abs(*cols: Column) -> Column:
-    return F.greatest(*[F.abs(c) for c in cols])
-
-
 def edge_capacity(g_src: Column, g_dst: Column) -> Column:
     """capacity of a producer→consumer edge."""
     return F.abs(g_src) + F.abs(g_dst) + F.lit(CAPACITY_EPS)

@@ -21,11 +21,6 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if isinstance(f.dataType, NumericType) and f.name not in exclude]
 
 
-def prefixed(df: DataFrame, *prefixes: str) -> list[str]:
-    """Columns whose names start with one of the prefixes."""
-    return [c for c in df.columns if c.startswith(tuple(prefixes))]
-
-
 def project_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (),
                      fill: float = 0.0) -> DataFrame:
     """Select a feature list; absent features become ``fill``."""
@@ -48,29 +43,42 @@ def encode_label(df: DataFrame, col: str = TARGET, positive: str = "unstable") -
 
 def normalize_label(df: DataFrame, col: str, positive: str = "unstable",
                     negative: str = "stable") -> DataFrame:
-    """P10: numeric labels → int; text → trim/lower and map; others → null.
-    ``invalid_labels`` lists what would be rejected."""
+    """P10: numeric labels become whole numbers as they are; text is trimmed,
+    lower-cased and mapped to 1 or 0, other text to null (see ``invalid_labels``
+    and ``require_known_labels``)."""
+    if isinstance(df.schema[col].dataType, NumericType):
+        return df.withColumn(col, F.col(col).cast("int"))
     txt = F.lower(F.trim(F.col(col).cast("string")))
-    num = txt.try_cast("double")
-    return df.withColumn(col, F.when(txt == positive, 1).when(txt == negative, 0)
-                         .when(num.isin(0.0, 1.0), num.cast("int")))
+    return df.withColumn(col, F.when(txt == positive, 1).when(txt == negative, 0))
 
 
 def invalid_labels(df: DataFrame, col: str, positive: str = "unstable",
                    negative: str = "stable") -> DataFrame:
+    """P10: the distinct labels (null included) that ``normalize_label`` cannot map."""
     txt = F.lower(F.trim(F.col(col).cast("string")))
-    ok = F.coalesce(txt.isin(positive, negative) | txt.try_cast("double").isin(0.0, 1.0),
-                    F.lit(False))
-    return df.where(~ok | F.col(col).isNull()).select(txt.alias("label")).distinct()
+    if isinstance(df.schema[col].dataType, NumericType):
+        return df.where(F.col(col).isNull()).select(txt.alias("label")).distinct()
+    return (df.where(~F.coalesce(txt.isin(positive, negative), F.lit(False)))
+            .select(txt.alias("label")).distinct())
+
+
+def require_known_labels(df: DataFrame, col: str, positive: str = "unstable",
+                         negative: str = "stable", shown: int = 20) -> None:
+    """P10: raise naming the unknown labels in order (the first ``shown`` of them)."""
+    bad = invalid_labels(df, col, positive, negative).orderBy("label").limit(shown + 1).collect()
+    if bad:
+        more = " ..." if len(bad) > shown else ""
+        raise ValueError(f"Unsupported target labels: {[r['label'] for r in bad[:shown]]}{more}")
 
 
 def require_binary_target(df: DataFrame, col: str) -> None:
-    """The target column exists and holds at most two distinct values."""
+    """The target column exists and holds exactly two distinct values
+    (nulls are not counted)."""
     if col not in df.columns:
         raise ValueError(f"Target column '{col}' not found")
-    n = df.agg(F.count_distinct(F.col(col)).alias("n")).first()["n"]
-    if n > 2:
-        raise ValueError(f"Target '{col}' is not binary ({n} distinct values)")
+    n = df.where(F.col(col).isNotNull()).select(col).distinct().count()
+    if n != 2:
+        raise ValueError(f"Target '{col}' must be binary, found {n} classes")
 
 
 def drop_null_rows(df: DataFrame, cols: Sequence[str] = RAW_FEATURES) -> DataFrame:
@@ -78,6 +86,13 @@ def drop_null_rows(df: DataFrame, cols: Sequence[str] = RAW_FEATURES) -> DataFra
     return df.na.drop(subset=list(cols))
 
 
+def require_rows(df: DataFrame) -> DataFrame:
+    """Raise when no row is left after dropping nulls; else ``df`` itself."""
+    if df.isEmpty():
+        raise ValueError("No valid rows left after dropping nulls")
+    return df
+
+
 def null_drop_summary(df: DataFrame, cols: Sequence[str] = RAW_FEATURES) -> DataFrame:
     """P6 counters in one pass: rows in, rows kept, rows dropped."""
     any_null = F.lit(False)
@@ -124,7 +139,7 @@ def outlier_counts(df: DataFrame, cols: Sequence[str] = IQR_FEATURES, k: float =
     """P13 report: bounds plus the number of values outside them, per feature."""
     b = iqr_bounds(df, cols, k)
     long = df.select(*cols).unpivot([], list(cols), "feature", "value")
-    counted = (long.join(F.broadcast(b), "feature")
+    counted = (long.join(F.broadcast(b), "feature")  # one row per column
                .groupBy("feature").agg(F.count_if((F.col("value") < F.col("lower"))
                                                   | (F.col("value") > F.col("upper")))
                                        .alias("n_outliers")))

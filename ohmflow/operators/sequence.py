@@ -7,7 +7,7 @@ the row counts of all earlier partitions (P numbers, P = number of range
 partitions: a configuration bound, not a data bound). Rows must be totally ordered by
 ``keys`` (add tie columns) so a recomputed partition gets the same numbers;
 with ties the numbering among equal keys is arbitrary but still a
-permutation (quantiles, which only need values by rank, accept that).
+permutation.
 """
 
 from __future__ import annotations

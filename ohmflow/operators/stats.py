@@ -2,11 +2,12 @@
 
 ``exact_quantiles`` matches linear interpolation between closest ranks
 (pandas ``quantile`` / SQL ``quantile_cont``): h = (n−1)·q, value =
-v[⌊h⌋] + (h−⌊h⌋)·(v[⌈h⌉] − v[⌊h⌋]). It sorts the unpivoted values with a
-range exchange and numbers them (``with_ordinal``), so no group's values are
-ever held by one task: memory stays bounded however many distinct values a
-feature has. ``approx=True`` swaps in ``percentile_approx`` (one pass,
-mergeable sketches) for cases where rank error is acceptable.
+v[⌊h⌋] + (h−⌊h⌋)·(v[⌈h⌉] − v[⌊h⌋]). Equal values are first grouped into one
+row with their count (a partial aggregate, so a value that most rows hold costs
+one row); running counts over the distinct values (``cumulative_sums``) then
+give each value the span of ranks it fills. No task holds a group's values.
+``approx=True`` swaps in ``percentile_approx`` (one pass, mergeable sketches)
+for cases where rank error is acceptable.
 """
 
 from __future__ import annotations
@@ -17,62 +18,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import unpivot
-from .sequence import with_ordinal
+from .sequence import cumulative_sums
 
 
 def qname(q: float) -> str:
     return "q" + f"{q:.4f}".rstrip("0").rstrip(".").replace("0.", "", 1).replace(".", "_")
 
 
-# Inputs the optimizer estimates at or below this size use Spark's exact
-# in-memory ``percentile`` aggregate (one pass; each group's distinct values
-# are held by one task, so it is only chosen behind this size check).
-IN_MEMORY_QUANTILE_BYTES = 256 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan (as used for broadcasts)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: take the bounded-memory path
-        return IN_MEMORY_QUANTILE_BYTES + 1
-
-
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     by: Sequence[str] = (), approx: bool = False,
-                    accuracy: int = 100000, method: str = "auto") -> DataFrame:
+                    accuracy: int = 100000) -> DataFrame:
     """Long table ``(by..., feature, q..)`` with one column per prob (see ``qname``).
-
-    ``method``: "sort" (bounded memory, any size), "memory" (``percentile``
-    aggregate) or "auto" (memory when the estimated input is small)."""
-    by = list(by)
+    Null values are left out; a feature without values has no row. A null ``by``
+    key is a group of its own."""
+    keys = [*by, "feature"]
     long = unpivot(df.select(*by, *cols), by, cols).where(F.col("value").isNotNull())
     if approx:
-        return long.groupBy(*by, "feature").agg(*[
+        return long.groupBy(*keys).agg(*[
             F.percentile_approx("value", q, accuracy).alias(qname(q)) for q in probs])
-    if method == "auto":
-        small = estimated_bytes(df.select(*by, *cols)) <= IN_MEMORY_QUANTILE_BYTES
-        method = "memory" if small else "sort"
-    if method == "memory":
-        return long.groupBy(*by, "feature").agg(*[
-            F.percentile("value", F.lit(float(q))).alias(qname(q)) for q in probs])
-    o = with_ordinal(long, by + ["feature", "value"], "_ord")
-    grp = o.groupBy(*by, "feature").agg(F.min("_ord").alias("_start"),
-                                        F.count(F.lit(1)).alias("_n"))
-    joined = o.join(grp if by else F.broadcast(grp), by + ["feature"])
-    pos = F.col("_ord") - F.col("_start")
-    h = {q: (F.col("_n") - 1).cast("double") * F.lit(float(q)) for q in probs}
-    want = F.lit(False)
-    for q in probs:
-        want = want | (pos == F.floor(h[q])) | (pos == F.ceil(h[q]))
-    picked = joined.where(want)
-    aggs = []
+    cum = cumulative_sums(long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")),
+                          keys, ["value"], ["n"])
+    total = cum.groupBy(*[F.col(c).alias(f"_g_{c}") for c in keys]).agg(
+        F.max("cum_n").alias("_total"))
+    ranked = cum.join(total, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in keys])
+
+    def rank(q: float):
+        return (F.col("_total") - 1).cast("double") * F.lit(float(q))
+
+    def fills(position):
+        return (position >= F.col("cum_n") - F.col("n")) & (position < F.col("cum_n"))
+    wanted, found = F.lit(False), []
     for q in probs:
-        lo = F.max(F.when(pos == F.floor(h[q]), F.col("value")))
-        hi = F.max(F.when(pos == F.ceil(h[q]), F.col("value")))
-        frac = F.first(h[q] - F.floor(h[q]))
-        aggs.append((lo + (hi - lo) * frac).alias(qname(q)))
-    return picked.groupBy(*by, "feature").agg(*aggs)
+        low, high = fills(F.floor(rank(q))), fills(F.ceil(rank(q)))
+        wanted = wanted | low | high
+        lo, hi = F.max(F.when(low, F.col("value"))), F.max(F.when(high, F.col("value")))
+        part = F.max(rank(q) - F.floor(rank(q)))
+        found.append((lo + (hi - lo) * part).alias(qname(q)))
+    return ranked.where(wanted).groupBy(*keys).agg(*found)
 
 
 def quantiles_wide(df: DataFrame, cols: Sequence[str], q: float) -> DataFrame:

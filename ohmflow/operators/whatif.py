@@ -3,11 +3,10 @@ overlay interval events, optionally switch to a rebased fix schedule.
 
 Per step, an event holds ``start + t·(end − start)`` inside [s, e] (t =
 (step−s)/max(e−s,1)), its end value after e, nothing before s; when several
-events touch a feature the later one in list order wins. A scenario's few
-events compile to per-feature CASE expressions over the exploded steps
-(row-local); large event tables take a bucketed range join (events expanded
-over the steps they affect, equi-joined on step) and ``max_by(value,
-ordinal)`` per (row, step, feature). No per-row Python either way."""
+events touch a feature the later one in list order wins. Which event wins at a
+step does not depend on the base row, so the events are first reduced to one
+row per (scenario, step) with the winner of each feature; the base rows take
+that row by one equi-join and compute their values row-locally."""
 
 from __future__ import annotations
 
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import interpolate, resolve_target
 from ..schema import RAW_FEATURES
-from .common import attach_row
 
 EVENT_SCHEMA = ("scenario string, ordinal int, phase string, feature string, start_step int, "
                 "end_step int, start_val double, end_val string")
@@ -29,94 +27,43 @@ def expand_steps(base: DataFrame, id_col: str, n_steps: int) -> DataFrame:
     return base.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))))
 
 
-# Event tables up to this many rows are compiled into column expressions.
-EXPRESSION_EVENTS_MAX = 256
-
-
-def overlay(stepped: DataFrame, events: DataFrame, id_col: str,
+def overlay(stepped: DataFrame, events: DataFrame, n_steps: int,
             features: Sequence[str] = RAW_FEATURES, fix_at_step: int | None = None,
             scenario_col: str | None = None) -> DataFrame:
-    """J4 entry point. A scenario's schedule is a handful of rows: when the
-    (counted) event table is small it becomes per-feature CASE expressions —
-    row-local, no join, no shuffle; larger tables take the range-join path."""
-    if events.limit(EXPRESSION_EVENTS_MAX + 1).count() <= EXPRESSION_EVENTS_MAX:
-        return overlay_expr(stepped, events.collect(), features, fix_at_step, scenario_col)
-    if scenario_col is not None:
-        raise ValueError("multi-scenario runs take at most "
-                         f"{EXPRESSION_EVENTS_MAX} events; run scenarios separately")
-    return overlay_join(stepped, events, id_col, features, fix_at_step)
-
-
-def overlay_expr(stepped: DataFrame, events, features: Sequence[str] = RAW_FEATURES,
-                 fix_at_step: int | None = None, scenario_col: str | None = None) -> DataFrame:
-    """Same semantics as ``overlay_join`` with the events as literals: for each
-    feature, the applicable event with the highest ordinal wins. With
-    ``scenario_col`` an event applies only to rows of its own scenario."""
-    step = F.col("step")
-    out = {}
-    for f in features:
-        evs = sorted([e for e in events if e["feature"] == f], key=lambda e: -e["ordinal"])
-        if not evs:
-            continue
-        expr = None
-        for e in evs:
-            s, en = e["start_step"], e["end_step"]
-            if fix_at_step is not None and e["phase"] == "fix":
-                s, en = s + fix_at_step, en + fix_at_step
-            if fix_at_step is None:
-                live = F.lit(e["phase"] == "main")
-            elif e["phase"] == "fix":
-                live = step >= F.lit(fix_at_step)
-            else:
-                live = step < F.lit(fix_at_step)
-            s0 = F.col(f) if e["start_val"] is None else F.lit(float(e["start_val"]))
-            s1 = resolve_target(F.lit(str(e["end_val"])), s0)
-            val = F.when(step <= F.lit(en), interpolate(step, F.lit(s), F.lit(en), s0, s1)) \
-                .otherwise(s1)
-            cond = live & (step >= F.lit(s))
-            if scenario_col is not None:
-                cond = cond & (F.col(scenario_col) == F.lit(e["scenario"]))
-            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-        out[f] = expr.otherwise(F.col(f))
-    return stepped.withColumns(out)
-
-
-def overlay_join(stepped: DataFrame, events: DataFrame, id_col: str,
-                 features: Sequence[str] = RAW_FEATURES,
-                 fix_at_step: int | None = None) -> DataFrame:
     """Apply ``events`` (columns of ``EVENT_SCHEMA``; ``phase`` 'main' or
-    'fix') to every (row, step). A null ``start_val`` means the base row's
-    value; ``end_val`` may be relative (``"3x"``). With ``fix_at_step`` the main
-    events stop there and the fix events apply rebased by that step."""
-    ev = events
-    if fix_at_step is not None:
-        ev = ev.withColumn("start_step", F.when(F.col("phase") == "fix",
-                                                F.col("start_step") + F.lit(fix_at_step))
-                           .otherwise(F.col("start_step"))) \
-               .withColumn("end_step", F.when(F.col("phase") == "fix",
-                                              F.col("end_step") + F.lit(fix_at_step))
-                           .otherwise(F.col("end_step")))
-    in_phase = (F.col("phase") == "main") if fix_at_step is None else F.when(
-        F.col("step") >= F.lit(fix_at_step), F.col("phase") == "fix").otherwise(F.col("phase") == "main")
-    # Range join by bucketing: each event is expanded to the steps it affects
-    # (start_step .. last step of the run) — a table of events × steps, sized by
-    # the scenario, not the data — and joined on ``step`` (an equi-join; Spark
-    # picks broadcast or shuffle by the size of that table).
-    last = stepped.agg(F.max("step").alias("_last"))
-    ev = attach_row(ev, last)
-    ev = ev.withColumn("step", F.explode(F.sequence(F.col("start_step"),
-                                                     F.greatest(F.col("_last"), F.col("start_step")))))
-    j = stepped.join(ev.drop("_last"), "step").where(in_phase)
-    base_val = F.coalesce(*[F.when(F.col("feature") == c, F.col(c)) for c in features])
-    s0 = F.coalesce(F.col("start_val"), base_val)
-    s1 = resolve_target(F.col("end_val"), s0)
-    val = F.when(F.col("step") <= F.col("end_step"),
-                 interpolate(F.col("step"), F.col("start_step"), F.col("end_step"), s0, s1)) \
-        .otherwise(s1)
-    applied = j.groupBy(id_col, "step", "feature").agg(
-        F.max_by(val, F.col("ordinal")).alias("value"))
-    wide = applied.groupBy(id_col, "step").pivot("feature", list(features)).agg(F.first("value"))
-    wide = wide.select(id_col, "step", *[F.col(c).alias(f"_ev_{c}") for c in features])
-    out = stepped.join(wide, [id_col, "step"], "left")
-    return out.select(*[c for c in stepped.columns if c not in features],
-                      *[F.coalesce(F.col(f"_ev_{c}"), F.col(c)).alias(c) for c in features])
+    'fix') to every row and step (0 .. ``n_steps`` − 1). A null ``start_val``
+    means the base row's value; ``end_val`` may be relative (``"3x"``); a target
+    that is no number leaves the base value. With ``fix_at_step`` the main events
+    stop there and the fix events apply rebased by that step. With
+    ``scenario_col`` an event applies only to rows of its own scenario, without
+    it every event applies to every row."""
+    shift = F.lit(0) if fix_at_step is None else \
+        F.when(F.col("phase") == "fix", F.lit(fix_at_step)).otherwise(F.lit(0))
+    ev = events.withColumns({"start_step": F.col("start_step") + shift,
+                             "end_step": F.col("end_step") + shift})
+    first = F.greatest(F.col("start_step"), F.lit(0))
+    ev = ev.where(first < n_steps).withColumn(
+        "step", F.explode(F.sequence(first, F.lit(n_steps - 1))))
+    live = (F.col("phase") == "main") if fix_at_step is None else F.when(
+        F.col("step") >= fix_at_step, F.col("phase") == "fix").otherwise(F.col("phase") == "main")
+    keys = ["step"] if scenario_col is None else ["scenario", "step"]
+    last = F.max(F.struct("ordinal", "start_step", "end_step", "start_val", "end_val"))
+    winner = (ev.where(live).groupBy(*keys, "feature").agg(last.alias("e"))
+              .groupBy(*[F.col(c).alias(f"_{c}") for c in keys])
+              .pivot("feature", list(features)).agg(F.first("e")))
+    winner = winner.select(*[f"_{c}" for c in keys],
+                           *[F.col(f).alias(f"_ev_{f}") for f in features])
+    on = F.col("step") == F.col("_step")
+    if scenario_col is not None:
+        on = on & (F.col(scenario_col) == F.col("_scenario"))
+    joined = stepped.join(winner, on, "left")
+
+    def value(f: str):
+        e = F.col(f"_ev_{f}")
+        s0 = F.coalesce(e["start_val"], F.col(f))
+        s1 = resolve_target(e["end_val"], s0)
+        ramp = interpolate(F.col("step"), e["start_step"], e["end_step"], s0, s1)
+        return F.coalesce(F.when(F.col("step") <= e["end_step"], ramp)
+                          .when(e.isNotNull(), s1), F.col(f))
+    return joined.select(*[value(c).alias(c) if c in features else F.col(c)
+                           for c in stepped.columns])

@@ -961,24 +961,31 @@ def q_unselected_features(spark, sf):
 from ..operators import scoring, whatif  # noqa: E402
 
 
+def _cf_vote(col) -> str:
+    """The twelve-feature stand-in scorer as SQL (``scoring.twelve_feature_scorer``)."""
+    rf = " + ".join(col(f"tau{k}") for k in range(1, 5))
+    rf += " + " + " + ".join(f"16 * {col(f'g{k}')}" for k in range(1, 5))
+    xg = " + ".join(f"abs({col(f'p{k}')})" for k in range(1, 5))
+    return f"(0.4 * least(({rf}) / 256.0, 1.0) + 0.6 * least(({xg}) / 64.0, 1.0))"
+
+
 @query("counterfactuals", _STATS_SQL + f""",
-v AS (SELECT c.seq, s.feature, s.mean AS stable,
-        CASE s.feature {' '.join(f"WHEN '{x}' THEN c.{x}" for x in R)} END AS cur,
-        c.tau1, c.p1 FROM capped c, stats s),
-m AS (SELECT *, CASE WHEN feature = 'tau1' THEN stable ELSE tau1 END AS tau1_m,
-        CASE WHEN feature = 'p1' THEN stable ELSE p1 END AS p1_m FROM v
-      WHERE abs(cur - stable) >= 1e-6)
-SELECT seq, feature, {r6('cur')} AS current_value,
-  (round(stable * 10000.0) / 10000.0 + 0.0) AS stable_value,
-  (round((0.4 * least(tau1_m / 50.0, 1.0) + 0.6 * least(p1_m / 12.0, 1.0)) * 10000.0) / 10000.0
-    + 0.0) AS new_prob,
-  (round(((0.4 * least(tau1_m / 50.0, 1.0) + 0.6 * least(p1_m / 12.0, 1.0))
-          - (0.4 * least(tau1 / 50.0, 1.0) + 0.6 * least(p1 / 12.0, 1.0))) * 10000.0) / 10000.0
-    + 0.0) AS delta
-FROM m""")
+v AS (SELECT c.*, s.feature, s.mean AS stable,
+        CASE s.feature {' '.join(f"WHEN '{x}' THEN c.{x}" for x in R)} END AS cur
+      FROM capped c, stats s),
+m AS (SELECT seq, feature, stable, cur, {_cf_vote(lambda x: x)} AS old,
+        {_cf_vote(lambda x: f"CASE WHEN feature = '{x}' THEN stable ELSE {x} END")} AS new
+      FROM v WHERE abs(cur - stable) >= 1e-6),
+d AS (SELECT seq, feature, {r6('cur')} AS current_value,
+        (round(stable * 10000.0) / 10000.0 + 0.0) AS stable_value,
+        (round(new * 10000.0) / 10000.0 + 0.0) AS new_prob,
+        (round((new - old) * 10000.0) / 10000.0 + 0.0) AS delta FROM m)
+SELECT *, CAST(row_number() OVER (PARTITION BY seq ORDER BY delta,
+    CASE feature {' '.join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(R))} END) AS INTEGER)
+  AS cf_rank FROM d""")
 def q_counterfactuals(spark, sf):
     c = cleaned_readings(spark, sf)
-    out = scoring.counterfactuals(c, "seq", scoring.fixture_scorer(), (0.4, 0.6), 0.5,
+    out = scoring.counterfactuals(c, "seq", scoring.twelve_feature_scorer(), (0.4, 0.6), 0.5,
                                   stable_baseline(spark, sf))
     return round_cols(out, 6, ["current_value"])
 
@@ -1067,7 +1074,7 @@ def q_schedule_overlay(spark, sf):
     c = cleaned_readings(spark, sf).select("seq", *R)
     ev = spark.createDataFrame(SCENARIO_EVENTS + SCENARIO_FIX, whatif.EVENT_SCHEMA)
     stepped = whatif.expand_steps(c, "seq", SCENARIO_STEPS)
-    out = whatif.overlay(stepped, ev, "seq", fix_at_step=SCENARIO_FIX_AT)
+    out = whatif.overlay(stepped, ev, SCENARIO_STEPS, fix_at_step=SCENARIO_FIX_AT)
     return _r6(out.select("seq", "step", *R))
 
 
@@ -1253,7 +1260,7 @@ FROM st2 LEFT JOIN a USING (seq, scenario, step) GROUP BY st2.seq, st2.scenario,
 @query("scenario_presets", _presets_sql())
 def q_scenario_presets(spark, sf):
     """M21 over every preset: each cleaned reading as the base row of each
-    preset scenario, 40 steps (rows × scenarios × steps, all row-local)."""
+    preset scenario, 40 steps."""
     c = cleaned_readings(spark, sf).select("seq", *R)
     names = list(dict.fromkeys(n for n, *_ in PRESET_EVENTS))
     ev = spark.createDataFrame(
@@ -1261,5 +1268,5 @@ def q_scenario_presets(spark, sf):
         whatif.EVENT_SCHEMA)
     with_sc = c.withColumn("scenario", F.explode(F.array(*[F.lit(n) for n in names])))
     stepped = whatif.expand_steps(with_sc, "seq", SCENARIO_STEPS)
-    out = whatif.overlay(stepped, ev, "seq", scenario_col="scenario")
+    out = whatif.overlay(stepped, ev, SCENARIO_STEPS, scenario_col="scenario")
     return _r6(out.select("seq", "scenario", "step", *PRESET_FEATURES))

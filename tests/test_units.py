@@ -92,6 +92,9 @@ def test_median_impute_and_cap(spark):
 def test_empty_after_drop_and_missing_columns(spark):
     df = spark.createDataFrame([(None, 1.0), (2.0, None)], "a double, b double")
     assert clean.drop_null_rows(df, ["a", "b"]).count() == 0
+    with pytest.raises(ValueError, match="No valid rows"):
+        clean.require_rows(clean.drop_null_rows(df, ["a", "b"]))
+    assert clean.require_rows(df) is df
     with pytest.raises(ValueError, match="Missing required columns"):
         clean.require_columns(df, ["a", "zz"])
 
@@ -175,18 +178,84 @@ def test_load_splits_names_missing(spark, tmp_path):
         sio.load_splits(spark, str(tmp_path / "s"), ["train", "val"])
 
 
-def test_overlay_expression_equals_join(spark):
+def test_overlay_equals_step_by_step(spark):
     from ohmflow.operators import whatif
-    base = spark.createDataFrame([(1, 1.0, -2.0), (2, 3.0, -1.0)], "seq int, p2 double, p3 double")
-    ev = spark.createDataFrame([
-        ("s", 0, "main", "p2", 2, 6, None, "3x"), ("s", 1, "main", "p2", 4, 4, 5.0, "0.2x"),
-        ("s", 2, "main", "p3", 0, 0, None, "9.8"), ("s", 3, "fix", "p2", 0, 3, None, "0.5x")],
-        whatif.EVENT_SCHEMA)
-    st = whatif.expand_steps(base, "seq", 12)
-    for fix in (None, 8):
-        a = whatif.overlay_expr(st, ev.collect(), ["p2", "p3"], fix).orderBy("seq", "step").collect()
-        b = whatif.overlay_join(st, ev, "seq", ["p2", "p3"], fix).orderBy("seq", "step").collect()
-        assert [(r.seq, r.step, r.p2, r.p3) for r in a] == [(r.seq, r.step, r.p2, r.p3) for r in b]
+    base = [(1, 1.0, -2.0), (2, 3.0, -1.0)]
+    events = [("s", 0, "main", "p2", 2, 6, None, "3x"), ("s", 1, "main", "p2", 4, 4, 5.0, "0.2x"),
+              ("s", 2, "main", "p3", 0, 0, None, "9.8"), ("s", 3, "fix", "p2", 0, 3, None, "0.5x"),
+              ("t", 4, "main", "p3", 1, 2, None, "bad"), ("s", 5, "main", "p2", 99, 99, None, "1")]
+    events += [("many", 100 + i, "main", "p2", 0, 1, None, str(i)) for i in range(300)]
+
+    def brute(row, step, fix, scenario):
+        out = dict(zip(("p2", "p3"), row[1:]))
+        for sc, _, phase, f, s, e, v0, target in events:   # the later event wins
+            if scenario is not None and sc != scenario:
+                continue
+            if phase != ("fix" if fix is not None and step >= fix else "main"):
+                continue
+            if phase == "fix":
+                s, e = s + fix, e + fix
+            if step < s:
+                continue
+            own = row[1] if f == "p2" else row[2]
+            v0 = own if v0 is None else v0
+            if target == "bad":
+                out[f] = own
+                continue
+            v1 = v0 * float(target[:-1]) if target.endswith("x") else float(target)
+            out[f] = v0 + (step - s) / max(e - s, 1) * (v1 - v0) if step <= e else v1
+        return out["p2"], out["p3"]
+    ev = spark.createDataFrame(events, whatif.EVENT_SCHEMA)
+    df = spark.createDataFrame(base, "seq int, p2 double, p3 double")
+    for fix, scenario in ((None, None), (8, None), (None, "s"), (8, "s"), (None, "t"),
+                          (None, "many"), (None, "none")):
+        named = df if scenario is None else df.withColumn("sc", F.lit(scenario))
+        st = whatif.expand_steps(named, "seq", 12)
+        got = whatif.overlay(st, ev, 12, ["p2", "p3"], fix, "sc" if scenario else None).collect()
+        assert len(got) == 24
+        for r in got:
+            want = brute(base[r.seq - 1], r.step, fix, scenario)
+            assert (r.p2, r.p3) == pytest.approx(want), (fix, scenario, r)
+
+
+def test_quantiles_of_repeated_values(spark):
+    import numpy as np
+    from ohmflow.operators.stats import exact_quantiles, qname
+    rng = np.random.default_rng(3)
+    vals = np.where(rng.random(5000) < 0.6, 7.0, np.round(rng.normal(0, 50, 5000), 1))
+    rows = [(None if i % 3 == 0 else i % 3, float(v) if i % 11 else None)
+            for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "g int, x double").withColumn("none", F.lit(None).cast("double"))
+    probs = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: r for r in exact_quantiles(df, ["x", "none"], probs, ["g"]).collect()}
+    assert set(got) == {None, 1, 2} and all(r.feature == "x" for r in got.values())
+    for g, r in got.items():
+        own = [v for k, v in rows if k == g and v is not None]
+        assert [r[qname(p)] for p in probs] == pytest.approx(list(np.quantile(own, probs)))
+    assert exact_quantiles(df.limit(0), ["x"], [0.5]).count() == 0
+
+
+def test_hot_value_is_one_row_of_the_rank_table(spark):
+    # 60 percent of the rows hold one value: it is counted before the range exchange
+    from ohmflow.operators.sequence import cumulative_sums
+    df = spark.range(20000).selectExpr("if(id % 10 < 6, -1, id) as value", "'x' as feature")
+    counted = df.groupBy("feature", "value").count()
+    cum = cumulative_sums(counted, ["feature"], ["value"], ["count"], num_partitions=8)
+    assert cum.count() == 8001
+    assert cum.agg(F.max("cum_count")).first()[0] == 20000
+
+
+def test_counterfactuals_are_ranked(spark):
+    from ohmflow.operators import scoring
+    from ohmflow.schema import RAW_FEATURES as R
+    df = spark.createDataFrame([(1, *[8.0] * 4, *[4.0] * 4, *[1.0] * 4),
+                                (2, *[2.0] * 12)], "seq int, " + ", ".join(f"{f} double" for f in R))
+    stats = spark.createDataFrame([(f, 2.0) for f in R], "feature string, mean double")
+    got = scoring.counterfactuals(df, "seq", scoring.twelve_feature_scorer(), (0.4, 0.6), 0.5,
+                                  stats).orderBy("seq", "cf_rank").collect()
+    assert {r.seq for r in got} == {1} and [r.cf_rank for r in got] == list(range(1, 13))
+    assert [r.delta for r in got] == sorted(r.delta for r in got)
+    assert [r.feature for r in got[:4]] == ["p1", "p2", "p3", "p4"]
 
 
 def test_sticky_alert_blocks_equal_range_frame(spark):
@@ -219,8 +288,13 @@ def test_projection_labels_and_lookup(spark):
     assert norm == [1, 0, None]                                                          # P10
     assert [r.label for r in clean.invalid_labels(df, "y").collect()] == ["maybe"]
     clean.require_binary_target(df.where("row < 3"), "y")                                # P11
-    with pytest.raises(ValueError, match="not binary"):
-        clean.require_binary_target(df, "y")
+    for wrong in (df, df.where("row = 1"), df.limit(0)):
+        with pytest.raises(ValueError, match="must be binary"):
+            clean.require_binary_target(wrong, "y")
+    with pytest.raises(ValueError, match=r"Unsupported target labels: \['maybe'\]"):
+        clean.require_known_labels(df, "y")
+    clean.require_known_labels(df.where("row < 3"), "y")
+    assert [r.row for r in clean.normalize_label(df, "row").orderBy("row").collect()] == [1, 2, 3]
     with pytest.raises(ValueError, match="not found"):
         clean.require_binary_target(df, "zz")
     assert dashboard.lookup_row(df, 2).first()["a"] == 3.0                               # P15
