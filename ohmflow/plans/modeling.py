@@ -87,13 +87,26 @@ def q_kmeans_segments(spark, sf):
     return round_cols(res, 6)
 
 
+def _pca_columns(s):
+    """PCA scores of every split as plain columns ``pc1 ..`` (fitted on train)."""
+    from pyspark.ml.functions import vector_to_array
+    table, transform = models.fit_pca(s.where(F.col("split") == "train"), FEATS)
+    names = [f"pc{r['component']}" for r in table.where("kept").orderBy("component").collect()]
+    scores = vector_to_array(F.col("pca"))
+    return transform(s).select("*", *[scores[i].alias(n) for i, n in enumerate(names)]), names
+
+
 @query("isolation_forest")
 def q_isolation_forest(spark, sf):
-    """M10 + M11 + S17: fit on train, score validation, sweep contamination."""
-    s = _scaled(spark, sf)
-    forest = isoforest.fit(s.where(F.col("split") == "train"), FEATS, "seq")
-    val = isoforest.score(s.where(F.col("split") == "val"), forest, FEATS)
-    return round_cols(isoforest.contamination_sweep(val, LABEL), 6)
+    """M10 + M11 + S17: fit on the train PCA scores, cut-offs from the train
+    scores, contamination swept on validation."""
+    pcs, names = _pca_columns(_scaled(spark, sf))
+    tr = pcs.where(F.col("split") == "train")
+    forest = materialize(isoforest.fit(tr, names, "seq"))
+    scored = materialize(isoforest.score(
+        pcs.where(F.col("split").isin("train", "val")).select("split", LABEL, *names), forest, names))
+    return round_cols(isoforest.contamination_sweep(
+        scored.where(F.col("split") == "val"), LABEL, scored.where(F.col("split") == "train")), 6)
 
 
 def _fit_bundle(spark, sf):
@@ -119,11 +132,11 @@ def q_score_all_splits(spark, sf):
     s, scorer, vote = _fit_bundle(spark, sf)
     tr = s.where(F.col("split") == "train")
     scored = scoring.ensemble(scorer(s), vote)
-    forest = isoforest.fit(tr, FEATS, "seq")
-    scored = isoforest.score(scored, forest, FEATS)
-    table, transform = models.fit_pca(tr, FEATS)
     from pyspark.ml.clustering import KMeans
-    pcs = transform(scored)
+    pcs, names = _pca_columns(scored)
+    forest = isoforest.fit(pcs.where(F.col("split") == "train").select("seq", *names), names, "seq")
+    pcs = isoforest.score(pcs.drop("pca"), forest, names)
+    pcs = materialize(models.assemble(pcs, names, "pca"))
     km = KMeans(k=3, seed=42, featuresCol="pca", predictionCol="cluster_id").fit(pcs)
     clustered = km.transform(pcs).drop("pca")
     from ..operators.metrics import cluster_names

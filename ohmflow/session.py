@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -55,3 +57,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return current
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors (once per Spark context), so
+    Python functions run there whatever folder the driver was started in. Not
+    needed where the package is installed or passed with ``--py-files``."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ohmflow_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="ohmflow-package-")) / "ohmflow_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for module in sorted(root.rglob("*.py")):
+            z.write(module, module.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._ohmflow_shipped = True

@@ -337,3 +337,30 @@ def test_null_group_keeps_its_running_total(spark):
     two = df.selectExpr("g", "cast(id % 2 as int) as y", "id / 40.0D as s").unionByName(
         df.selectExpr("'a' as g", "cast(id % 2 as int) as y", "id / 40.0D as s"))
     assert roc_auc(two, "y", "s", ["g"]).count() == 2
+
+
+def test_isolation_forest_samples_and_planted_outlier(spark):
+    from ohmflow.operators import isoforest
+    df = spark.range(10000).selectExpr("id", "sin(id) as a", "cos(id * 3) as b",
+                                       "cast(id = 7777 as int) as y")
+    for c in "ab":
+        df = df.withColumn(c, F.when(F.col("id") == 7777, 40.0).otherwise(F.col(c)))
+    sample = isoforest.tree_samples(df, "id", 12, 256, 42)
+    per_tree = sample.groupBy("tree").agg(F.count("*").alias("n"), F.count_distinct("id").alias("d"))
+    assert [(r.n, r.d) for r in per_tree.collect()] == [(256, 256)] * 12
+    newest = sample.where("id >= 9000").count() / (12 * 256)    # no part of the ids is left out
+    assert 0.05 < newest < 0.15
+    small = isoforest.tree_samples(df.limit(30), "id", 5, 256, 42)
+    assert [r["count"] for r in small.groupBy("tree").count().collect()] == [30] * 5
+    assert isoforest.fit(df.limit(0), ["a", "b"], "id", trees=3).count() == 0
+
+    forest = isoforest.fit(df, ["a", "b"], "id").cache()
+    assert {r["size"] for r in forest.where("node = 0").collect()} == {256}
+    scored = isoforest.score(df, forest, ["a", "b"]).cache()
+    top = scored.orderBy(F.desc("IF_anomaly_score")).limit(10).collect()
+    assert 7777 in {r.id for r in top}
+    sweep = isoforest.contamination_sweep(scored.where("id >= 7000"), "y", scored).collect()
+    assert len(sweep) == 16
+    cut = {r.contamination: r.cutoff for r in sweep}
+    above = scored.where(F.col("IF_anomaly_score") > cut[0.1]).count()
+    assert abs(above - 1000) <= 5       # ten percent of the fitted rows
