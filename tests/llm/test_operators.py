@@ -115,6 +115,27 @@ def test_junk_scores_below_clean(spark):
     assert all(got[i] for i in range(40)) and not any(got[100 + i] for i in range(6))
 
 
+def test_junk_and_hidden_labels_at_production_parameters(spark):
+    rows = [(i, " ".join(f"good{(i * 7 + k * (1, 7, 11)[i % 3]) % 90}" for k in range(80))
+             + " " + words(f"own{i}", 60)) for i in range(60)]
+    rows += [(100 + i, " ".join(f"JUNK{(i * 7 + k) % 90}!!" for k in range(80))) for i in range(6)]
+    for shown in (60, 20):      # of 60 good documents
+        lab = labels(spark, [(i, 1, 0) for i in range(shown)] + [(100, 0, 0)])
+        got = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs_of(spark, rows), lab).collect()}
+        assert all(got[i] for i in range(60)) and not any(got[100 + i] for i in range(6))
+
+
+@pytest.mark.parametrize("shown", [1, 10])
+def test_unlabelled_documents_are_judged_like_labelled_ones(spark, shown):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where(f"doc_id % {shown} = 0")
+    got = quality_rules.quality_rules(docs, lab).where("not base_failed")
+    marked = lab.where("quality = 1").select("doc_id")
+    for part in (got.join(marked, "doc_id"), got.join(marked, "doc_id", "left_anti")):
+        # 8 percent of the documents that pass the base rules are junk
+        assert part.where("not kept").count() <= 0.1 * part.count()
+
+
 def test_decontaminate(spark, odd, none):
     bench = spark.createDataFrame(
         [(1, "One two"), (2, words("a", 12)), (3, None), (4, "..."), (None, "one two"),
