@@ -3,8 +3,9 @@
 Counts cover every training token. Words are grouped into units: each of the
 ``FREQUENT`` most counted words is one, all others share units by their ending
 (a hash of the last three bytes). Exchange clustering moves units between
-classes as long as the likelihood of the class bigrams grows; a word's class is
-that of its unit. A text's probability is the product of class transitions,
+classes as long as the likelihood of the class bigrams grows. Every other word
+with ``OWN`` occurrences or more then takes, by the same likelihood, the class that
+fits all its neighbours' units best; only rarer ones keep that of their ending. A text's probability is the product of class transitions,
 smoothed towards the class unigram, and word emissions
 
     P(w | class) = (count(w) - d) / N(class),    d = n1 / (n1 + 2 n2)
@@ -12,8 +13,9 @@ smoothed towards the class unigram, and word emissions
 with the discounted mass of all classes left to the one unknown word. Sums over
 all known words and the unknown one are 1 after any context.
 
-Exact counts of all words stay distributed: each slice of texts asks for the
-counts of its distinct rare words by a join and is scored as one group.
+Exact counts and classes of all words stay distributed: each slice of texts sends
+its distinct rare words with their neighbours to one place per word and gets back
+their counts and classes, from which class bigrams are counted anew.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from .store import scratch, stored
 FREQUENT = 768
 ENDINGS = 256
 CLASSES = 64
+OWN = 3
 SWEEPS = 12
 PRIOR = 20.0
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
@@ -50,6 +53,7 @@ class Model(NamedTuple):
     log_next: np.ndarray        # log10 P(class | previous class)
     log_mass: np.ndarray        # log10 N(class)
     log_unknown: np.ndarray     # log10 P(unknown word | previous class)
+    grid: np.ndarray            # class x next class in training texts
     discount: float
     total: int
     types: int
@@ -81,7 +85,9 @@ def _slices(batches, *more: str):
         text = batch.column("text")
         for lo, hi in slices(text, SLICE):
             w = words(text.slice(lo, hi - lo), SPACED, lower=True)
-            yield (lo, hi, *_tokens(w), *[batch.column(c).slice(lo, hi - lo) for c in more])
+            tokens = _tokens(w)
+            del w       # its sums are the largest arrays of a slice
+            yield (lo, hi, *tokens, *[batch.column(c).slice(lo, hi - lo) for c in more])
 
 
 def token_counts(train: DataFrame) -> DataFrame:
@@ -110,7 +116,8 @@ def encode(docs: DataFrame, frequent: np.ndarray, units: np.ndarray) -> DataFram
     """Texts as codes, stored once. Rows of three kinds: ``text`` (one per slice:
     ids, held_out and number of tokens of its texts, and their codes: place of a
     frequent word as -1 - place, else the number of a rare word in its slice),
-    ``rare`` (slice, term, number) and ``pair`` (unit, next unit, n) over
+    ``rare`` (slice, term, number, n in training texts, and as codes the units before
+    and after each of these) and ``pair`` (unit, next unit, n) over
     training texts, END leading in each text."""
     model = docs.sparkSession.sparkContext.broadcast((frequent, units))
     size = FREQUENT + ENDINGS
@@ -141,15 +148,22 @@ def encode(docs: DataFrame, frequent: np.ndarray, units: np.ndarray) -> DataFram
                        held_out=pa.ListArray.from_arrays(whole, held),
                        sizes=pa.ListArray.from_arrays(whole, pa.array(np.diff(bounds))),
                        codes=pa.array([_squeeze(code)]))
-            k = len(terms)
-            yield rows(k, kind=pa.array(["rare"] * k), slice=pa.array(np.full(k, name)),
-                       term=pa.array(terms.view(np.int64)), number=pa.array(np.arange(k)))
             lead = unit_of[np.searchsorted(freq, END)] if len(freq) else FREQUENT
             previous = np.empty_like(unit)
             previous[1:] = unit[:-1]
             previous[bounds[:-1]] = lead
             learn = np.repeat(~np.asarray(held), np.diff(bounds))
             pairs += np.bincount((previous * size + unit)[learn], minlength=size * size)
+            k = len(terms)
+            at = np.flatnonzero(rare & learn)
+            at = at[np.argsort(code[at], kind="stable")]
+            n = np.bincount(code[at], minlength=k)
+            near = np.stack([previous[at], unit[np.minimum(at + 1, len(unit) - 1)]], 1).astype("<u2")
+            ends = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)
+            yield rows(k, kind=pa.array(["rare"] * k), slice=pa.array(np.full(k, name)),
+                       term=pa.array(terms.view(np.int64)), number=pa.array(np.arange(k)),
+                       n=pa.array(n), codes=pa.Array.from_buffers(
+                           pa.binary(), k, [None, pa.py_buffer(ends), pa.py_buffer(near.tobytes())]))
         some = np.flatnonzero(pairs)
         yield rows(len(some), kind=pa.array(["pair"] * len(some)), term=pa.array(some // size),
                    number=pa.array(some % size), n=pa.array(pairs[some]))
@@ -259,36 +273,150 @@ def fit(counts: DataFrame, codes_of, classes: int = CLASSES) -> tuple[Model, Dat
     np.add.at(mass, at, rest["n"].to_numpy(np.float64))
     np.add.at(kinds, at, rest["types"].to_numpy(np.float64))
     one = np.eye(classes)[cls]
-    grid = one.T @ pairs @ one
+    model = Model(frequent, freq_n, units, cls, None, None, None, None, discount, total, types)
+    return _smoothed(model, one.T @ pairs @ one, mass, kinds), encoded
+
+
+def _smoothed(model: Model, grid: np.ndarray, mass: np.ndarray, kinds: np.ndarray) -> Model:
+    """The model with class tables from bigram counts, N(class) and its word types."""
     share = mass / max(mass.sum(), 1)
     trans = (grid + PRIOR * share) / (grid.sum(1, keepdims=True) + PRIOR)
-    unknown = trans @ (discount * kinds / np.maximum(mass, 1))
-    return Model(frequent, freq_n, units, cls, _safe_log(trans), _safe_log(mass),
-                 _safe_log(unknown), discount, total, types), encoded
-
+    unknown = trans @ (model.discount * kinds / np.maximum(mass, 1))
+    return model._replace(grid=grid, log_next=_safe_log(trans), log_mass=_safe_log(mass),
+                          log_unknown=_safe_log(unknown))
+
+
+def best_classes(grid: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Class of each word: where the bigram likelihood (as in ``exchange``) is
+    highest, given the word x class counts of classes before and after it. ``grid``
+    holds the word in its class ``home``; other words stay where they are."""
+    out = np.empty(len(home), np.int64)
+    classes = len(grid)
+    ends = grid.sum(1), grid.sum(0)
+    for lo in range(0, len(home), 200):
+        own = home[lo:lo + 200]
+        row = np.arange(len(own))
+        n = right[lo:lo + 200].sum(1)[:, None]
+        gain = np.zeros((len(own), classes))
+        for near, table, total in ((right, grid.T, ends[0]), (left, grid, ends[1])):
+            near = near[lo:lo + 200]
+            word, c = np.nonzero(near)
+            k = near[word, c][:, None]
+            base = table[c].copy()              # neighbour's class x candidate class
+            base[np.arange(len(c)), own[word]] -= k[:, 0]
+            base = np.maximum(base, 0)
+            start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]][:len(word)])
+            if len(start):
+                gain[word[start]] += np.add.reduceat(_f(base + k) - _f(base), start)
+            t = np.tile(total, (len(own), 1))
+            t[row, own] -= n[:, 0]
+            t = np.maximum(t, 0)
+            gain -= _f(t + n) - _f(t)
+        best = gain.argmax(1)
+        out[lo:lo + 200] = np.where(gain[row, best] > gain[row, own] + 1e-9, best, own)
+    return out
+
+
+def rare_words(encoded: DataFrame, model: Model, own: int = OWN) -> DataFrame:
+    """(slice, number, n, class, head) of the rare words of all slices, stored;
+    ``head`` marks one row of each word. Each word is decided once, from its
+    neighbours in all training texts."""
+    share = encoded.sparkSession.sparkContext.broadcast((model.class_of, model.grid))
+
+    def decided(rows: pa.Table) -> pa.RecordBatch:
+        cls, table = share.value
+        classes = len(table)
+        term = rows.column("term").to_numpy()
+        start = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(term))))
+        n = rows.column("n").to_numpy()
+        total = np.add.reduceat(n, start)
+        c = cls[FREQUENT + _ending(term[start].view(np.uint64))]
+        sure = np.flatnonzero(total >= own)
+        if len(sure):
+            near = cls[np.frombuffer(b"".join(rows.column("codes").to_pylist()), "<u2").reshape(-1, 2)]
+            place = np.full(len(start), -1)
+            place[sure] = np.arange(len(sure))
+            of = place[np.repeat(group, n)]
+            near, of = near[of >= 0], of[of >= 0]
+            left, right = (np.bincount(of * classes + near[:, k], minlength=len(sure) * classes)
+                           .reshape(-1, classes).astype(np.float64) for k in (0, 1))
+            c[sure] = best_classes(table, c[sure], left, right)
+        head = np.zeros(len(term), bool)
+        head[start] = True
+        return pa.RecordBatch.from_arrays(
+            [rows.column("slice").combine_chunks(), rows.column("number").combine_chunks(),
+             pa.array(total[group]), pa.array(c[group].astype(np.int16)), pa.array(head)],
+            ["part", "number", "n", "class", "head"])
 
-def _scores(model: Model, codes: np.ndarray, bounds: np.ndarray, rare_n: np.ndarray,
-            rare_ending: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n_known, base score and score of each text of a slice."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        held: list[pa.RecordBatch] = []     # rows of words that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            term = batch.column("term").to_numpy()
+            last = int(np.searchsorted(term, term[-1]))
+            if last or (held and held[-1].column("term")[-1].as_py() != term[-1]):
+                done = [*held, batch.slice(0, last)] if last else held
+                yield decided(pa.Table.from_batches(done).combine_chunks())
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield decided(pa.Table.from_batches(held).combine_chunks())
+
+    return stored(encoded.where("kind = 'rare'").select("slice", "term", "number", "n", "codes")
+                  .repartition("term").sortWithinPartitions("term")
+                  .mapInArrow(run, "part long, number int, n long, class short, head boolean"), "words")
+
+
+def _pairs(texts: DataFrame, size: int) -> np.ndarray:
+    """Class bigrams of all training texts; a task sends at most one row per cell."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                total += np.frombuffer(zlib.decompress(raw), "<i8")
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+    rows = (texts.select("pairs").mapInArrow(run, "cell long, n long")
+            .groupBy("cell").agg(F.sum("n").alias("n")).toPandas())
+    out = np.zeros(size * size)
+    out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    return out.reshape(size, size)
+
+
+def _masses(rare: DataFrame, model: Model, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """N(class) and the number of word types of each class."""
+    rest = (rare.where("head and n > 0").groupBy("class")
+            .agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas())
+    mass, kinds = np.zeros(size), np.zeros(size)
+    np.add.at(mass, model.class_of[model.units], model.counts)
+    np.add.at(kinds, model.class_of[model.units], 1)
+    at = rest["class"].to_numpy(np.int64)
+    mass[at] += rest["n"].to_numpy(np.float64)
+    kinds[at] += rest["types"].to_numpy(np.float64)
+    return mass, kinds
+
+
+def _classed(model: Model, codes: np.ndarray, rare_n: np.ndarray,
+             rare_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Count and class of each token of a slice."""
     rare = codes >= 0
     n = np.empty(len(codes), np.float64)
-    unit = np.empty(len(codes), np.int64)
-    n[rare], unit[rare] = rare_n[codes[rare]], FREQUENT + rare_ending[codes[rare]]
-    n[~rare], unit[~rare] = model.counts[-1 - codes[~rare]], model.units[-1 - codes[~rare]]
-    base = np.log10((n + 1) / (model.total + model.types + 1))
-    if model.total:
-        c = model.class_of[unit]
-        lead = model.class_of[model.units[np.searchsorted(model.frequent, END)]]
-        before = np.concatenate([[lead], c[:-1]])
-        before[bounds[:-1]] = lead
-        known = (model.log_next[before, c] + np.log10(np.maximum(n - model.discount, 1e-9))
-                 - model.log_mass[c])
-        p = np.where(n > 0, known, model.log_unknown[before])
-    else:
-        p = base
-    start = bounds[:-1]
-    return (np.add.reduceat((n > 0).astype(np.int64), start), np.add.reduceat(base, start),
-            np.add.reduceat(p, start))
+    c = np.empty(len(codes), np.int64)
+    n[rare], c[rare] = rare_n[codes[rare]], rare_class[codes[rare]]
+    at = -1 - codes[~rare]
+    n[~rare], c[~rare] = model.counts[at], model.class_of[model.units[at]]
+    return n, c
+
+
+def _before(model: Model, c: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Class before each token, END leading in each text."""
+    lead = (model.class_of[model.units[np.searchsorted(model.frequent, END)]]
+            if len(model.frequent) else 0)
+    before = np.concatenate([[lead], c[:-1]])
+    before[start] = lead
+    return before
 
 
 def score_texts(docs: DataFrame, held_out, classes: int = CLASSES) -> DataFrame:
@@ -304,33 +432,62 @@ def score_texts(docs: DataFrame, held_out, classes: int = CLASSES) -> DataFrame:
                        F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = stored(token_counts(docs.where("not held_out")), "counts")
     model, encoded = fit(counts, lambda f, u: encode(docs, f, u), classes)
-    share = docs.sparkSession.sparkContext.broadcast(model)
-    # a rare word's number and its ending in one column
-    rare = (encoded.where("kind = 'rare'").select("slice", "term", "number")
-            .join(counts, "term", "left").select(
-                F.col("slice").alias("part"),
-                F.shiftrightunsigned("term", 56).bitwiseOR(
-                    F.shiftleft(F.col("number").cast("long"), 8)).alias("word"),
-                F.coalesce("n", F.lit(0)).alias("count")))
+    spark = docs.sparkSession
+    size = len(model.log_mass)
+    rare = rare_words(encoded, model)
+    core = spark.sparkContext.broadcast(model)
     texts = encoded.where("kind = 'text'").select("slice", "ids", "held_out", "sizes", "codes")
 
-    def run(text: pa.Table, words_: pa.Table) -> pa.Table:
-        m = share.value
-        word = words_.column("word").to_numpy()
-        number = word >> 8
-        n, ending = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-        n[number] = words_.column("count").to_numpy()
-        ending[number] = word & 255
-        ids, held, k = (text.column(c).combine_chunks().values for c in ("ids", "held_out", "sizes"))
-        k = k.to_numpy()
-        codes = _unsqueeze(text.column("codes")[0].as_py())
-        bounds = np.concatenate([[0], np.cumsum(k)]).astype(np.int64)
-        known, base, score = _scores(m, codes, bounds, n, ending)
+    def classed(text: pa.Table, words_: pa.Table) -> pa.Table:
+        m = core.value
+        number = words_.column("number").to_numpy()
+        n_of, class_of = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        n_of[number] = words_.column("n").to_numpy()
+        class_of[number] = words_.column("class").to_numpy()
+        k = text.column("sizes").combine_chunks().values.to_numpy()
+        start = np.concatenate([[0], np.cumsum(k)])[:-1].astype(np.int64)
+        n, c = _classed(m, _unsqueeze(text.column("codes")[0].as_py()), n_of, class_of)
+        learn = np.repeat(~np.asarray(text.column("held_out").combine_chunks().values), k)
+        pairs = np.bincount((_before(m, c, start) * size + c)[learn], minlength=size * size)
+        base = np.log10((n + 1) / (m.total + m.types + 1))
+        emitted = np.where(n > 0, np.log10(np.maximum(n - m.discount, 1e-9)), 0)
+        parts = [np.add.reduceat(x, start) for x in ((n > 0).astype(np.int64), base, emitted)]
+        one = pa.array([0, len(k)], pa.int32())
         return pa.table({
-            "doc_id": ids, "held_out": held, "n_tokens": pa.array(k), "n_known": pa.array(known),
-            "train_tokens": pa.array(np.full(len(k), m.total)), "base_score": pa.array(base),
-            "score": pa.array(score), "perplexity": pa.array(10 ** np.minimum(-score / k, 300))})
+            "ids": text.column("ids"), "held_out": text.column("held_out"),
+            "sizes": text.column("sizes"),
+            **{name: pa.ListArray.from_arrays(one, pa.array(x))
+               for name, x in zip(("known", "base", "emitted"), parts)},
+            "classes": pa.array([_squeeze(np.where(n == 0, -1 - c, c))]),
+            "pairs": pa.array([zlib.compress(pairs.astype("<i8").tobytes(), 1)], pa.binary())})
+
+    texts = stored(texts.groupBy("slice").cogroup(rare.groupBy("part")).applyInArrow(
+        classed, "ids array<long>, held_out array<boolean>, sizes array<long>, known array<long>, "
+                 "base array<double>, emitted array<double>, classes binary, pairs binary"), "classed")
+    share = spark.sparkContext.broadcast(
+        _smoothed(model, _pairs(texts, size), *_masses(rare, model, size)))
 
-    return texts.groupBy("slice").cogroup(rare.groupBy("part")).applyInArrow(
+    def run(batches: Iterator[pa.RecordBatch]):
+        m = share.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                ids, held, k, known, base, emitted = (
+                    row.column(x).flatten() for x in ("ids", "held_out", "sizes", "known", "base", "emitted"))
+                k, score = k.to_numpy(), base.to_numpy()
+                start = np.concatenate([[0], np.cumsum(k)])[:-1].astype(np.int64)
+                c = _unsqueeze(row.column("classes")[0].as_py())
+                new, c = c < 0, np.where(c < 0, -1 - c, c)
+                if m.total:
+                    before = _before(m, c, start)
+                    p = np.where(new, m.log_unknown[before], m.log_next[before, c] - m.log_mass[c])
+                    score = np.add.reduceat(p, start) + emitted.to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [ids, held, pa.array(k), known, pa.array(np.full(len(k), m.total)), base,
+                     pa.array(score), pa.array(10 ** np.minimum(-score / k, 300))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
+                     "score", "perplexity"])
+
+    return texts.mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
              "base_score double, score double, perplexity double")

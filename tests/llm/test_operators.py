@@ -303,6 +303,33 @@ def test_exchange_separates_two_word_kinds():
             assert likelihood(np.array([*cls[:u], k, *cls[u + 1:]])) <= likelihood(cls) + 1e-6
 
 
+def test_best_classes_raise_the_likelihood_most():
+    rng = np.random.default_rng(3)
+    grid = rng.integers(2000, 9000, (4, 4)).astype(float)
+    left, right = (rng.multinomial(6, [0.25] * 4, 5).astype(float) for _ in range(2))
+    home = rng.integers(0, 4, 5)
+
+    def likelihood(word, b):
+        g = grid.copy()
+        for c, sign in ((home[word], -1), (b, 1)):
+            g[c] += sign * right[word]
+            g[:, c] += sign * left[word]
+        return lm._f(g).sum() - lm._f(g.sum(1)).sum() - lm._f(g.sum(0)).sum()
+    best = lm.best_classes(grid, home, left, right)
+    for word, b in enumerate(best):
+        assert likelihood(word, b) >= max(likelihood(word, k) for k in range(4)) - 0.01
+
+
+def test_words_beyond_the_frequent_ones_get_their_own_class(spark):
+    rng = np.random.default_rng(0)
+    # kinds alternate, all words end alike, and each is about as frequent as any other
+    rows = [(i, " ".join(f"{'ab'[k % 2]}{rng.integers(1200)}zzz" for k in range(200))) for i in range(1, 140)]
+    f = lm.F
+    got = lm.score_texts(docs_of(spark, rows), f.col("doc_id") > 130).where("held_out").agg(
+        (f.sum("score") / f.sum("n_tokens")).alias("s")).first()
+    assert got.s > -3.3     # the unigram base: -3.40
+
+
 def test_classifier(spark, odd, none):
     lab = labels(spark, [])
     assert {round(r.score, 6) for r in classifier.classify(odd, lab).collect()} == {0.5}
