@@ -1,7 +1,7 @@
 """Brown class-based bigram language model.
 
 Counts cover every training token. Words are grouped into units: each of the
-``FREQUENT`` most counted words is one, all others share units by their ending
+``FREQUENT`` - 1 most counted words and the end of a text is one, all others share units by their ending
 (a hash of the last three bytes). Exchange clustering moves units between
 classes as long as the likelihood of the class bigrams grows. Every other word
 with ``OWN`` occurrences or more then takes, by the same likelihood, the class that
@@ -105,8 +105,6 @@ def token_counts(train: DataFrame) -> DataFrame:
 def _units(frequent: np.ndarray, units: np.ndarray, h: np.ndarray):
     """Unit of each token, and which tokens are frequent words (their place)."""
     ending = _ending(h)
-    if not len(frequent):
-        return FREQUENT + ending, np.full(len(h), -1)
     at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
     known = frequent[at] == h
     return np.where(known, units[at], FREQUENT + ending), np.where(known, at, -1)
@@ -148,7 +146,7 @@ def encode(docs: DataFrame, frequent: np.ndarray, units: np.ndarray) -> DataFram
                        held_out=pa.ListArray.from_arrays(whole, held),
                        sizes=pa.ListArray.from_arrays(whole, pa.array(np.diff(bounds))),
                        codes=pa.array([_squeeze(code)]))
-            lead = unit_of[np.searchsorted(freq, END)] if len(freq) else FREQUENT
+            lead = unit_of[np.searchsorted(freq, END)]
             previous = np.empty_like(unit)
             previous[1:] = unit[:-1]
             previous[bounds[:-1]] = lead
@@ -245,14 +243,16 @@ def fit(counts: DataFrame, codes_of, classes: int = CLASSES) -> tuple[Model, Dat
     """Model and encoded texts. ``codes_of(frequent, units)`` encodes the texts."""
     known = counts.agg(F.sum("n").alias("total"), F.count("*").alias("types"),
                        F.sum((F.col("n") == 1).cast("long")).alias("n1"),
-                       F.sum((F.col("n") == 2).cast("long")).alias("n2")).first()
-    total, types, n1, n2 = (int(v or 0) for v in known)
+                       F.sum((F.col("n") == 2).cast("long")).alias("n2"),
+                       F.sum(F.when(F.col("term") == int(END), F.col("n"))).alias("ends")).first()
+    total, types, n1, n2, ends = (int(v or 0) for v in known)
     discount = min(max(n1 / (n1 + 2 * n2), 0.05), 0.95) if n1 else 0.5
-    top = counts.orderBy(F.desc("n"), "term").limit(FREQUENT).toPandas()
-    h = top["term"].to_numpy(np.int64).view(np.uint64)
+    top = (counts.where(F.col("term") != int(END)).orderBy(F.desc("n"), "term")
+           .limit(FREQUENT - 1).toPandas())
+    h = np.append(END, top["term"].to_numpy(np.int64).view(np.uint64))
     sort = np.argsort(h)
-    frequent, freq_n = h[sort], top["n"].to_numpy(np.int64)[sort]
-    units = sort    # a word's unit is its rank by count
+    frequent, freq_n = h[sort], np.append(ends, top["n"].to_numpy(np.int64))[sort]
+    units = sort    # END's unit is 0 whatever its count, a word's its rank by count
     encoded = codes_of(frequent, units)
     size = FREQUENT + ENDINGS
     pairs = np.zeros((size, size))
@@ -412,8 +412,7 @@ def _classed(model: Model, codes: np.ndarray, rare_n: np.ndarray,
 
 def _before(model: Model, c: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Class before each token, END leading in each text."""
-    lead = (model.class_of[model.units[np.searchsorted(model.frequent, END)]]
-            if len(model.frequent) else 0)
+    lead = model.class_of[model.units[np.searchsorted(model.frequent, END)]]
     before = np.concatenate([[lead], c[:-1]])
     before[start] = lead
     return before

@@ -285,6 +285,15 @@ def test_model_sums_to_one(spark):
             assert abs(known + 10 ** model.log_unknown[k] - 1) < 1e-9
 
 
+def test_text_ends_have_a_unit_whatever_their_count(spark):
+    f = lm.F
+    docs = docs_of(spark, [(1, " ".join(f"x{k % 900}" for k in range(1800)))]).select(
+        "doc_id", "text", f.lit(False).alias("held_out"))
+    model, _ = lm.fit(lm.token_counts(docs), lambda a, b: lm.encode(docs, a, b), classes=4)
+    at = np.searchsorted(model.frequent, lm.END)
+    assert model.frequent[at] == lm.END and model.counts[at] == 1
+
+
 def test_exchange_separates_two_word_kinds():
     pairs = np.zeros((6, 6))
     pairs[:3, 3:] = 10      # a word of one kind always follows one of the other
