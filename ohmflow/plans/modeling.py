@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 from ..operators import graph, importance, isoforest, models, neighbors, prepare, scoring, temporal
 from ..operators.common import materialize, round_cols
 from ..schema import CLUSTER_NAMES, RAW_FEATURES as R
-from .catalog import IMPORTANCE_FEATURES, cleaned_readings, split_readings
+from .catalog import cleaned_readings
 from .registry import query
 
-FEATS = IMPORTANCE_FEATURES  # 12 raw + edge loads
+#: all 156: raw, temporal and graph features
+FEATS = (R + temporal.feature_names(temporal.ROLLING_FEATURES, temporal.LAG_FEATURES)
+         + graph.GRAPH_FEATURES)
 LABEL = "stabf"
-# Lighter settings for the registered checks; the library defaults are the
-# reference's (400 boosting rounds, 30 K-Means starts, full RF grid).
-Q_ROUNDS, Q_TREES, Q_STARTS = 40, 50, 3
-Q_CV_ROUNDS = 20  # 10 folds × boosting rounds run one after another
+
+
+def _features(spark, sf):
+    """The engineered readings with all features."""
+    return _engineered(cleaned_readings(spark, sf), "sequence").select("seq", LABEL, *FEATS)
 
 
 def _splits(spark, sf):
-    s = split_readings(spark, sf)
-    return materialize(graph.graph_features(s).select("seq", LABEL, "split", *FEATS))
+    return materialize(prepare.stratified_split(_features(spark, sf), LABEL, "seq"))
 
 
 def _scaled(spark, sf):
@@ -34,12 +36,11 @@ def _scaled(spark, sf):
 @query("baseline_models")
 def q_baseline_models(spark, sf):
     """M1–M5 on a stratified 80/20 split."""
-    base = graph.graph_features(cleaned_readings(spark, sf))
-    s = materialize(prepare.stratified_split(base, LABEL, "seq", test=0.2, val=0.0))
+    s = materialize(prepare.stratified_split(_features(spark, sf), LABEL, "seq", test=0.2, val=0.0))
     tr, te = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
     n = tr.count()
     ests = {"logistic_regression": models.logistic(LABEL, n),
-            "random_forest": models.random_forest(LABEL, trees=100, depth=16)}
+            "random_forest": models.random_forest(LABEL)}
     m = models.evaluate_models(tr, te, LABEL, FEATS, ests)
     from ..operators.metrics import average_precision, binary_metrics, roc_auc
     maj = models.majority_predictions(tr, te, LABEL).select(
@@ -55,8 +56,7 @@ def q_rf_grid(spark, sf):
     """M6 + T8: grid search over stratified 5-fold ids, AP scoring."""
     tr = _splits(spark, sf).where(F.col("split") == "train")
     folds = prepare.stratified_folds(tr, LABEL, "seq")
-    res, _ = models.tune_forest(folds, LABEL, FEATS, "fold", trees=(20, Q_TREES), depths=(8, 12),
-                                min_splits=(2,))
+    res, _ = models.tune_forest(folds, LABEL, FEATS, "fold")
     return round_cols(res, 6)
 
 
@@ -65,8 +65,7 @@ def q_gbt_weight_sweep(spark, sf):
     """M7: positive-weight sweep of boosted trees by validation AP."""
     s = _splits(spark, sf)
     res, _ = models.sweep_boosting_weights(s.where(F.col("split") == "train"),
-                                           s.where(F.col("split") == "val"), LABEL, FEATS,
-                                           rounds=Q_ROUNDS)
+                                           s.where(F.col("split") == "val"), LABEL, FEATS)
     return round_cols(res, 6)
 
 
@@ -83,7 +82,7 @@ def q_kmeans_segments(spark, sf):
     """Elbow and silhouette for k = 2..6 on the PCA scores of all splits."""
     s = _scaled(spark, sf)
     _, transform = models.fit_pca(s.where(F.col("split") == "train"), FEATS)
-    res, _ = models.kmeans_sweep(transform(s), ks=(2, 3, 4, 5, 6), n_init=Q_STARTS)
+    res, _ = models.kmeans_sweep(transform(s), ks=(2, 3, 4, 5, 6))
     return round_cols(res, 6)
 
 
@@ -112,8 +111,8 @@ def q_isolation_forest(spark, sf):
 def _fit_bundle(spark, sf):
     s = _scaled(spark, sf)
     tr, va = s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
-    rf = models.random_forest(LABEL, trees=Q_TREES, depth=12).fit(models.assemble(tr, FEATS))
-    gbt = models.boosted_trees(LABEL, rounds=Q_ROUNDS).fit(models.assemble(tr, FEATS))
+    rf = models.random_forest(LABEL).fit(models.assemble(tr, FEATS))
+    gbt = models.boosted_trees(LABEL).fit(models.assemble(tr, FEATS))
 
     def scorer(df):
         a = models.assemble(df, FEATS)
@@ -132,13 +131,12 @@ def q_score_all_splits(spark, sf):
     s, scorer, vote = _fit_bundle(spark, sf)
     tr = s.where(F.col("split") == "train")
     scored = scoring.ensemble(scorer(s), vote)
-    from pyspark.ml.clustering import KMeans
     pcs, names = _pca_columns(scored)
     forest = isoforest.fit(pcs.where(F.col("split") == "train").select("seq", *names), names, "seq")
     pcs = isoforest.score(pcs.drop("pca"), forest, names)
     pcs = materialize(models.assemble(pcs, names, "pca"))
-    km = KMeans(k=3, seed=42, featuresCol="pca", predictionCol="cluster_id").fit(pcs)
-    clustered = km.transform(pcs).drop("pca")
+    _, best = models.kmeans_sweep(pcs, ks=(3,))
+    clustered = best[3].transform(pcs).withColumnRenamed("cluster", "cluster_id").drop("pca")
     from ..operators.metrics import cluster_names
     names = cluster_names(clustered, "cluster_id", LABEL, CLUSTER_NAMES).select(
         "cluster_id", F.col("name").alias("kmeans_cluster"))
@@ -177,8 +175,8 @@ def q_cross_validate(spark, sf):
             bal = materialize(neighbors.smote(tr.select("seq", LABEL, *FEATS), "seq", LABEL,
                                               FEATS, k=5))
             trv = models.assemble(bal, FEATS)
-            rf = models.random_forest(LABEL, trees=Q_TREES, depth=12).fit(trv)
-            gb = models.boosted_trees(LABEL, rounds=Q_CV_ROUNDS).fit(trv)
+            rf = models.random_forest(LABEL).fit(trv)
+            gb = models.boosted_trees(LABEL).fit(trv)
             a = models.assemble(va.select("seq", LABEL, *FEATS), FEATS)
             p = models.positive_score(rf.transform(a), "RF_prob").select("seq", LABEL, "RF_prob", *FEATS)
             p = models.positive_score(gb.transform(models.assemble(p, FEATS)), "XGBoost_prob") \
@@ -215,7 +213,7 @@ def q_permutation_importance(spark, sf):
     """Accuracy drop per feature on validation, 10 repeats."""
     s = _splits(spark, sf)
     tr, va = s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
-    rf = models.random_forest(LABEL, trees=Q_TREES, depth=10).fit(models.assemble(tr, FEATS))
+    rf = models.random_forest(LABEL).fit(models.assemble(tr, FEATS))
 
     def predict(df):
         return rf.transform(models.assemble(df, FEATS)).withColumn(
@@ -250,7 +248,7 @@ def q_score_modes(spark, sf):
     seq_df = _engineered(c, "sequence")
     split = prepare.stratified_split(c.select("seq", LABEL), LABEL, "seq").select("seq", "split")
     train = seq_df.join(split, "seq").where(F.col("split") == "train")
-    rf = models.random_forest(LABEL, trees=Q_TREES, depth=12).fit(models.assemble(train, names))
+    rf = models.random_forest(LABEL).fit(models.assemble(train, names))
 
     def prob(df, out):
         return models.positive_score(rf.transform(models.assemble(df, names)), out) \

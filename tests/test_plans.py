@@ -1,6 +1,7 @@
 """Plan-shape checks for the scale design: no single-partition exchanges on
 row-sized data, pruned scans."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ohmflow.operators import metrics, temporal
@@ -39,3 +40,25 @@ def test_scan_reads_only_needed_columns(spark):
         .executedPlan().toString()
     assert "ReadSchema: struct<event_type:string,value:double>" in plan
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in plan
+
+
+@pytest.mark.parametrize("name", ["rf_grid", "gbt_weight_sweep", "baseline_models",
+                                  "permutation_importance", "score_modes"])
+def test_model_queries_use_the_library_defaults(spark, monkeypatch, name):
+    """Stops at the first learner: which settings and features it gets."""
+    from ohmflow.plans import QUERIES, modeling
+
+    class Called(Exception):
+        pass
+
+    def learner(*args, **settings):
+        for value in args:
+            if isinstance(value, list):     # feature names
+                assert len(value) == 156
+        assert settings == {}
+        raise Called
+    for f in ("random_forest", "boosted_trees", "tune_forest", "sweep_boosting_weights", "kmeans_sweep"):
+        monkeypatch.setattr(modeling.models, f, learner)
+    assert len(modeling.FEATS) == 156
+    with pytest.raises(Called):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
