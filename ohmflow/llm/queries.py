@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import (chat_format, classifier, decontam, html_diff, lm, minhash, packing, pii,
-               quality_rules, warc)
+from . import (chat_format, classifier, decontam, html_diff, lm, merkle, minhash, packing, pii,
+               quality_rules, repair, token_counts, warc)
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -191,3 +191,148 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_traffic(table(spark, sf_dir, "conversations"))
     return chat_format.link_calls(calls, results, TOOL_SCHEMAS).withColumn(
         "errors", F.array_join("errors", "; "))
+
+
+#: vocabulary file of the token counts; a real run names its own
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                     public_tokenizers.path(TOKENIZER))
+
+
+def _crc32(expr: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of an ASCII string expression: bytes are
+    folded in, eight shifts (-1) after each."""
+    steps = (f"flatten(list_transform(string_split({expr}, ''), "
+             "lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))")
+    fold = ("list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {steps}), lambda c, x: CASE WHEN x >= 0 "
+            "THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)")
+    return f"xor({fold.format(steps=steps)}, CAST(4294967295 AS BIGINT))"
+
+
+def _merkle_levels(name: str, source: str, group: str, levels: int) -> tuple[str, str]:
+    """CTEs ``name0 ..``: nodes ``(group, pos, n, h)`` level by level with the digests
+    beside each node (``a`` before, ``b`` after); a single node stays as it is."""
+    run = f"OVER (PARTITION BY {group}, pos // 8 ORDER BY pos ROWS BETWEEN"
+    beside = (f"string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, "
+              f"string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b")
+    ctes = [f"{name}0 AS (SELECT *, {beside} FROM ({source}))"]
+    for k in range(1, levels + 1):
+        ctes.append(f"{name}{k} AS (SELECT *, {beside} FROM (SELECT {group}, pos // 8 AS pos, (n + 7) // 8 AS n, "
+                    f"CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h "
+                    f"FROM {name}{k - 1} GROUP BY {group}, pos // 8, n))")
+    return ",\n".join(ctes), f"{name}{levels}"
+
+
+def _merkle_sql(levels: int = 8, tops: int = 3) -> str:
+    def h(text: str) -> str:
+        parts = [f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c} END"
+                 for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(parts)})"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    low, last = _merkle_levels("lv", "SELECT g, pos, n, leaf AS h FROM leaf", "g", levels)
+    high, top = _merkle_levels("tp", f"SELECT 0 AS z, g AS pos, (SELECT count(*) FROM {last}) AS n, h "
+                                     f"FROM {last}", "z", tops)
+    steps = [(f"lv{k}", f"v{k}.g = t.g AND v{k}.pos = t.pos // {8 ** k}") for k in range(levels)]
+    steps += [(f"tp{k}", f"v{levels + k}.pos = t.g // {8 ** k}") for k in range(tops)]
+    stages = []
+    for k, (cte, on) in enumerate(steps):
+        stages.append(f"f{k} AS (SELECT t.* EXCLUDE (acc, proof), CASE WHEN v{k}.n = 1 THEN acc ELSE "
+                      f"sha256(coalesce(a, '') || acc || coalesce(b, '')) END AS acc, CASE WHEN v{k}.n = 1 "
+                      f"THEN proof ELSE proof || coalesce(a, '') || coalesce(b, '') END AS proof "
+                      f"FROM {'start' if k == 0 else f'f{k - 1}'} t JOIN {cte} v{k} ON {on})")
+    end = f"f{len(steps) - 1}"
+    return f"""
+WITH base AS (SELECT doc_id, lang, {h('text')} AS leaf,
+    CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {h(lower)} ELSE {h('text')} END AS tampered
+  FROM documents),
+leaf AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n FROM base),
+{low},
+{high},
+start AS (SELECT doc_id, g, pos, leaf, tampered, tampered AS acc, '' AS proof FROM leaf),
+{(',' + chr(10)).join(stages)}
+SELECT t.doc_id, t.leaf, s.h AS subroot, r.h AS root, sha256(t.proof) AS proof_sha256,
+       t.acc AS folded_root, t.acc = r.h AS verified
+FROM {end} t JOIN {last} s ON s.g = t.g CROSS JOIN {top} r
+"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    fields = [F.when(hit, lower).otherwise(text) if c == "text" else F.col(c) for c in merkle.FIELDS]
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), also={"tampered": merkle.leaf_hash(fields)})
+    folded = merkle.fold(F.col("tampered"), F.col("proof"))
+    return rows.select("doc_id", "leaf", "subroot", "root",
+                       F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+                       folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
+def _edit_table() -> str:
+    """Every edit of every kind of row as SQL values: initial, whether it must go,
+    whether it is truncated, state before and after, cost, edits, the text inserted
+    before, own edit and the role it takes."""
+    rows = []
+    for initial in ("s", "u", "a", "-"):
+        for fault in ("", "blank", "truncated"):
+            for (a, b), (cost, edits) in repair.row_edits(initial, fault).items():
+                asks = repair.roles_of(edits, a)
+                before = "".join(repair.ROLES[x] + ":\n" for x in asks[:-1])
+                rows.append(f"('{initial}', '{fault}', {a}, {b}, {cost}, '{edits}', '{before}', "
+                            f"'{edits[-1]}', '{repair.ROLES.get(asks[-1], '')}')")
+    return ",\n  ".join(rows)
+
+
+@query("op11_conversation_repair", f"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN ''
+    WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM raw, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) WHERE kind <> 0),
+placed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), '-') AS c, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS rest FROM hurt),
+marked AS (SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '-' END AS i,
+    lag(left(role, 1)) OVER (PARTITION BY c ORDER BY pos) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal,
+    CASE WHEN rest = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1
+      THEN 'duplicate' WHEN right(rest, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+edit(i, f, a, b, price, marks, before, own, ask) AS (VALUES
+  {_edit_table()}),
+walk AS (
+  SELECT DISTINCT c, CAST(0 AS BIGINT) AS pos, 0 AS state,
+    {{'cost': CAST(0 AS BIGINT), 'audit': '', 'out': ''}} AS best FROM marked
+  UNION ALL
+  SELECT w.c, m.pos, e.b, min({{'cost': w.best.cost + e.price, 'audit': w.best.audit || e.marks,
+    'out': w.best.out || e.before || CASE e.own WHEN 'K' THEN m.role || ':' || m.text || chr(10)
+      WHEN 'R' THEN e.ask || ':' || m.text || chr(10) ELSE '' END}})
+  FROM walk w JOIN marked m ON m.c = w.c AND m.pos = w.pos + 1 JOIN edit e ON e.a = w.state AND e.i = m.i
+    AND e.f = CASE m.fault WHEN 'duplicate' THEN 'blank' ELSE m.fault END
+  GROUP BY w.c, m.pos, e.b),
+sums AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal, max(pos) AS n
+  FROM marked GROUP BY c),
+ends AS (SELECT c, min({{'cost': best.cost + s.price, 'audit': best.audit || s.marks, 'out': best.out || s.extra}}) AS best
+  FROM walk JOIN sums USING (c) JOIN (VALUES (0, 0, '', ''), (1, 10, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+    (2, 5, 'I', 'assistant:' || chr(10)), (3, 0, '', '')) s(state, price, marks, extra) USING (state)
+  WHERE pos = n GROUP BY c)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit,
+  sha256(coalesce(left(best.out, CAST(greatest(length(best.out) - 1, 0) AS BIGINT)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), '-') AS c FROM conversations) o
+LEFT JOIN sums USING (c) LEFT JOIN ends USING (c)
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    return repair.report(talks, repair.damage(talks))
