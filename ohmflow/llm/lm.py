@@ -1,32 +1,38 @@
 """Brown class-based bigram language model.
 
-Counts cover every training token. Words are grouped into units: each of the
-``FREQUENT`` - 1 most counted words and the end of a text is one, all others share units by their ending
-(a hash of the last three bytes). Exchange clustering moves units between
-classes as long as the likelihood of the class bigrams grows. Every other word
-with ``OWN`` occurrences or more then takes, by the same likelihood, the class that
-fits all its neighbours' units best; only rarer ones keep that of their ending. A text's probability is the product of class transitions,
-smoothed towards the class unigram, and word emissions
+Counts cover every training token. Exchange clustering runs in two steps. First
+the ``FREQUENT`` - 1 most counted words, the end of a text and ``ENDINGS`` groups of all
+other words by ending (a hash of the last three bytes) are units that move between
+classes one by one as long as the likelihood of the class bigrams grows. From these
+classes on, the ``WORDS`` - 1 most counted words move for themselves: each pass over the
+texts sums, for the words whose turn it is, the classes before and after them, and
+each of these takes the class that fits best; the classes with the highest likelihood of
+all passes stay. Every other word with ``OWN`` occurrences or more then takes its best class
+once, by the same rule from all its neighbours; only rarer ones keep that of their
+ending. A text's probability is the product of class transitions, smoothed towards
+the class unigram, and word emissions
 
     P(w | class) = (count(w) - d) / N(class),    d = n1 / (n1 + 2 n2)
 
 with the discounted mass of all classes left to the one unknown word. Sums over
 all known words and the unknown one are 1 after any context.
 
-Exact counts and classes of all words stay distributed: each slice of texts sends
-its distinct rare words with their neighbours to one place per word and gets back
-their counts and classes, from which class bigrams are counted anew.
+The table of the ``WORDS`` most counted words has a fixed size and is sent to all tasks.
+Exact counts and classes of all others stay distributed: each slice of texts sends
+its distinct rare words, with sums of the classes around them, to one place per word
+and gets back their counts and classes, from which class bigrams are counted anew.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +41,24 @@ from .store import scratch, stored
 
 FREQUENT = 768
 ENDINGS = 256
+WORDS = 65_536
 CLASSES = 64
 OWN = 3
 SWEEPS = 12
+PASSES = 4
 PRIOR = 20.0
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
-SLICE = 4 << 20
+SLICE = 1 << 20
+CELLS = 200_000     # rows a task sends at once
 
 
 class Model(NamedTuple):
-    """Everything of fixed size: ``frequent`` word hashes (sorted, with counts and
-    units) and per-class tables."""
+    """Everything of fixed size: hashes of the most counted words (sorted, with
+    counts, units and classes) and per-class tables."""
     frequent: np.ndarray
     counts: np.ndarray
-    units: np.ndarray
-    class_of: np.ndarray        # of each unit
+    units: np.ndarray           # of each word: its place in class_of
+    class_of: np.ndarray        # of each unit; FREQUENT and on: by ending; then of words
     log_next: np.ndarray        # log10 P(class | previous class)
     log_mass: np.ndarray        # log10 N(class)
     log_unknown: np.ndarray     # log10 P(unknown word | previous class)
@@ -102,69 +111,57 @@ def token_counts(train: DataFrame) -> DataFrame:
             .groupBy("term").agg(F.sum("n").alias("n")))
 
 
-def _units(frequent: np.ndarray, units: np.ndarray, h: np.ndarray):
-    """Unit of each token, and which tokens are frequent words (their place)."""
-    ending = _ending(h)
+def _lookup(frequent: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Place of each token among the most counted words, -1 for others."""
     at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-    known = frequent[at] == h
-    return np.where(known, units[at], FREQUENT + ending), np.where(known, at, -1)
+    return np.where(frequent[at] == h, at, -1)
 
 
 def encode(docs: DataFrame, frequent: np.ndarray, units: np.ndarray) -> DataFrame:
-    """Texts as codes, stored once. Rows of three kinds: ``text`` (one per slice:
-    ids, held_out and number of tokens of its texts, and their codes: place of a
-    frequent word as -1 - place, else the number of a rare word in its slice),
-    ``rare`` (slice, term, number, n in training texts, and as codes the units before
-    and after each of these) and ``pair`` (unit, next unit, n) over
-    training texts, END leading in each text."""
+    """Texts as codes, stored once. Rows of two kinds: ``text`` (one per slice: ids,
+    held_out and number of tokens of its texts, their codes: place of a frequent
+    word as -1 - place, else the number of a rare word in its slice, and the terms of
+    the rare words in the order of their numbers) and ``pair`` (unit, next unit, n)
+    over training texts, END leading in each text."""
     model = docs.sparkSession.sparkContext.broadcast((frequent, units))
     size = FREQUENT + ENDINGS
     types = {"kind": pa.string(), "slice": pa.int64(), "ids": pa.list_(pa.int64()),
-             "held_out": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()),
-             "codes": pa.binary(), "term": pa.int64(), "number": pa.int32(), "n": pa.int64()}
+             "held_out": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "codes": pa.binary(),
+             "terms": pa.binary(), "unit": pa.int32(), "next": pa.int32(), "n": pa.int64()}
     names = list(types)
-    schema = ("kind string, slice long, ids array<long>, held_out array<boolean>, "
-              "sizes array<long>, codes binary, term long, number int, n long")
+    schema = ("kind string, slice long, ids array<long>, held_out array<boolean>, sizes array<long>, "
+              "codes binary, terms binary, unit int, next int, n long")
 
     def rows(size_: int, **cols) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [cols[c].cast(types[c]) if c in cols else pa.nulls(size_, types[c]) for c in names], names)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        pairs = np.zeros(size * size, np.int64)
+        pairs = np.zeros(size * size, np.int32)
         freq, unit_of = model.value
+        lead = unit_of[np.searchsorted(freq, END)]
+        name = TaskContext.get().partitionId() << 32        # the same in a repeated task
         for lo, hi, h, bounds, ids, held in _slices(batches, "doc_id", "held_out"):
-            unit, place = _units(freq, unit_of, h)
+            place = _lookup(freq, h)
             rare = place < 0
+            unit = np.where(rare, FREQUENT + _ending(h), unit_of[place])
             terms, number = np.unique(h[rare], return_inverse=True)
             code = -1 - place
             code[rare] = number
-            name = uuid.uuid4().int >> 65
             whole = pa.array([0, hi - lo], pa.int32())
             yield rows(1, kind=pa.array(["text"]), slice=pa.array([name]),
                        ids=pa.ListArray.from_arrays(whole, ids.cast(pa.int64())),
                        held_out=pa.ListArray.from_arrays(whole, held),
                        sizes=pa.ListArray.from_arrays(whole, pa.array(np.diff(bounds))),
-                       codes=pa.array([_squeeze(code)]))
-            lead = unit_of[np.searchsorted(freq, END)]
-            previous = np.empty_like(unit)
-            previous[1:] = unit[:-1]
-            previous[bounds[:-1]] = lead
+                       codes=pa.array([_squeeze(code)]), terms=pa.array([terms.tobytes()], pa.binary()))
+            name += 1
             learn = np.repeat(~np.asarray(held), np.diff(bounds))
-            pairs += np.bincount((previous * size + unit)[learn], minlength=size * size)
-            k = len(terms)
-            at = np.flatnonzero(rare & learn)
-            at = at[np.argsort(code[at], kind="stable")]
-            n = np.bincount(code[at], minlength=k)
-            near = np.stack([previous[at], unit[np.minimum(at + 1, len(unit) - 1)]], 1).astype("<u2")
-            ends = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)
-            yield rows(k, kind=pa.array(["rare"] * k), slice=pa.array(np.full(k, name)),
-                       term=pa.array(terms.view(np.int64)), number=pa.array(np.arange(k)),
-                       n=pa.array(n), codes=pa.Array.from_buffers(
-                           pa.binary(), k, [None, pa.py_buffer(ends), pa.py_buffer(near.tobytes())]))
+            np.add.at(pairs, (_shifted(unit, bounds[:-1], lead) * size + unit)[learn], 1)
         some = np.flatnonzero(pairs)
-        yield rows(len(some), kind=pa.array(["pair"] * len(some)), term=pa.array(some // size),
-                   number=pa.array(some % size), n=pa.array(pairs[some]))
+        for lo in range(0, len(some), CELLS):
+            cell = some[lo:lo + CELLS]
+            yield rows(len(cell), kind=pa.array(["pair"] * len(cell)), unit=pa.array(cell // size),
+                       next=pa.array(cell % size), n=pa.array(pairs[cell]))
 
     path = scratch(docs.sparkSession, "codes")
     docs.select("doc_id", "held_out", "text").mapInArrow(run, schema).write.option(
@@ -172,6 +169,14 @@ def encode(docs: DataFrame, frequent: np.ndarray, units: np.ndarray) -> DataFram
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
+def _shifted(x: np.ndarray, start: np.ndarray, lead: int) -> np.ndarray:
+    """What stands before each token, ``lead`` at the start of each text."""
+    before = np.empty_like(x)
+    before[1:] = x[:-1]
+    before[start] = lead
+    return before
+
+
 def _squeeze(codes: np.ndarray) -> bytes:
     """int32 codes, one byte plane after the other, deflated."""
     planes = codes.astype("<i4").view(np.uint8).reshape(-1, 4).T
@@ -248,33 +253,154 @@ def fit(counts: DataFrame, codes_of, classes: int = CLASSES) -> tuple[Model, Dat
     total, types, n1, n2, ends = (int(v or 0) for v in known)
     discount = min(max(n1 / (n1 + 2 * n2), 0.05), 0.95) if n1 else 0.5
     top = (counts.where(F.col("term") != int(END)).orderBy(F.desc("n"), "term")
-           .limit(FREQUENT - 1).toPandas())
-    h = np.append(END, top["term"].to_numpy(np.int64).view(np.uint64))
+           .limit(WORDS - 1).toArrow())
+    h = np.append(END, top.column("term").to_numpy().view(np.uint64))
     sort = np.argsort(h)
-    frequent, freq_n = h[sort], np.append(ends, top["n"].to_numpy(np.int64))[sort]
-    units = sort    # END's unit is 0 whatever its count, a word's its rank by count
+    frequent, freq_n = h[sort], np.append(ends, top.column("n").to_numpy())[sort]
+    # END's unit is 0 whatever its count, a word's its rank by count, then its ending
+    units = np.where(sort < FREQUENT, sort, FREQUENT + _ending(frequent))
     encoded = codes_of(frequent, units)
     size = FREQUENT + ENDINGS
     pairs = np.zeros((size, size))
-    got = (encoded.where("kind = 'pair'").groupBy("term", "number").agg(F.sum("n").alias("n"))
-           .toArrow())
-    pairs[got.column("term").to_numpy(), got.column("number").to_numpy()] = got.column("n").to_numpy()
+    got = encoded.where("kind = 'pair'").groupBy("unit", "next").agg(F.sum("n").alias("n")).toArrow()
+    pairs[got.column("unit").to_numpy(), got.column("next").to_numpy()] = got.column("n").to_numpy()
     del got
     cls = exchange(pairs, classes)
+    # from here on each word has a unit of its own behind the others
+    model = Model(frequent, freq_n, size + np.arange(len(frequent)), np.concatenate([cls, cls[units]]),
+                  None, None, None, np.zeros((classes, classes)), discount, total, types)
+    model = improved(model, encoded, classes, sort < FREQUENT)
     spark = counts.sparkSession
     marked = spark.createDataFrame(pa.table({"term": pa.array(frequent.view(np.int64))}))
-    rest = (counts.join(F.broadcast(marked), "term", "left_anti")
+    rest = (counts.join(F.broadcast(marked), "term", "left_anti")        # WORDS rows
             .groupBy(F.shiftrightunsigned("term", 56).alias("ending"))
             .agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas())
-    mass, kinds = np.zeros(classes), np.zeros(classes)
-    np.add.at(mass, cls[units], freq_n)
-    np.add.at(kinds, cls[units], 1)
-    at = cls[FREQUENT + rest["ending"].to_numpy(np.int64)]
+    at = model.class_of[FREQUENT + rest["ending"].to_numpy(np.int64)]
+    mass, kinds = _frequent_masses(model, classes)
     np.add.at(mass, at, rest["n"].to_numpy(np.float64))
     np.add.at(kinds, at, rest["types"].to_numpy(np.float64))
-    one = np.eye(classes)[cls]
-    model = Model(frequent, freq_n, units, cls, None, None, None, None, discount, total, types)
-    return _smoothed(model, one.T @ pairs @ one, mass, kinds), encoded
+    return _smoothed(model, model.grid, mass, kinds), encoded
+
+
+def word_class(model: Model) -> np.ndarray:
+    return model.class_of[model.units]
+
+
+def _frequent_masses(model: Model, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """N(class) and the number of types over the frequent words."""
+    mass, kinds = np.zeros(classes), np.zeros(classes)
+    np.add.at(mass, word_class(model), model.counts)
+    np.add.at(kinds, word_class(model), model.counts > 0)
+    return mass, kinds
+
+
+def likelihood(grid: np.ndarray) -> float:
+    """The part of the bigram likelihood that depends on the classes."""
+    return float(_f(grid).sum() - _f(grid.sum(1)).sum() - _f(grid.sum(0)).sum())
+
+
+def _token_classes(model: Model, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice's training tokens: codes, classes, and the classes before and after.
+    Rare words count by ending; what follows a text's last token is END's lead."""
+    codes = _unsqueeze(row["codes"])
+    terms = np.frombuffer(row["terms"], np.uint64)
+    of_rare = model.class_of[FREQUENT + _ending(terms)]
+    # one table for both signs of a code: rare words first, frequent ones from the end
+    c = np.concatenate([of_rare, word_class(model)[::-1]])[codes]
+    sizes = np.asarray(row["sizes"], np.int64)
+    start = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
+    before = _before(model, c, start)
+    after = np.append(c[1:], c[:1])
+    learn = np.repeat(~np.asarray(row["held_out"], bool), sizes)
+    return codes[learn], c[learn], before[learn], after[learn]
+
+
+_TEXT = ("slice", "ids", "held_out", "sizes", "codes", "terms")
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+def class_cells(encoded: DataFrame, model: Model, classes: int, movers: np.ndarray) -> DataFrame:
+    """(word, cell, n): for each frequent word whose place is in ``movers`` the classes
+    before (cell = class) and after it (cell = classes + class), an END having none
+    after it; and for word -1 the class bigrams (cell = class * classes + next)."""
+    share = encoded.sparkSession.sparkContext.broadcast((model, movers))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        m, who = share.value
+        width = 2 * classes
+        cells = np.zeros(len(who) * width, np.int32)
+        row_of = np.full(len(m.frequent), -1)
+        row_of[who] = np.arange(len(who))
+        grid = np.zeros(classes * classes, np.int64)
+        last = int(np.searchsorted(m.frequent, END))
+        for row in _rows_of(batches):
+            code, c, before, after = _token_classes(m, row)
+            grid += np.bincount(before * classes + c, minlength=classes * classes)
+            place = -1 - code
+            line = np.where(place >= 0, row_of[place], -1)
+            mine = line >= 0
+            np.add.at(cells, line[mine] * width + before[mine], 1)
+            mine &= place != last
+            np.add.at(cells, line[mine] * width + classes + after[mine], 1)
+        some = np.flatnonzero(cells)
+        for lo in range(0, len(some), CELLS):
+            at = some[lo:lo + CELLS]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(who[at // width], pa.int32()), pa.array(at % width, pa.int32()),
+                 pa.array(cells[at], pa.int64())], ["word", "cell", "n"])
+        at = np.flatnonzero(grid)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1), pa.int32()), pa.array(at, pa.int32()),
+                                          pa.array(grid[at])], ["word", "cell", "n"])
+    return (encoded.where("kind = 'text'").select("held_out", "sizes", "codes", "terms")
+            .mapInArrow(run, "word int, cell int, n long")
+            .groupBy("word", "cell").agg(F.sum("n").alias("n")))
+
+
+def _grid(cells: DataFrame, classes: int) -> np.ndarray:
+    got = cells.where("word = -1").select("cell", "n").toArrow()      # classes x classes rows
+    grid = np.zeros(classes * classes)
+    grid[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return grid.reshape(classes, classes)
+
+
+def improved(model: Model, encoded: DataFrame, classes: int, single: np.ndarray,
+             passes: int = PASSES) -> Model:
+    """The model after exchange passes over the frequent words: first those that so
+    far went by their ending, then every second word in turn; the others' classes
+    stand still in a pass. Words that move together may do so for the same gap, so
+    a pass can lower the likelihood; of all passes the classes with the highest one
+    are taken. ``grid`` is that of these classes."""
+    best = None
+    place = np.arange(len(model.frequent))
+    turns = [place[~single], *(place[place % 2 == k % 2] for k in range(passes - 1)), place[:0]]
+    for k, movers in enumerate(turns):
+        cells = stored(class_cells(encoded, model, classes, movers), "cells")
+        model = model._replace(grid=_grid(cells, classes))
+        if best is None or likelihood(model.grid) > likelihood(best.grid):
+            best = model
+        if k == passes:
+            break
+        share = encoded.sparkSession.sparkContext.broadcast((word_class(model), model.grid))
+
+        def decide(rows: pa.Table) -> pa.Table:
+            home, grid = share.value
+            words_, at = np.unique(rows.column("word").to_numpy(), return_inverse=True)
+            near = np.zeros((len(words_), 2 * classes))
+            near[at, rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+            new = best_classes(grid, home[words_], near[:, :classes], near[:, classes:])
+            moved = new != home[words_]
+            return pa.table({"word": pa.array(words_[moved], pa.int32()), "class": pa.array(new[moved], pa.int32())})
+        moves = (cells.where("word >= 0").groupBy((F.col("word") / 512).cast("int")).applyInArrow(
+            decide, "word int, class int").toArrow())               # at most WORDS rows
+        class_of = model.class_of.copy()
+        class_of[model.units[moves.column("word").to_numpy()]] = moves.column("class").to_numpy()
+        model = model._replace(class_of=class_of)
+    return best
 
 
 def _smoothed(model: Model, grid: np.ndarray, mass: np.ndarray, kinds: np.ndarray) -> Model:
@@ -317,31 +443,65 @@ def best_classes(grid: np.ndarray, home: np.ndarray, left: np.ndarray, right: np
     return out
 
 
-def rare_words(encoded: DataFrame, model: Model, own: int = OWN) -> DataFrame:
+def rare_requests(encoded: DataFrame, model: Model, classes: int) -> DataFrame:
+    """(slice, term, number, n, near) of the rare words of all slices: n occurrences in
+    its training texts, near: cells (as in ``class_cells``) and their counts, two bytes
+    and four, of the classes around them."""
+    share = encoded.sparkSession.sparkContext.broadcast(model)
+    width = 2 * classes
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        m = share.value
+        for row in _rows_of(batches):
+            terms = np.frombuffer(row["terms"], np.int64)
+            code, _, before, after = _token_classes(m, row)
+            rare = code >= 0
+            at, n = np.unique(np.concatenate([code[rare] * width + before[rare],
+                                              code[rare] * width + classes + after[rare]]), return_counts=True)
+            near = np.zeros(len(at), _CELL)
+            near["cell"], near["n"] = at % width, n
+            ends = np.zeros(len(terms) + 1, np.int32)
+            ends[1:] = np.cumsum(np.bincount(at // width, minlength=len(terms))) * _CELL.itemsize
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(terms), row["slice"])), pa.array(terms), pa.array(np.arange(len(terms)), pa.int32()),
+                 pa.array(np.bincount(code[rare], minlength=len(terms)), pa.int32()),
+                 pa.Array.from_buffers(pa.binary(), len(terms), [None, pa.py_buffer(ends), pa.py_buffer(near.tobytes())])],
+                ["slice", "term", "number", "n", "near"])
+    return encoded.where("kind = 'text'").select("slice", "held_out", "sizes", "codes", "terms").mapInArrow(
+        run, "slice long, term long, number int, n int, near binary")
+
+
+_CELL = np.dtype([("cell", "<u2"), ("n", "<u4")])
+
+
+def rare_words(encoded: DataFrame, model: Model, classes: int, own: int = OWN) -> DataFrame:
     """(slice, number, n, class, head) of the rare words of all slices, stored;
     ``head`` marks one row of each word. Each word is decided once, from its
     neighbours in all training texts."""
     share = encoded.sparkSession.sparkContext.broadcast((model.class_of, model.grid))
+    width = 2 * classes
 
     def decided(rows: pa.Table) -> pa.RecordBatch:
         cls, table = share.value
-        classes = len(table)
         term = rows.column("term").to_numpy()
         start = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
         group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(term))))
-        n = rows.column("n").to_numpy()
-        total = np.add.reduceat(n, start)
+        total = np.add.reduceat(rows.column("n").to_numpy().astype(np.int64), start)
         c = cls[FREQUENT + _ending(term[start].view(np.uint64))]
         sure = np.flatnonzero(total >= own)
-        if len(sure):
-            near = cls[np.frombuffer(b"".join(rows.column("codes").to_pylist()), "<u2").reshape(-1, 2)]
-            place = np.full(len(start), -1)
-            place[sure] = np.arange(len(sure))
-            of = place[np.repeat(group, n)]
-            near, of = near[of >= 0], of[of >= 0]
-            left, right = (np.bincount(of * classes + near[:, k], minlength=len(sure) * classes)
-                           .reshape(-1, classes).astype(np.float64) for k in (0, 1))
-            c[sure] = best_classes(table, c[sure], left, right)
+        place = np.full(len(start), -1)
+        place[sure] = np.arange(len(sure))
+        blobs = rows.column("near").combine_chunks()
+        near = np.frombuffer(b"".join(blobs.to_pylist()), _CELL)
+        of = place[np.repeat(group, pc.binary_length(blobs).to_numpy() // _CELL.itemsize)]
+        near, of = near[of >= 0], of[of >= 0]
+        for lo in range(0, len(sure), 2000):
+            some = (of >= lo) & (of < lo + 2000)
+            k = min(2000, len(sure) - lo)
+            around = np.bincount((of[some] - lo) * width + near["cell"][some], near["n"][some],
+                                 minlength=k * width).reshape(k, width)
+            who = sure[lo:lo + k]
+            c[who] = best_classes(table, c[who], around[:, :classes], around[:, classes:])
         head = np.zeros(len(term), bool)
         head[start] = True
         return pa.RecordBatch.from_arrays(
@@ -364,8 +524,7 @@ def rare_words(encoded: DataFrame, model: Model, own: int = OWN) -> DataFrame:
         if held:
             yield decided(pa.Table.from_batches(held).combine_chunks())
 
-    return stored(encoded.where("kind = 'rare'").select("slice", "term", "number", "n", "codes")
-                  .repartition("term").sortWithinPartitions("term")
+    return stored(rare_requests(encoded, model, classes).repartition("term").sortWithinPartitions("term")
                   .mapInArrow(run, "part long, number int, n long, class short, head boolean"), "words")
 
 
@@ -389,9 +548,7 @@ def _masses(rare: DataFrame, model: Model, size: int) -> tuple[np.ndarray, np.nd
     """N(class) and the number of word types of each class."""
     rest = (rare.where("head and n > 0").groupBy("class")
             .agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas())
-    mass, kinds = np.zeros(size), np.zeros(size)
-    np.add.at(mass, model.class_of[model.units], model.counts)
-    np.add.at(kinds, model.class_of[model.units], 1)
+    mass, kinds = _frequent_masses(model, size)
     at = rest["class"].to_numpy(np.int64)
     mass[at] += rest["n"].to_numpy(np.float64)
     kinds[at] += rest["types"].to_numpy(np.float64)
@@ -406,16 +563,13 @@ def _classed(model: Model, codes: np.ndarray, rare_n: np.ndarray,
     c = np.empty(len(codes), np.int64)
     n[rare], c[rare] = rare_n[codes[rare]], rare_class[codes[rare]]
     at = -1 - codes[~rare]
-    n[~rare], c[~rare] = model.counts[at], model.class_of[model.units[at]]
+    n[~rare], c[~rare] = model.counts[at], word_class(model)[at]
     return n, c
 
 
 def _before(model: Model, c: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Class before each token, END leading in each text."""
-    lead = model.class_of[model.units[np.searchsorted(model.frequent, END)]]
-    before = np.concatenate([[lead], c[:-1]])
-    before[start] = lead
-    return before
+    return _shifted(c, start, word_class(model)[np.searchsorted(model.frequent, END)])
 
 
 def score_texts(docs: DataFrame, held_out, classes: int = CLASSES) -> DataFrame:
@@ -432,8 +586,8 @@ def score_texts(docs: DataFrame, held_out, classes: int = CLASSES) -> DataFrame:
     counts = stored(token_counts(docs.where("not held_out")), "counts")
     model, encoded = fit(counts, lambda f, u: encode(docs, f, u), classes)
     spark = docs.sparkSession
-    size = len(model.log_mass)
-    rare = rare_words(encoded, model)
+    size = classes
+    rare = rare_words(encoded, model, classes)
     core = spark.sparkContext.broadcast(model)
     texts = encoded.where("kind = 'text'").select("slice", "ids", "held_out", "sizes", "codes")
 

@@ -280,3 +280,69 @@ def test_manifest_finds_tampering_and_takes_empty_and_single_tables(spark):
     bad = merkle.manifest(two, also={"other": F.sha2(F.lit("x"), 256)}).select(
         "root", merkle.fold(F.col("other"), F.col("proof")).alias("folded")).collect()
     assert len(bad) == 2 and all(r.root != r.folded for r in bad)
+
+
+# ---- language model ---------------------------------------------------------
+
+def plain_scores(train, texts, class_of, discount, prior):
+    """log10 probability of each text by the formulas, class by class in Python."""
+    from collections import Counter
+    from math import log10
+    n = Counter(w for t in train for w in [*t, None])
+    mass, kinds, grid, out = Counter(), Counter(), Counter(), Counter()
+    for w, k in n.items():
+        mass[class_of(w)] += k
+        kinds[class_of(w)] += 1
+    for t in train:
+        for a, b in zip([None, *t], [*t, None]):
+            grid[class_of(a), class_of(b)] += 1
+            out[class_of(a)] += 1
+    total = sum(mass.values())
+
+    def follows(a, c):
+        return (grid[a, c] + prior * mass[c] / total) / (out[a] + prior)
+    scores = []
+    for t in texts:
+        s = 0.0
+        for a, w in zip([None, *t], [*t, None]):
+            a, c = class_of(a), class_of(w)
+            if n[w]:
+                s += log10(follows(a, c) * (n[w] - discount) / mass[c])
+            else:
+                s += log10(sum(follows(a, k) * discount * kinds[k] / mass[k] for k in mass))
+        scores.append(s)
+    return scores
+
+
+@pytest.mark.parametrize("frequent", [None, 12])
+def test_language_model_scores_equal_brute_force(spark, monkeypatch, frequent):
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from ohmflow.llm import lm
+    if frequent:        # most words are rare ones, which take their classes by request
+        monkeypatch.setattr(lm, "WORDS", frequent)
+    rng = random.Random(8)
+    texts = {i: [f"{rng.choice('abc')}{rng.randint(0, 14)}" for _ in range(rng.randint(0, 40))] for i in range(60)}
+    texts[60] = ["never", "seen", "a1", "b2", "words"]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    held = F.col("doc_id") >= 55
+    rows = docs.select("doc_id", "text", held.alias("held_out"))
+    model, encoded = lm.fit(lm.token_counts(rows.where("not held_out")), lambda f, u: lm.encode(rows, f, u), classes=4)
+    every = sorted({w for t in texts.values() for w in t})
+    tokens, _ = lm._tokens(lm.words(pa.array([" ".join(every)]), lm.SPACED, lower=True))
+    place = lm._lookup(model.frequent, tokens)
+    known = {w: int(lm.word_class(model)[p]) for w, p in zip([*every, None], place) if p >= 0}
+    by_ending = {w: int(model.class_of[lm.FREQUENT + e]) for w, e in zip(every, lm._ending(tokens))}
+    rare = {}
+    terms = {r["slice"]: np.frombuffer(r["terms"], np.uint64) for r in encoded.where("kind = 'text'").collect()}
+    name = dict(zip(tokens.tolist(), every))
+    for r in lm.rare_words(encoded, model, 4).collect():
+        rare[name[int(terms[r.part][r.number])]] = r["class"]
+    assert bool(rare) and (frequent is None or len(rare) > 20)
+    got = {r.doc_id: r.score for r in lm.score_texts(docs, held, classes=4).collect()}
+    want = plain_scores([t for i, t in texts.items() if i < 55], texts.values(),
+                        lambda w: known[w] if w in known else rare.get(w, by_ending.get(w)),
+                        model.discount, lm.PRIOR)
+    assert all(abs(got[i] - s) < 1e-6 * max(1, len(texts[i])) for i, s in zip(texts, want))
