@@ -31,7 +31,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,16 +120,16 @@ def encode(docs: DataFrame, frequent: np.ndarray, units: np.ndarray) -> DataFram
     """Texts as codes, stored once. Rows of two kinds: ``text`` (one per slice: ids,
     held_out and number of tokens of its texts, their codes: place of a frequent
     word as -1 - place, else the number of a rare word in its slice, and the terms of
-    the rare words in the order of their numbers) and ``pair`` (unit, next unit, n)
-    over training texts, END leading in each text."""
+    the rare words in the order of their numbers) and ``pair`` (one per task: codes, the
+    unit x next unit counts over its training texts, END leading in each)."""
     model = docs.sparkSession.sparkContext.broadcast((frequent, units))
     size = FREQUENT + ENDINGS
     types = {"kind": pa.string(), "slice": pa.int64(), "ids": pa.list_(pa.int64()),
              "held_out": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "codes": pa.binary(),
-             "terms": pa.binary(), "unit": pa.int32(), "next": pa.int32(), "n": pa.int64()}
+             "terms": pa.binary()}
     names = list(types)
     schema = ("kind string, slice long, ids array<long>, held_out array<boolean>, sizes array<long>, "
-              "codes binary, terms binary, unit int, next int, n long")
+              "codes binary, terms binary")
 
     def rows(size_: int, **cols) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -157,11 +156,7 @@ def encode(docs: DataFrame, frequent: np.ndarray, units: np.ndarray) -> DataFram
             name += 1
             learn = np.repeat(~np.asarray(held), np.diff(bounds))
             np.add.at(pairs, (_shifted(unit, bounds[:-1], lead) * size + unit)[learn], 1)
-        some = np.flatnonzero(pairs)
-        for lo in range(0, len(some), CELLS):
-            cell = some[lo:lo + CELLS]
-            yield rows(len(cell), kind=pa.array(["pair"] * len(cell)), unit=pa.array(cell // size),
-                       next=pa.array(cell % size), n=pa.array(pairs[cell]))
+        yield rows(1, kind=pa.array(["pair"]), codes=pa.array([_squeeze(pairs)]))
 
     path = scratch(docs.sparkSession, "codes")
     docs.select("doc_id", "held_out", "text").mapInArrow(run, schema).write.option(
@@ -262,8 +257,8 @@ def fit(counts: DataFrame, codes_of, classes: int = CLASSES) -> tuple[Model, Dat
     encoded = codes_of(frequent, units)
     size = FREQUENT + ENDINGS
     pairs = np.zeros((size, size))
-    got = encoded.where("kind = 'pair'").groupBy("unit", "next").agg(F.sum("n").alias("n")).toArrow()
-    pairs[got.column("unit").to_numpy(), got.column("next").to_numpy()] = got.column("n").to_numpy()
+    got = _summed(encoded.where("kind = 'pair'").select("codes"), size * size, _unsqueeze)
+    pairs.flat[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     del got
     cls = exchange(pairs, classes)
     # from here on each word has a unit of its own behind the others
@@ -325,9 +320,9 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def class_cells(encoded: DataFrame, model: Model, classes: int, movers: np.ndarray) -> DataFrame:
-    """(word, cell, n): for each frequent word whose place is in ``movers`` the classes
-    before (cell = class) and after it (cell = classes + class), an END having none
-    after it; and for word -1 the class bigrams (cell = class * classes + next)."""
+    """(cell, n): for each frequent word whose place is in ``movers`` the classes before
+    (cell = place * 2 * classes + class) and after it (classes more), an END having
+    none after it; and the class bigrams (cell = -1 - (class * classes + next))."""
     share = encoded.sparkSession.sparkContext.broadcast((model, movers))
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -342,7 +337,7 @@ def class_cells(encoded: DataFrame, model: Model, classes: int, movers: np.ndarr
             code, c, before, after = _token_classes(m, row)
             grid += np.bincount(before * classes + c, minlength=classes * classes)
             place = -1 - code
-            line = np.where(place >= 0, row_of[place], -1)
+            line = np.where(place >= 0, row_of[np.maximum(place, 0)], -1)
             mine = line >= 0
             np.add.at(cells, line[mine] * width + before[mine], 1)
             mine &= place != last
@@ -351,20 +346,17 @@ def class_cells(encoded: DataFrame, model: Model, classes: int, movers: np.ndarr
         for lo in range(0, len(some), CELLS):
             at = some[lo:lo + CELLS]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(who[at // width], pa.int32()), pa.array(at % width, pa.int32()),
-                 pa.array(cells[at], pa.int64())], ["word", "cell", "n"])
+                [pa.array(who[at // width] * width + at % width), pa.array(cells[at], pa.int64())], ["cell", "n"])
         at = np.flatnonzero(grid)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1), pa.int32()), pa.array(at, pa.int32()),
-                                          pa.array(grid[at])], ["word", "cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - at), pa.array(grid[at])], ["cell", "n"])
     return (encoded.where("kind = 'text'").select("held_out", "sizes", "codes", "terms")
-            .mapInArrow(run, "word int, cell int, n long")
-            .groupBy("word", "cell").agg(F.sum("n").alias("n")))
+            .mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
 
 
 def _grid(cells: DataFrame, classes: int) -> np.ndarray:
-    got = cells.where("word = -1").select("cell", "n").toArrow()      # classes x classes rows
+    got = cells.where("cell < 0").toArrow()      # classes x classes rows
     grid = np.zeros(classes * classes)
-    grid[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    grid[-1 - got.column("cell").to_numpy()] = got.column("n").to_numpy()
     return grid.reshape(classes, classes)
 
 
@@ -389,13 +381,14 @@ def improved(model: Model, encoded: DataFrame, classes: int, single: np.ndarray,
 
         def decide(rows: pa.Table) -> pa.Table:
             home, grid = share.value
-            words_, at = np.unique(rows.column("word").to_numpy(), return_inverse=True)
+            cell = rows.column("cell").to_numpy()
+            words_, at = np.unique(cell // (2 * classes), return_inverse=True)
             near = np.zeros((len(words_), 2 * classes))
-            near[at, rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+            near[at, cell % (2 * classes)] = rows.column("n").to_numpy()
             new = best_classes(grid, home[words_], near[:, :classes], near[:, classes:])
             moved = new != home[words_]
             return pa.table({"word": pa.array(words_[moved], pa.int32()), "class": pa.array(new[moved], pa.int32())})
-        moves = (cells.where("word >= 0").groupBy((F.col("word") / 512).cast("int")).applyInArrow(
+        moves = (cells.where("cell >= 0").groupBy(F.floor(F.col("cell") / (512 * 2 * classes))).applyInArrow(
             decide, "word int, class int").toArrow())               # at most WORDS rows
         class_of = model.class_of.copy()
         class_of[model.units[moves.column("word").to_numpy()]] = moves.column("class").to_numpy()
@@ -492,8 +485,9 @@ def rare_words(encoded: DataFrame, model: Model, classes: int, own: int = OWN) -
         place = np.full(len(start), -1)
         place[sure] = np.arange(len(sure))
         blobs = rows.column("near").combine_chunks()
-        near = np.frombuffer(b"".join(blobs.to_pylist()), _CELL)
-        of = place[np.repeat(group, pc.binary_length(blobs).to_numpy() // _CELL.itemsize)]
+        ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset:blobs.offset + len(blobs) + 1]
+        near = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]].view(_CELL)
+        of = place[np.repeat(group, np.diff(ends) // _CELL.itemsize)]
         near, of = near[of >= 0], of[of >= 0]
         for lo in range(0, len(sure), 2000):
             some = (of >= lo) & (of < lo + 2000)
@@ -528,19 +522,26 @@ def rare_words(encoded: DataFrame, model: Model, classes: int, own: int = OWN) -
                   .mapInArrow(run, "part long, number int, n long, class short, head boolean"), "words")
 
 
-def _pairs(texts: DataFrame, size: int) -> np.ndarray:
-    """Class bigrams of all training texts; a task sends at most one row per cell."""
+def _summed(blobs: DataFrame, size: int, read) -> pa.Table:
+    """(cell, n) sums over the count tables of a binary column; a task sends at most one
+    row per cell, and there are at most ``size`` in all."""
     def run(batches: Iterator[pa.RecordBatch]):
-        total = np.zeros(size * size, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                total += np.frombuffer(zlib.decompress(raw), "<i8")
+                total += read(raw)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
-    rows = (texts.select("pairs").mapInArrow(run, "cell long, n long")
-            .groupBy("cell").agg(F.sum("n").alias("n")).toPandas())
+        for lo in range(0, len(some), CELLS):
+            at = some[lo:lo + CELLS]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+    return blobs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+
+
+def _pairs(texts: DataFrame, size: int) -> np.ndarray:
+    """Class bigrams of all training texts."""
+    got = _summed(texts.select("pairs"), size * size, lambda raw: np.frombuffer(zlib.decompress(raw), "<i8"))
     out = np.zeros(size * size)
-    out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(size, size)
 
 
