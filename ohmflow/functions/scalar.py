@@ -74,6 +74,8 @@ def hash_uniform(*parts: Column) -> Column:
 
 
 def pearson(a: Column, b: Column) -> Column:
-    """Pearson correlation as an aggregate; NULL (not an ANSI error) when a
-    column is constant. SQL twin: covar_pop(a,b) / nullif(stddev_pop(a)*stddev_pop(b), 0)."""
-    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    """Pearson correlation as an aggregate; NULL when a column is constant. That is
+    decided by min = max: the deviation of a constant that is no dyadic fraction is
+    rounding noise, not 0. SQL twin: covar_pop(a,b) / nullif(stddev_pop(a)*stddev_pop(b), 0)."""
+    varied = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.when(varied, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..operators import graph, importance, isoforest, models, neighbors, prepare, scoring, temporal
 from ..operators.common import materialize, round_cols
 from ..schema import CLUSTER_NAMES, RAW_FEATURES as R
-from .catalog import cleaned_readings
+from .catalog import _SPLIT_SQL, cleaned_readings, split_readings
 from .registry import query
+from .sqlgen import r6
 
 #: all 156: raw, temporal and graph features
 FEATS = (R + temporal.feature_names(temporal.ROLLING_FEATURES, temporal.LAG_FEATURES)
@@ -82,7 +83,8 @@ def q_kmeans_segments(spark, sf):
     """Elbow and silhouette for k = 2..6 on the PCA scores of all splits."""
     s = _scaled(spark, sf)
     _, transform = models.fit_pca(s.where(F.col("split") == "train"), FEATS)
-    res, _ = models.kmeans_sweep(transform(s), ks=(2, 3, 4, 5, 6))
+    scores = materialize(transform(s).select("pca"))    # every start reads the scores
+    res, _ = models.kmeans_sweep(scores, ks=(2, 3, 4, 5, 6))
     return round_cols(res, 6)
 
 
@@ -210,20 +212,57 @@ def q_cross_validate(spark, sf):
 
 @query("permutation_importance")
 def q_permutation_importance(spark, sf):
-    """Accuracy drop per feature on validation, 10 repeats."""
+    """Accuracy drop per feature on validation, 10 repeats, by the balanced
+    forest of 200 trees of depth 10."""
     s = _splits(spark, sf)
-    tr, va = s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
-    rf = models.random_forest(LABEL).fit(models.assemble(tr, FEATS))
-
-    def predict(df):
-        return rf.transform(models.assemble(df, FEATS)).withColumn(
-            "pred", F.col("prediction").cast("int")).drop("features", "rawPrediction",
-                                                          "probability", "prediction")
-    imp = importance.permutation_importance(va.select("seq", LABEL, *FEATS), "seq", LABEL, FEATS,
+    predict = models.selector_forest(s.where(F.col("split") == "train"), LABEL, FEATS)
+    imp = importance.permutation_importance(s.where(F.col("split") == "val"), "seq", LABEL, FEATS,
                                             predict, repeats=10)
     return round_cols(imp, 6)
 
 
+def _importance_sql(repeats: int = 10) -> str:
+    """The same permutations over the twelve raw features, scored by a rule."""
+    def draw(purpose: str) -> str:
+        return f"('0x' || substr(md5('42|' || feature || '|' || rep || '|{purpose}'), 1, 15))::BIGINT"
+
+    def rule(cols: dict) -> str:
+        slow = " + ".join(f"{cols[f'tau{k}']} + 16.0 * {cols[f'g{k}']}" for k in range(1, 5))
+        power = " + ".join(f"abs({cols[f'p{k}']})" for k in range(1, 5))
+        return f"CAST(({slow}) / 256.0 + ({power}) / 64.0 >= 1.0 AS INTEGER)"
+    names = ", ".join(f"'{f}'" for f in R)
+    own = {f: f"CASE WHEN m.feature = '{f}' THEN d.{f} ELSE t.{f} END" for f in R}
+    return _SPLIT_SQL + f""",
+val AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS pos, count(*) OVER () AS size
+        FROM splits WHERE split = 'val'),
+draws AS (SELECT feature, CAST(rep AS INTEGER) AS rep, size, {draw('step')} % size AS a0, {draw('start')} % size AS b
+  FROM (SELECT unnest([{names}]) AS feature), (SELECT unnest(range({repeats})) AS rep), (SELECT max(size) AS size FROM val)),
+maps AS (SELECT *, (a0 + list_filter(range(1000), lambda i: gcd((a0 + i) % size + 1, size) = 1)[1]) % size + 1 AS a
+         FROM draws),
+copies AS (SELECT m.feature, m.rep, t.stabf, {rule(own)} AS pred
+  FROM val d JOIN maps m ON true JOIN val t ON t.pos = (m.a * d.pos + m.b) % m.size),
+acc AS (SELECT feature, rep, avg(CAST(pred = stabf AS DOUBLE)) AS acc FROM copies GROUP BY ALL),
+base AS (SELECT avg(CAST({rule({f: f for f in R})} = stabf AS DOUBLE)) AS base FROM val)
+SELECT feature, {r6('avg(base - acc)')} AS importance_mean, {r6('stddev_pop(base - acc)')} AS importance_std
+FROM acc, base GROUP BY feature"""
+
+
+def rule_model(df):
+    """A stand-in model that reads every raw feature (as ``_importance_sql``)."""
+    slow = sum((F.col(f"tau{k}") for k in range(2, 5)), F.col("tau1"))
+    slow = sum((F.lit(16) * F.col(f"g{k}") for k in range(1, 5)), slow)
+    power = sum((F.abs(f"p{k}") for k in range(2, 5)), F.abs("p1"))
+    return df.withColumn("pred", (slow / 256.0 + power / 64.0 >= 1.0).cast("int"))
+
+
+@query("permutation_rule_importance", _importance_sql())
+def q_permutation_rule_importance(spark, sf):
+    """M16's permutations and drops with a rule in place of the forest, so that SQL
+    can repeat every one of them."""
+    val = split_readings(spark, sf).where(F.col("split") == "val")
+    return round_cols(importance.permutation_importance(val, "seq", LABEL, R, rule_model), 6)
+
+
 def _engineered(df, mode):
     if mode == "sequence":
         t = temporal.temporal_features(df, ["seq"])

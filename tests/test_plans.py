@@ -55,7 +55,9 @@ def test_model_queries_use_the_library_defaults(spark, monkeypatch, name):
         for value in args:
             if isinstance(value, list):     # feature names
                 assert len(value) == 156
-        assert settings == {}
+        # only the selector's forest has settings of its own
+        assert settings == ({"trees": 200, "depth": 10, "weight": "weight"}
+                            if name == "permutation_importance" else {})
         raise Called
     for f in ("random_forest", "boosted_trees", "tune_forest", "sweep_boosting_weights", "kmeans_sweep"):
         monkeypatch.setattr(modeling.models, f, learner)

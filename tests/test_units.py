@@ -364,3 +364,40 @@ def test_isolation_forest_samples_and_planted_outlier(spark):
     cut = {r.contamination: r.cutoff for r in sweep}
     above = scored.where(F.col("IF_anomaly_score") > cut[0.1]).count()
     assert abs(above - 1000) <= 5       # ten percent of the fitted rows
+
+
+def test_correlation_with_a_constant_is_null(spark):
+    from pyspark.sql import functions as F
+
+    from ohmflow.functions.scalar import pearson
+    df = spark.createDataFrame([(0.1, float(k), float(-2 * k), None) for k in range(999)],
+                               "c double, x double, y double, n double").repartition(4)
+    row = df.agg(pearson(F.col("c"), F.col("x")).alias("c"), pearson(F.col("x"), F.col("y")).alias("xy"),
+                 pearson(F.col("x"), F.col("n")).alias("n")).first()
+    assert row.c is None and row.n is None and abs(row.xy + 1) < 1e-12
+
+
+def test_affine_maps_are_permutations_and_stay_in_range():
+    from ohmflow.operators.importance import affine_map
+    for n in (1, 2, 6, 30, 97, 1000):
+        for f in ("a", "b"):
+            for r in range(3):
+                a, b = affine_map(n, f, r)
+                assert sorted((a * q + b) % n for q in range(n)) == list(range(n))
+    a, b = affine_map(10 ** 11, "a", 0)
+    assert a * 10 ** 11 + b < 1 << 63 and affine_map(0, "a", 0)[1] == 0
+
+
+def test_permutation_drops_equal_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    from ohmflow.operators import importance
+    rows = [(3 * i, i % 2, float(i % 2), float(i % 5)) for i in range(41)]
+    df = spark.createDataFrame(rows, "id long, y int, good double, noise double")
+    got = {(r.feature, r["repeat"]): r["drop"] for r in importance.permutation_scores(
+        df, "id", "y", ["good", "noise"], lambda d: d.withColumn("pred", F.col("good").cast("int")), 4).collect()}
+    for r in range(4):
+        a, b = importance.affine_map(41, "good", r)
+        moved = {(a * q + b) % 41: rows[q][2] for q in range(41)}
+        right = sum(int(moved[i]) == rows[i][1] for i in range(41)) / 41
+        assert abs(got["good", r] - (1 - right)) < 1e-12 and got["noise", r] == 0
