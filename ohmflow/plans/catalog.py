@@ -1156,12 +1156,39 @@ def q_minority_knn(spark, sf):
                           F.col("n.nid").alias("nid"), F.col("n.dist").alias("dist")))
 
 
-@query("smote_balance")
+def _smote_sql(k: int = 5) -> str:
+    fit = ", ".join(f"avg({c}) AS {c}_c, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS {c}_s"
+                    for c in R)
+    scaled = ", ".join(f"{r6(f'({c} - {c}_c) / {c}_s')} AS {c}" for c in R)
+    dist = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in R)
+    synth = ", ".join(f"{r6(f'g.{c} + g.u * (d.{c} - g.{c})')} AS {c}" for c in R)
+
+    def draw(purpose: str) -> str:
+        return f"(('0x' || substr(md5(seq || '|' || j || '|42|{purpose}'), 1, 8))::BIGINT / 4294967296.0)"
+    return _SPLIT_SQL + f""",
+params AS (SELECT {fit} FROM splits WHERE split = 'train'),
+sc AS (SELECT seq, stabf, {scaled} FROM splits, params WHERE split = 'train'),
+sizes AS (SELECT stabf, count(*) AS n FROM sc GROUP BY stabf),
+need AS (SELECT arg_min(stabf, n * 2 + stabf) AS minority, min(n) AS few, max(n) - min(n) AS need FROM sizes),
+mino AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS pos FROM sc, need WHERE stabf = minority),
+near AS (SELECT a.seq, b.seq AS nid, row_number() OVER (PARTITION BY a.seq ORDER BY sqrt({dist}), b.seq) AS rank
+  FROM mino a JOIN mino b ON a.seq <> b.seq QUALIFY rank <= {k}),
+made AS (SELECT m.*, unnest(range(need // few + CASE WHEN pos < need % few THEN 1 ELSE 0 END)) AS j FROM mino m),
+gen AS (SELECT *, CAST(floor({draw('nn')} * {k}) AS BIGINT) + 1 AS pick, {draw('gap')} AS u FROM made)
+SELECT seq, stabf, {", ".join(R)}, false AS synthetic FROM sc
+UNION ALL
+SELECT -(g.seq * (g.need // g.few + 1) + g.j + 1), g.stabf, {synth}, true
+FROM gen g JOIN near n ON n.seq = g.seq AND n.rank = g.pick JOIN mino d ON d.seq = n.nid"""
+
+
+@query("smote_balance", _smote_sql())
 def q_smote_balance(spark, sf):
+    """D8 on the train split, its scaled features taken to six decimals first, so
+    that two engines see the same distances and the same ties."""
     s = split_readings(spark, sf)
     train = s.where(F.col("split") == "train")
     params = prepare.fit_standard(train, R)
-    scaled = prepare.apply_scaler(train, params, R)
+    scaled = round_cols(prepare.apply_scaler(train, params, R).select("seq", "stabf", *R), 6, R)
     return _r6(neighbors.smote(scaled, "seq", "stabf", R, k=5))
 
 
