@@ -425,6 +425,29 @@ def q_node_degree(spark, sf):
     return graph.node_degree(graph.grid_edges(cleaned_readings(spark, sf)))
 
 
+@query("supplier_clustering", f"""
+WITH l AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem),
+e AS (SELECT x.s AS a, y.s AS b, CAST(count(*) AS DOUBLE) AS weight
+      FROM l x JOIN l y ON x.o = y.o AND x.s < y.s GROUP BY x.s, y.s),
+top AS (SELECT max(weight) AS top FROM e),
+t AS (SELECT x.a AS u, x.b AS v, y.b AS w, cbrt(x.weight * y.weight * z.weight) / top AS g
+      FROM e x JOIN e y ON x.a = y.a AND x.b < y.b JOIN e z ON z.a = x.b AND z.b = y.b, top),
+each AS (SELECT node, count(*) AS triangles, sum(g) AS s FROM (SELECT unnest([u, v, w]) AS node, g FROM t) GROUP BY node),
+d AS (SELECT node, count(*) AS degree FROM (SELECT unnest([a, b]) AS node FROM e) GROUP BY node)
+SELECT node, degree, coalesce(triangles, 0) AS triangles, {r6("CASE WHEN degree > 1 THEN "
+  "2.0 * coalesce(s, 0.0) / (degree * (degree - 1)) ELSE 0.0 END")} AS clustering
+FROM d LEFT JOIN each USING (node)""")
+def q_supplier_clustering(spark, sf):
+    """F10 on a graph with triangles: suppliers are linked by the orders they share
+    (an order's suppliers are a set of at most its lines)."""
+    order = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_set("l_suppkey")).alias("s"))
+    pairs = F.flatten(F.transform("s", lambda x, i: F.transform(
+        F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    edges = order.select(F.inline(pairs)).withColumn("weight", F.lit(1))
+    return _r6(graph.weighted_clustering(edges))
+
+
 # -------------------------------------------------------------- preparation --
 from ..operators import prepare  # noqa: E402
 

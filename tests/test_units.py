@@ -401,3 +401,65 @@ def test_permutation_drops_equal_brute_force(spark):
         moved = {(a * q + b) % 41: rows[q][2] for q in range(41)}
         right = sum(int(moved[i]) == rows[i][1] for i in range(41)) / 41
         assert abs(got["good", r] - (1 - right)) < 1e-12 and got["noise", r] == 0
+
+
+def test_weighted_clustering_equals_brute_force(spark):
+    import random
+    from itertools import combinations
+
+    from ohmflow.operators import graph
+    rng = random.Random(4)
+    # a hub with every node, a dense part, leaves, parallel and looping edges
+    edges = [(0, k, rng.randint(1, 9)) for k in range(1, 25)]
+    edges += [(a, b, rng.randint(1, 9)) for a, b in combinations(range(1, 10), 2) if rng.random() < 0.6]
+    edges += [(5, 2, 3), (7, 7, 50), (30, 31, 4), (None, 3, 1), (40, 41, 1), (41, 42, 1)]
+    w = {}
+    for a, b, x in edges:
+        if a is not None and a != b:
+            w[min(a, b), max(a, b)] = w.get((min(a, b), max(a, b)), 0) + x
+    top, near = max(w.values()), {}
+    for a, b in w:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for n, around in near.items():
+        g = [(w[min(n, a), max(n, a)] * w[min(n, b), max(n, b)] * w[a, b]) ** (1 / 3) / top
+             for a, b in combinations(sorted(around), 2) if (a, b) in w]
+        k = len(around)
+        want[n] = (k, len(g), 2 * sum(g) / (k * (k - 1)) if k > 1 else 0.0)
+    df = spark.createDataFrame(edges, "a int, b int, weight int")
+    got = {r.node: (r.degree, r.triangles, r.clustering) for r in graph.weighted_clustering(df).collect()}
+    assert got.keys() == want.keys()
+    for n in want:
+        assert got[n][:2] == want[n][:2] and abs(got[n][2] - want[n][2]) < 1e-12
+    assert graph.weighted_clustering(df.limit(0)).collect() == []
+
+
+def test_reuse_finds_the_first_run_and_rebuilds_on_change(spark, tmp_path):
+    from ohmflow.sources import io as sio
+    src, root = str(tmp_path / "in"), str(tmp_path / "feeds")
+    spark.range(5).write.parquet(src)
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.read.parquet(src).selectExpr("id * 2 as x")
+    assert sio.reuse(spark, [src], root, build).count() == 5
+    before = sorted(str(p) for p in tmp_path.rglob("*"))
+    assert sio.reuse(spark, [src], root, build).count() == 5
+    assert len(calls) == 1 and sorted(str(p) for p in tmp_path.rglob("*")) == before
+    spark.range(3).write.mode("append").parquet(src)
+    assert sio.reuse(spark, [src], root, build).count() == 8 and len(calls) == 2
+    assert sio.reuse(spark, [src], root, build).count() == 8 and len(calls) == 2
+
+
+def test_upload_without_a_usable_row_is_an_error(spark, tmp_path):
+    import pytest
+
+    from ohmflow.sources import io as sio
+    good, bad = tmp_path / "good.csv", tmp_path / "bad.csv"
+    good.write_text("a,b\n1,2\n3,\n")
+    bad.write_text("a,b\n1,\n,2\n")
+    assert sio.upload_rows(spark, str(good), ["a", "b"]).count() == 1
+    with pytest.raises(ValueError):
+        sio.upload_rows(spark, str(bad), ["a", "b"])
