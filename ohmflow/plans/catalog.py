@@ -240,12 +240,35 @@ def cleaned_readings(spark, sf):
     return clean.clean_readings(readings(spark, sf))
 
 
+from ..operators import prepare  # noqa: E402
+
+
+def _u_sql(id_col: str = "seq", seed: int = 42) -> str:
+    return (f"(('0x' || substr(md5(CAST({id_col} AS VARCHAR) || '|' || '{seed}'), 1, 8))"
+            f"::BIGINT / 4294967296.0)")
+
+
+_SPLIT_SQL = _capped_sql() + f""",
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stabf ORDER BY {_u_sql()}, seq) - 1 AS rk,
+                  count(*) OVER (PARTITION BY stabf) AS n FROM capped),
+splits AS (SELECT *, CASE WHEN rk < round(n * 0.15) THEN 'test'
+    WHEN rk < round(n * 0.15) + round((n - round(n * 0.15)) * 0.1765) THEN 'val'
+    ELSE 'train' END AS split FROM ranked)
+"""
+
+
+def split_readings(spark, sf):
+    return prepare.stratified_split(cleaned_readings(spark, sf), "stabf", "seq")
+
+
 def stable_baseline(spark, sf):
-    return baseline_stats(cleaned_readings(spark, sf), R, label="stabf", stable_value=0)
+    """Statistics of the stable rows of the train split."""
+    train = split_readings(spark, sf).where(F.col("split") == "train")
+    return baseline_stats(train, R, label="stabf", stable_value=0)
 
 
-_STATS_SQL = _capped_sql() + f""",
-stable_long AS ({unpivot_sql('capped WHERE stabf = 0', [], R)}),
+_STATS_SQL = _SPLIT_SQL + f""",
+stable_long AS ({unpivot_sql("splits WHERE split = 'train' AND stabf = 0", [], R)}),
 stats AS (SELECT feature, avg(value) AS mean, greatest(stddev_samp(value), 1e-6) AS std,
                  quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75,
                  min(value) AS min, max(value) AS max
@@ -279,9 +302,11 @@ zl AS (SELECT c.seq, c.stabf, l.feature, (l.value - s.mean) / s.std AS z
 
 
 def zscored(spark, sf):
-    c = cleaned_readings(spark, sf)
-    base = baseline_stats(c, R, label="stabf", stable_value=0, quartiles=False)
-    return with_zscores(c, base, R)
+    """All readings against the baseline of the train split; one cleaned table for both."""
+    rows = split_readings(spark, sf)
+    base = baseline_stats(rows.where(F.col("split") == "train"), R, label="stabf", stable_value=0,
+                          quartiles=False)
+    return with_zscores(rows.drop("split"), base, R)
 
 
 @query("zscores_long", _STATS_SQL + f"""
@@ -449,25 +474,6 @@ def q_supplier_clustering(spark, sf):
 
 
 # -------------------------------------------------------------- preparation --
-from ..operators import prepare  # noqa: E402
-
-
-def _u_sql(id_col: str = "seq", seed: int = 42) -> str:
-    return (f"(('0x' || substr(md5(CAST({id_col} AS VARCHAR) || '|' || '{seed}'), 1, 8))"
-            f"::BIGINT / 4294967296.0)")
-
-
-_SPLIT_SQL = _capped_sql() + f""",
-ranked AS (SELECT *, row_number() OVER (PARTITION BY stabf ORDER BY {_u_sql()}, seq) - 1 AS rk,
-                  count(*) OVER (PARTITION BY stabf) AS n FROM capped),
-splits AS (SELECT *, CASE WHEN rk < round(n * 0.15) THEN 'test'
-    WHEN rk < round(n * 0.15) + round((n - round(n * 0.15)) * 0.1765) THEN 'val'
-    ELSE 'train' END AS split FROM ranked)
-"""
-
-
-def split_readings(spark, sf):
-    return prepare.stratified_split(cleaned_readings(spark, sf), "stabf", "seq")
 
 
 @query("stratified_split", _SPLIT_SQL + "SELECT seq, stabf, split FROM splits")
@@ -830,12 +836,16 @@ def q_trend_sample(spark, sf):
     return _r6(dashboard.trend_sample(_feed(spark, sf)))
 
 
-@query("stable_screen", with_views("scored_fixture") + """
+@query("stable_screen", _SPLIT_SQL + "," + SCORED_SQL + """
 SELECT *, row_number() OVER (ORDER BY baseline_prob, seq) AS screen_rank FROM (
   SELECT seq, kmeans_cluster, (round(ensemble_prob * 10000.0) / 10000.0 + 0.0) AS baseline_prob
-  FROM scored_fixture WHERE _true_label = 0 AND ensemble_prob < 0.35)""")
+  FROM scored_fixture WHERE _true_label = 0 AND ensemble_prob < 0.35
+    AND seq IN (SELECT seq FROM splits WHERE split = 'test'))""")
 def q_stable_screen(spark, sf):
-    s = scored_fixture(spark, sf).select("seq", "kmeans_cluster", "ensemble_prob", "_true_label")
+    """P8 over the test split: what the models were not fitted on."""
+    test = split_readings(spark, sf).where(F.col("split") == "test").select("seq")
+    s = scored_fixture(spark, sf).select("seq", "kmeans_cluster", "ensemble_prob", "_true_label") \
+        .join(test, "seq", "left_semi")
     return dashboard.stable_screen(s).select("seq", "kmeans_cluster", "baseline_prob",
                                              "screen_rank")
 
