@@ -28,16 +28,52 @@ _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool
 
 def canonical(value) -> str:
     """JSON text with sorted keys, no white space and no escapes but the needed."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _finite(text: str) -> float:
+    x = float(text)
+    if x in (float("inf"), float("-inf")):
+        raise ValueError("number out of range")
+    return x
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def read_json(text: str):
+    """The value of a JSON text; ValueError for what is none: NaN and infinities,
+    numbers out of range, and nesting beyond what can be read and written."""
+    try:
+        value = json.loads(text, parse_float=_finite, parse_constant=_no_constant)
+        canonical(value)
+        return value
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+
+
+def check_schema(schema: dict) -> None:
+    """ValueError for a schema with a type that JSON does not have."""
+    want = schema.get("type", [])
+    for t in [want] if isinstance(want, str) else want:
+        if t not in _TYPES:
+            raise ValueError(f"unknown type in a schema: {t}")
+    for part in [*schema.get("properties", {}).values(), *([schema["items"]] if "items" in schema else [])]:
+        check_schema(part)
+
+
+def _is_a(value, name: str) -> bool:
+    return isinstance(value, _TYPES[name]) and not (isinstance(value, bool) and name in ("integer", "number"))
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """What of a JSON schema (type, enum, bounds, lengths, items, properties,
+    """What of a JSON schema (type, one or a list, enum, bounds, lengths, items, properties,
     required, additionalProperties) a value breaks, in a fixed order."""
     want = schema.get("type")
-    if want and (not isinstance(value, _TYPES[want]) or
-                 isinstance(value, bool) and want in ("integer", "number")):
-        return [f"{at}: not of type {want}"]
+    names = [want] if isinstance(want, str) else list(want or ())
+    if names and not any(_is_a(value, t) for t in names):
+        return [f"{at}: not of type {' or '.join(names)}"]
     out = []
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: not an allowed value")
@@ -97,12 +133,16 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     status: linked, no_result, no_call, or early_result (the result's seq is not
     after the call's). record is canonical JSON of id, name, arguments, result
     and status. valid is true for a call whose name has a schema that its
-    arguments meet; unknown names, unreadable arguments and cycles are errors.
+    arguments meet; unknown names, arguments that are no JSON (NaN, infinities and
+    bottomless nesting too; they stay text) and cycles are errors of their row. A
+    schema with an unknown type raises here, before anything runs.
     Of repeated identifiers the earliest row counts and "repeated" is an error.
     Null conv_id or call_id match nothing and are left out; null seq sorts
     first; null arguments are an empty object; null content is JSON null. Empty
     tables give an empty result; other columns are ignored.
     """
+    for schema in schemas.values():
+        check_schema(schema)
     calls = calls.select(*KEY, "seq", "name", "arguments", "parent").dropna(subset=KEY)
     results = results.select(*KEY, "seq", "content").dropna(subset=KEY)
     c, r = stored(_firsts(calls, "c_"), "calls"), _firsts(results, "r_")
@@ -126,7 +166,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
                 if x.status != "no_call":
                     name = x.c_name
                     try:
-                        arguments = json.loads(x.c_arguments) if x.c_arguments is not None else {}
+                        arguments = read_json(x.c_arguments) if x.c_arguments is not None else {}
                         if name in schemas:
                             bad += violations(arguments, schemas[name])
                         else:

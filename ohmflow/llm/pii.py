@@ -28,7 +28,7 @@ DAYS_FROM, DAYS_A, DAYS_B = "1800-01-01", 365, 400
 # fixed formats
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,6}?\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
+    "secret": r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}-\d{3}-\d{4}(?![\d-])",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
     "date": r"\d{4}-\d{2}-\d{2}(?![\d-])|\d{2}/\d{2}/\d{4}(?![\d/])|\d{2}\.\d{2}\.\d{4}(?!\.?\d)",
@@ -152,8 +152,10 @@ def _email(m: Column, key: str) -> Column:
 
 def _secret(m: Column, key: str) -> Column:
     def part(i):
-        return F.sha2(F.concat_ws("|", F.lit(key), F.lit(i), F.lower(m)), 256)
-    new = F.substring(F.concat(part("s0"), part("s1")), F.lit(1), F.length(m))
+        return F.sha2(F.concat_ws("|", F.lit(key), F.concat(F.lit("s"), i.cast("string")), F.lower(m)), 256)
+    # as many digests as the value is long, 64 digits each
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(m) - 1) / 64).cast("int")), part)
+    new = F.substring(F.array_join(parts, ""), F.lit(1), F.length(m))
     return F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new)
 
 

@@ -346,3 +346,30 @@ def test_language_model_scores_equal_brute_force(spark, monkeypatch, frequent):
                         lambda w: known[w] if w in known else rare.get(w, by_ending.get(w)),
                         model.discount, lm.PRIOR)
     assert all(abs(got[i] - s) < 1e-6 * max(1, len(texts[i])) for i, s in zip(texts, want))
+
+
+# ---- repairs of earlier operators ------------------------------------------
+
+def test_tool_arguments_that_are_no_json_are_errors_of_their_row(spark):
+    from ohmflow.llm import chat_format
+    schemas = {"f": {"type": ["object", "null"], "properties": {"n": {"type": ["integer", "null"]}}}}
+    texts = ['{"n": null}', "null", '{"n": true}', '{"n": NaN}', '{"n": 1e400}', "[" * 100_000, '{"n": 3}', None, "3"]
+    calls = spark.createDataFrame([(1, f"c{k}", k, "f", t, None) for k, t in enumerate(texts)],
+                                  "conv_id long, call_id string, seq long, name string, arguments string, parent string")
+    results = spark.createDataFrame([], "conv_id long, call_id string, seq long, content string")
+    got = {r.call_id: r for r in chat_format.link_calls(calls, results, schemas).collect()}
+    assert [got[f"c{k}"].valid for k in range(9)] == [True, True, False, False, False, False, True, True, False]
+    assert got["c3"].errors == ["arguments are not JSON"] == got["c4"].errors == got["c5"].errors
+    assert got["c8"].errors == ["$: not of type object or null"]
+    with pytest.raises(ValueError):
+        chat_format.link_calls(calls, results, {"f": {"properties": {"x": {"items": {"type": "text"}}}}})
+
+
+def test_long_secrets_are_taken_whole(spark):
+    from ohmflow.llm import pii
+    docs = spark.createDataFrame([(1, "key " + "0a" * 64 + " end"), (2, "key " + "0a" * 65 + " end"),
+                                  (3, "key " + "AF0" * 3000 + " end")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.pseudonymise(docs, "k").collect()}
+    assert "0a0a0a0a" not in out[1] and "0a0a0a0a" not in out[2] and "AF0AF0AF0" not in out[3]
+    assert [len(out[k]) for k in (1, 2, 3)] == [8 + 128, 8 + 130, 8 + 9000]
+    assert all(t.startswith("key ") and t.endswith(" end") for t in out.values())
