@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -49,8 +50,8 @@ _CLOSES_P = _BLOCK - {"html", "body", "head", "title"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
          "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = {"ul", "ol", "dl", "table", "menu"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_ASIDE = re.compile(r"!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)", re.S)
+_NAME_END, _MARK = re.compile(r"[\s/>]"), re.compile("[>\"']")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)"
                    r"(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
@@ -70,13 +71,65 @@ def _boilerplate(name: str, attrs: str) -> bool:
     return False
 
 
+class _Tags:
+    """Tags of a page from left to right. Every search that runs ahead is
+    remembered, so a page of unclosed tags or quotes costs no more than its length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.next = {_NAME_END: (0, -1), _MARK: (0, -1)}    # searched from, found at
+        self.open_ended: set[int] = set()                   # marks that no tag end follows
+
+    def _ahead(self, what: re.Pattern, at: int) -> int:
+        since, found = self.next[what]
+        if not since <= at <= found:
+            m = what.search(self.page, at)
+            self.next[what] = at, found = at, m.start() if m else len(self.page)
+        return found
+
+    def _end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag, outside quotes; -1 if there is none."""
+        page, seen, mark = self.page, [], self._ahead(_MARK, at)
+        while mark < len(page) and mark not in self.open_ended:
+            if page[mark] == ">":
+                return mark
+            seen.append(mark)
+            close = page.find(page[mark], mark + 1)
+            m = _MARK.search(page, close + 1) if close >= 0 else None
+            mark = m.start() if m else len(page)
+        self.open_ended.update(seen)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, closing, attributes) of the next tag at or after ``at``;
+        comments and declarations have no name. Any other ``<`` is text."""
+        page, start = self.page, self.page.find("<", at)
+        while start >= 0:
+            first = page[start + 1:start + 2]
+            if first in ("!", "?"):
+                return start, _ASIDE.match(page, start + 1).end(), "", False, ""
+            closing = first == "/"
+            begin = start + 1 + closing
+            if page[begin:begin + 1].isascii() and page[begin:begin + 1].isalpha():
+                stop = self._ahead(_NAME_END, begin)
+                end = self._end(stop)
+                if end >= 0:
+                    return start, end + 1, page[begin:stop].lower(), closing, page[stop:end]
+            start = page.find("<", start + 1)
+        return None
+
+
 def lines_of(page: str) -> list[tuple[str, bool]]:
     """(line, open) per text block in page order. Character references are
     decoded, white space runs become one space, empty blocks vanish. Unclosed
-    elements end with the element around them."""
+    elements end with the element around them. Time grows with the page's length,
+    whatever is left open in it."""
     stack: list[tuple[str, bool, bool]] = [("", False, False)]   # name, dropped, in article
+    blocks: list[int] = []                                       # places of block elements in it
+    named: Counter[str] = Counter()                              # open elements by name
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
+    tags = _Tags(page)
 
     def end_block():
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
@@ -85,8 +138,11 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             out.append((text, not stack[-1][2]))
 
     def pop(k: int):
-        if any(n in _BLOCK for n, _, _ in stack[k:]):
+        if blocks and blocks[-1] >= k:
             end_block()
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
+        named.subtract(n for n, _, _ in stack[k:])
         del stack[k:]
 
     at, raw_until = 0, None
@@ -96,34 +152,33 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             at = m.end() if m else len(page)
             raw_until = None
             continue
-        m = _TOKEN.search(page, at)
+        tag = tags.after(at)
         if not stack[-1][1]:
-            parts.append(page[at:m.start() if m else len(page)])
-        if not m:
+            parts.append(page[at:tag[0] if tag else len(page)])
+        if not tag:
             break
-        at = m.end()
-        if not m.group(2):
+        _, at, name, closing, attrs = tag
+        if not name:
             continue
-        name = m.group(2).lower()
-        if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
-            else:
-                if name in _BLOCK and not stack[-1][1]:
-                    end_block()
+        if closing:
+            if named[name] > 0:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                pop(k)
+            elif name in _BLOCK and not stack[-1][1]:
+                end_block()
             continue
         if name == "br":
             parts.append(" ")
             continue
         if name in _CLOSES_P or name in _SAME:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in reversed(blocks):
                 n = stack[k][0]
                 if n == "p" and name in _CLOSES_P or n in _SAME.get(name, ()):
                     pop(k)
                     break
-                if n in _BLOCK and n not in ("p", "li", "dt", "dd", "td", "th") or n in _SCOPE:
+                if n not in ("p", "li", "dt", "dd", "td", "th"):
                     break
         if name in _BLOCK and not stack[-1][1]:
             end_block()
@@ -134,10 +189,13 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             if name in _BLOCK and not stack[-1][1]:
                 end_block()
             continue
-        if m.group(3).rstrip().endswith("/") and name not in _BLOCK:
+        if attrs.rstrip().endswith("/") and name not in _BLOCK:
             continue
         _, dropped, inside = stack[-1]
-        stack.append((name, dropped or _boilerplate(name, m.group(3)), inside or name in _MAIN))
+        if name in _BLOCK:
+            blocks.append(len(stack))
+        named[name] += 1
+        stack.append((name, dropped or _boilerplate(name, attrs), inside or name in _MAIN))
     if not stack[-1][1]:
         end_block()
     return out
@@ -226,7 +284,8 @@ def extract(pages: DataFrame) -> DataFrame:
     of their own. Unclosed or stray tags do not lose text. Empty tables give an
     empty result; other columns are ignored.
     """
-    rows = stored(page_lines(pages), "lines").withColumn("row", F.monotonically_increasing_id())
+    # numbers are stored with the rows: numbers given on reading change with the file splits
+    rows = stored(page_lines(pages).withColumn("row", F.monotonically_increasing_id()), "lines")
     doubtful = F.exists("open", lambda x: x)
     keys = rows.where("url is not null").select(
         "row", F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
