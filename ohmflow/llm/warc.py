@@ -143,16 +143,19 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def _inflate(stream) -> Iterator[bytes]:
-    """A gzip file front to back, whether one member or several."""
+    """A gzip file front to back, whether one member or several, in pieces of at most
+    ``CHUNK`` bytes however well it is compressed."""
     z = zlib.decompressobj(31)
     while data := stream.read(CHUNK):
         while data:
-            yield z.decompress(data)
-            data = z.unused_data
-            if z.eof and data:
+            if z.eof:
                 z = zlib.decompressobj(31)
-            elif not z.eof:
-                break
+            piece = z.decompress(data, CHUNK)
+            while piece:
+                yield piece
+                # a full piece may leave output behind that needs no more input
+                piece = z.decompress(z.unconsumed_tail, CHUNK) if not z.eof else b""
+            data = z.unused_data if z.eof else z.unconsumed_tail
     if not z.eof:
         raise ValueError("truncated gzip stream")
 
