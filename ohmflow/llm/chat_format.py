@@ -97,19 +97,26 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def _hashed(df: DataFrame) -> DataFrame:
+    """The build side of a hash join: a key has one row, so no partition is much
+    larger than its share of the keys."""
+    return df.hint("shuffle_hash")
+
+
 def depths(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth): parents above each call; a parent that is not
     there counts as none; null on a cycle and below one."""
     ids = calls.select("conv_id", F.col("call_id").alias("parent")).withColumn("there", F.lit(True))
-    state = stored(calls.select(*KEY, "parent").join(ids, ["conv_id", "parent"], "left").select(
+    state = stored(calls.select(*KEY, "parent").join(_hashed(ids), ["conv_id", "parent"], "left").select(
         *KEY, F.when(F.col("there"), F.col("parent")).alias("up"),
         F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth")), "depths")
     total, open_ = state.count(), state.where("up is not null").count()
     reach = 1
     while open_ and reach <= total:
-        above = state.select(F.col("conv_id").alias("c2"), F.col("call_id").alias("up"),
-                             F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        climbing = state.where("up is not null").join(above, "up").where("conv_id = c2").select(
+        # identifiers may recur in other conversations
+        above = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("up2"),
+                             F.col("depth").alias("d2"))
+        climbing = state.where("up is not null").join(_hashed(above), ["conv_id", "up"]).select(
             *KEY, F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"))
         state = stored(state.where("up is null").unionByName(climbing), "depths")
         open_ = state.where("up is not null").count()
@@ -147,7 +154,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     results = results.select(*KEY, "seq", "content").dropna(subset=KEY)
     c, r = stored(_firsts(calls, "c_"), "calls"), _firsts(results, "r_")
     depth = depths(c.withColumnRenamed("c_parent", "parent"))
-    both = (c.join(r, KEY, "full_outer").join(depth, KEY, "left")
+    both = (c.join(_hashed(r), KEY, "full_outer").join(_hashed(depth), KEY, "left")
             .withColumn("status", F.when(F.col("c_n").isNull(), "no_call")
                         .when(F.col("r_n").isNull(), "no_result")
                         .when(F.col("r_seq") <= F.col("c_seq"), "early_result").otherwise("linked"))
@@ -156,7 +163,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     placed = with_ordinal(both.withColumn("_d", F.coalesce("depth", F.lit(2 ** 62))),
                           ["conv_id", "_d", "seq", "call_id"])
     first = placed.groupBy("conv_id").agg(F.min("_ord").alias("_first"))
-    rows = placed.join(first, "conv_id").withColumn("position", F.col("_ord") - F.col("_first"))
+    rows = placed.join(_hashed(first), "conv_id").withColumn("position", F.col("_ord") - F.col("_first"))
 
     def run(frames: Iterator[pd.DataFrame]):
         for pdf in frames:
