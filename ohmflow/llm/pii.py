@@ -5,8 +5,10 @@ a keyed Feistel network, so equal values stay equal in every document and a
 value keeps its length, separators and validity:
 
 - payment cards (13 to 19 digits, Luhn): digits permuted, check digit renewed
-- dates (ISO, d.m.y, m/d/y or d/m/y with real days, 1800 to 2199): the day
-  number is permuted in a span of whole days
+- dates (ISO, d.m.y, m/d/y with real days, 1800 to 2199): the day number is
+  permuted in a span of whole days, alike for the three forms
+- dates d/m/y that no m/d/y can be (days from 13): permuted among themselves, so
+  that no two slash dates share a pseudonym
 - IPv4 addresses (octets to 255): permuted over all addresses
 - telephone numbers and US social security numbers: digits permuted
 
@@ -16,6 +18,7 @@ part or digits become a keyed digest of the same shape.
 
 from __future__ import annotations
 
+from calendar import isleap, monthrange
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +27,11 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: dates are permuted inside [1800-01-01, 1800-01-01 + 365 * 400 days)
 DAYS_FROM, DAYS_A, DAYS_B = "1800-01-01", 365, 400
+#: day-first slash dates: (day from 13 of a common year) x (year from 1800), and 29 February
+YEAR_FROM, YEARS = 1800, 400
+_LATE = [monthrange(1801, m)[1] - 12 for m in range(1, 13)]
+_LATE_FROM = [sum(_LATE[:m]) for m in range(12)]
+_LEAP = [y for y in range(YEAR_FROM, YEAR_FROM + YEARS) if isleap(y)]
 
 # fixed formats
 PATTERNS = {
@@ -133,15 +141,36 @@ def _day(m: Column) -> Column:
     return F.datediff(_as_date(m), F.lit(DAYS_FROM).cast("date"))
 
 
+def _day_first(m: Column) -> Column:
+    """Whether a slash date has a day from 13 in front, so that it is no m/d/y."""
+    return m.contains("/") & (F.substring(m, 1, 2).cast("int") > 12)
+
+
+def _late_day(m: Column, key: str) -> Column:
+    """A d/m/y date with a day from 13, permuted among its like; 29 February stays
+    one, its year is moved by a keyed step among the leap years."""
+    day, month, year = (F.substring(m, at, n).cast("int") for at, n in ((1, 2), (4, 2), (7, 4)))
+    starts, leap = F.array(*[F.lit(x) for x in _LATE_FROM]), F.array(*[F.lit(x) for x in _LEAP])
+    s = feistel(F.element_at(starts, month) + day - 13, year - YEAR_FROM,
+                F.lit(sum(_LATE)), F.lit(YEARS), key, F.lit("late"))
+    new_month = F.size(F.filter(starts, lambda x: x <= s["a"]))
+    common = F.concat_ws("/", (s["a"] - F.element_at(starts, new_month) + 13).cast("string"),
+                         F.lpad(new_month.cast("string"), 2, "0"), (s["b"] + YEAR_FROM).cast("string"))
+    place = feistel(F.array_position(leap, year) - 1, F.lit(0), F.lit(len(_LEAP)), F.lit(1), key,
+                    F.lit("leap"))["a"]
+    moved = F.concat(F.lit("29/02/"), F.element_at(leap, (place + 1).cast("int")).cast("string"))
+    return F.when(m.startswith("29/02/"), moved).otherwise(common)
+
+
 def _date(m: Column, key: str) -> Column:
     n = _day(m)
     s = feistel(F.floor(n / DAYS_B), F.pmod(n, F.lit(DAYS_B)), F.lit(DAYS_A), F.lit(DAYS_B), key,
                 F.lit("date"))
     d = F.date_add(F.lit(DAYS_FROM).cast("date"), (s["a"] * DAYS_B + s["b"]).cast("int"))
-    us = F.try_to_timestamp(m, F.lit("MM/dd/yyyy")).isNotNull()
-    return (F.when(m.contains("-"), F.date_format(d, "yyyy-MM-dd"))
+    return (F.when(_day_first(m), _late_day(m, key))
+            .when(m.contains("-"), F.date_format(d, "yyyy-MM-dd"))
             .when(m.contains("."), F.date_format(d, "dd.MM.yyyy"))
-            .when(us, F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy")))
+            .otherwise(F.date_format(d, "MM/dd/yyyy")))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -165,7 +194,8 @@ def kind_of(m: Column) -> Column:
     valid = {
         "card": luhn_valid(_only_digits(m)),
         "ip": F.forall(octets, lambda x: x.cast("int") <= 255),
-        "date": _day(m).between(0, DAYS_A * DAYS_B - 1),
+        "date": F.when(_day_first(m), F.year(_as_date(m)).between(YEAR_FROM, YEAR_FROM + YEARS - 1))
+        .otherwise(_day(m).between(0, DAYS_A * DAYS_B - 1)),
     }
     out = F.lit(None).cast("string")
     for k in reversed(KINDS):
