@@ -1157,6 +1157,21 @@ def q_stream_windows(spark, sf):
                                      "windows"))
 
 
+@query("stream_history", _EV_STATS_SQL + f""",
+h AS (SELECT event_id, user_id, ts, count(*) OVER w AS hist_len, {r6('sum(value) OVER w')} AS hist_sum,
+  {r6('max(abs(z)) OVER w')} AS hist_peak_z, {r6('min(z) OVER w')} AS hist_low_z
+  FROM z WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
+SELECT event_id, user_id, hist_len, hist_sum, hist_peak_z, hist_low_z FROM h
+WHERE ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 MINUTE FROM events)""")
+def q_stream_history(spark, sf):
+    h = monitor.run_available(monitor.history_stream(scored_events_stream(spark, sf)), "history")
+    return _r6(h.select(
+        "event_id", "user_id", F.size("value_history").cast("long").alias("hist_len"),
+        F.aggregate("value_history", F.lit(0.0), lambda a, x: a + x).alias("hist_sum"),
+        F.array_max(F.transform("z_history", lambda x: F.abs(x))).alias("hist_peak_z"),
+        F.array_min("z_history").alias("hist_low_z")))
+
+
 # ------------------------------------------------------ neighbours & SMOTE --
 from ..operators import neighbors  # noqa: E402
 

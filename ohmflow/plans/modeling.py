@@ -4,11 +4,14 @@ cleaned ``readings`` view and the same stratified split."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import graph, importance, isoforest, models, neighbors, prepare, scoring, temporal
+from ..operators import bundle, graph, importance, isoforest, models, neighbors, prepare, temporal
 from ..operators.common import materialize, round_cols
-from ..schema import CLUSTER_NAMES, RAW_FEATURES as R
+from ..schema import RAW_FEATURES as R
+from ..session import ensure_checkpoint_dir
 from .catalog import _SPLIT_SQL, cleaned_readings, split_readings
 from .registry import query
 from .sqlgen import r6
@@ -110,47 +113,21 @@ def q_isolation_forest(spark, sf):
         scored.where(F.col("split") == "val"), LABEL, scored.where(F.col("split") == "train")), 6)
 
 
-def _fit_bundle(spark, sf):
-    s = _scaled(spark, sf)
-    tr, va = s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
-    rf = models.random_forest(LABEL).fit(models.assemble(tr, FEATS))
-    gbt = models.boosted_trees(LABEL).fit(models.assemble(tr, FEATS))
-
-    def scorer(df):
-        a = models.assemble(df, FEATS)
-        p1 = models.positive_score(rf.transform(a), "RF_prob").drop(
-            "features", "rawPrediction", "probability", "prediction")
-        p1 = models.assemble(p1, FEATS)
-        p2 = models.positive_score(gbt.transform(p1), "XGBoost_prob")
-        return p2.drop("features", "rawPrediction", "probability", "prediction")
-    vote = scoring.soft_vote(scorer(va), LABEL)
-    return s, scorer, vote
+def _stored_bundle(spark, sf):
+    """All splits with their engineered features, and the bundle fitted on them,
+    written and read back."""
+    s = _splits(spark, sf)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundles/{uuid.uuid4().hex}"
+    bundle.save(bundle.fit(s, LABEL, "seq", FEATS), root)
+    return s, bundle.load(spark, root)
 
 
 @query("score_all_splits")
 def q_score_all_splits(spark, sf):
-    """M13 (+ M8, M10–M12, F11, F12, U4): every split scored by every model."""
-    s, scorer, vote = _fit_bundle(spark, sf)
-    tr = s.where(F.col("split") == "train")
-    scored = scoring.ensemble(scorer(s), vote)
-    pcs, names = _pca_columns(scored)
-    forest = isoforest.fit(pcs.where(F.col("split") == "train").select("seq", *names), names, "seq")
-    pcs = isoforest.score(pcs.drop("pca"), forest, names)
-    pcs = materialize(models.assemble(pcs, names, "pca"))
-    _, best = models.kmeans_sweep(pcs, ks=(3,))
-    clustered = best[3].transform(pcs).withColumnRenamed("cluster", "cluster_id").drop("pca")
-    from ..operators.metrics import cluster_names
-    names = cluster_names(clustered, "cluster_id", LABEL, CLUSTER_NAMES).select(
-        "cluster_id", F.col("name").alias("kmeans_cluster"))
-    out = clustered.join(F.broadcast(names), "cluster_id", "left")  # k rows
-    out = out.select("seq", "split", LABEL, *R, "RF_prob", "XGBoost_prob", "ensemble_prob",
-                     "ensemble_label", "threshold", "IF_anomaly_score", "kmeans_cluster")
-    # U4: the scored record — tier, z-score map and top-3 reasons vs the baseline
-    # (features are standard-scaled here, so the baseline is taken on them too)
-    from ..operators.baseline import baseline_stats
-    base = baseline_stats(tr, R, label=LABEL, stable_value=0, quartiles=False)
-    rec = scoring.assemble(out, base, R, keep=["seq"])
-    return round_cols(rec.drop(*R), 6)
+    """M13 (+ M8–M12, F11, F12, U4, IO8, D7): every split scored by a stored bundle,
+    whose classifiers are trained on the SMOTE rows."""
+    s, parts = _stored_bundle(spark, sf)
+    return round_cols(bundle.score(parts, s, keep=["seq", "split", LABEL]).drop(*R), 6)
 
 
 @query("cross_validate")
