@@ -28,3 +28,32 @@ def test_class_sizes_reach_the_rows_without_a_shuffle_by_label(spark):
                    (1, "test"): 15, (1, "val"): 15, (1, "train"): 70}
     assert {(r["y"], r["weight"]) for r in weighted.select("y", "weight").distinct().collect()} == {
         (0, 400 / 600), (1, 2.0)}
+
+
+def test_rounding_is_half_away_from_zero_as_before(spark):
+    from ohmflow.operators.common import rounded
+    xs = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.3, -0.0, 1e17 + 16, 1234.5675, 2.0 ** 52 - 0.5,
+          float("nan"), None]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for digits in (0, 3):
+        scale = float(10 ** digits)
+        old = F.round(F.col("x") * F.lit(scale), 0) / F.lit(scale)
+        rows = df.select(rounded(F.col("x"), digits).alias("new"), old.alias("old")).collect()
+        assert [repr(r["new"]) for r in rows] == [repr(r["old"]) for r in rows]
+    assert "round(" not in plan_of(df.select(rounded(F.col("x"), 6))).lower()
+
+
+def test_features_of_double_columns_run_without_window_frames(spark):
+    from ohmflow.operators import temporal
+    rows = [(u, t, None if (u + t) % 7 == 3 else float("nan") if (u, t) == (2, 9) else (t * 37 % 11) / 8.0 - u)
+            for u in range(6) for t in range([1, 2, 3, 4, 30, 57][u])]
+    rows += [(None, t, float(t)) for t in range(5)]
+    df = spark.createDataFrame(rows, "u int, t int, x double").repartition(5)
+    got = temporal.temporal_features(df, ["t"], ["u"], rolling=["x"], lag_cols=["x"], block_rows=21)
+    want = temporal.temporal_features(df, ["t"], ["u"], rolling=["x"], lag_cols=["x"], mode="plain")
+    assert "Window" not in plan_of(got)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    one = temporal.temporal_features(df.where("u is not null"), ["u", "t"], rolling=["x"], lag_cols=["x"])
+    two = temporal.temporal_features(df.where("u is not null"), ["u", "t"], rolling=["x"], lag_cols=["x"], mode="plain")
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
