@@ -57,3 +57,57 @@ def test_features_of_double_columns_run_without_window_frames(spark):
     one = temporal.temporal_features(df.where("u is not null"), ["u", "t"], rolling=["x"], lag_cols=["x"])
     two = temporal.temporal_features(df.where("u is not null"), ["u", "t"], rolling=["x"], lag_cols=["x"], mode="plain")
     assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+
+
+def test_triangles_are_closed_in_tasks_by_node_groups(spark, monkeypatch):
+    from itertools import combinations
+
+    from ohmflow.operators import graph
+    edges = [(a, b, float(1 + (a * b) % 5)) for a, b in combinations(range(40), 2) if (a * 7 + b * 3) % 4]
+    edges += [(100, k, 2.0) for k in range(40)] + [(200, 201, 0.0), (201, 202, 1.0), (200, 202, 3.0)]
+    simple = graph.simple_edges(spark.createDataFrame(edges, "a long, b long, weight double"))
+    w = {(min(a, b), max(a, b)): x for a, b, x in edges}
+    near: dict = {}
+    for a, b in w:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want: dict = {}
+    for a, b in w:
+        for c in near[a] & near[b]:
+            if c > b:
+                g = (w[a, b] * w[a, c] * w[b, c]) ** (1 / 3)
+                for node in (a, b, c):
+                    n, s = want.get(node, (0, 0.0))
+                    want[node] = n + 1, s + g
+    for size, chunk in ((10 ** 9, 50), (60, 10 ** 6)):     # one group of nodes, and several
+        monkeypatch.setattr(graph, "GROUP_EDGES", size)
+        monkeypatch.setattr(graph, "CHUNK_PATHS", chunk)
+        got = {r["node"]: (r["triangles"], r["s"]) for r in graph.triangle_sums(simple).collect()}
+        assert {n: t for n, (t, _) in got.items()} == {n: t for n, (t, _) in want.items()}
+        assert all(abs(got[n][1] - s) < 1e-9 for n, (_, s) in want.items())
+
+
+def test_counterfactuals_are_dealt_by_id_before_the_fan_out(spark):
+    from ohmflow.operators import scoring
+    from ohmflow.schema import RAW_FEATURES
+    df = spark.range(50).select(F.col("id").alias("seq"), *[
+        (F.pmod(F.col("id") * (i + 3), F.lit(17)) / 8.0).alias(c) for i, c in enumerate(RAW_FEATURES)])
+    stats = spark.createDataFrame([(c, 1.0) for c in RAW_FEATURES], "feature string, mean double")
+    out = scoring.counterfactuals(df, "seq", scoring.twelve_feature_scorer(), (0.4, 0.6), 0.5, stats)
+    window = plan_of(out).split("Window", 1)[1]
+    assert window.index("Generate") < window.index("hashpartitioning(seq")
+    each = out.groupBy("seq").agg(F.sort_array(F.collect_list("cf_rank")).alias("r")).collect()
+    assert all(r["r"] == list(range(1, len(r["r"]) + 1)) for r in each)
+
+
+def test_winning_events_reach_the_steps_without_a_shuffle(spark):
+    from ohmflow.operators import whatif
+    base = spark.createDataFrame([(1, 4.0, 2.0), (2, None, 1.0)], "seq long, p1 double, p2 double")
+    ev = spark.createDataFrame([("a", 0, "main", "p1", 1, 3, None, " 3X "), ("a", 1, "main", "p2", 1, 2, 5.0, "9"),
+                                ("a", 2, "main", "p2", 3, 4, None, "none")], whatif.EVENT_SCHEMA)
+    out = whatif.overlay(whatif.expand_steps(base, "seq", 5), ev, 5, ["p1", "p2"])
+    assert "SortMergeJoin" not in plan_of(out) and "BroadcastHashJoin" in plan_of(out)
+    got = {(r["seq"], r["step"]): (r["p1"], r["p2"]) for r in out.collect()}
+    assert got == {(1, 0): (4.0, 2.0), (1, 1): (4.0, 5.0), (1, 2): (8.0, 9.0), (1, 3): (12.0, 2.0),
+                   (1, 4): (12.0, 2.0), (2, 0): (None, 1.0), (2, 1): (None, 5.0), (2, 2): (None, 9.0),
+                   (2, 3): (None, 1.0), (2, 4): (None, 1.0)}
