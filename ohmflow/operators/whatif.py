@@ -6,7 +6,8 @@ Per step, an event holds ``start + t·(end − start)`` inside [s, e] (t =
 events touch a feature the later one in list order wins. Which event wins at a
 step does not depend on the base row, so the events are first reduced to one
 row per (scenario, step) with the winner of each feature; the base rows take
-that row by one equi-join and compute their values row-locally."""
+that row by one broadcast equi-join and compute their values row-locally. The text of
+an end value is read there too, once per event and not once per row."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import interpolate, resolve_target
+from ..functions.scalar import interpolate, is_relative, resolve_target
 from ..schema import RAW_FEATURES
 
 EVENT_SCHEMA = ("scenario string, ordinal int, phase string, feature string, start_step int, "
@@ -47,7 +48,10 @@ def overlay(stepped: DataFrame, events: DataFrame, n_steps: int,
     live = (F.col("phase") == "main") if fix_at_step is None else F.when(
         F.col("step") >= fix_at_step, F.col("phase") == "fix").otherwise(F.col("phase") == "main")
     keys = ["step"] if scenario_col is None else ["scenario", "step"]
-    last = F.max(F.struct("ordinal", "start_step", "end_step", "start_val", "end_val"))
+    # what resolve_target gives for a start of 1: the factor of a relative target, else the target
+    ev = ev.withColumns({"relative": is_relative(F.col("end_val")),
+                         "factor": resolve_target(F.col("end_val"), F.lit(1.0))})
+    last = F.max(F.struct("ordinal", "start_step", "end_step", "start_val", "end_val", "relative", "factor"))
     winner = (ev.where(live).groupBy(*keys, "feature").agg(last.alias("e"))
               .groupBy(*[F.col(c).alias(f"_{c}") for c in keys])
               .pivot("feature", list(features)).agg(F.first("e")))
@@ -56,12 +60,13 @@ def overlay(stepped: DataFrame, events: DataFrame, n_steps: int,
     on = F.col("step") == F.col("_step")
     if scenario_col is not None:
         on = on & (F.col(scenario_col) == F.col("_scenario"))
-    joined = stepped.join(winner, on, "left")
+    # one row per (scenario and) step: a shuffle by step would put all rows in n_steps tasks
+    joined = stepped.join(F.broadcast(winner), on, "left")
 
     def value(f: str):
         e = F.col(f"_ev_{f}")
         s0 = F.coalesce(e["start_val"], F.col(f))
-        s1 = resolve_target(e["end_val"], s0)
+        s1 = F.when(e["relative"], s0 * e["factor"]).otherwise(e["factor"])
         ramp = interpolate(F.col("step"), e["start_step"], e["end_step"], s0, s1)
         return F.coalesce(F.when(F.col("step") <= e["end_step"], ramp)
                           .when(e.isNotNull(), s1), F.col(f))
