@@ -21,8 +21,13 @@ def test_class_sizes_reach_the_rows_without_a_shuffle_by_label(spark):
     df = spark.range(400).select(F.col("id").alias("seq"), (F.col("id") % 4 == 0).cast("int").alias("y"))
     split = prepare.stratified_split(df, "y", "seq")
     weighted = models.balanced_weights(df, "y")
-    for out in (split, weighted):
-        assert "SortMergeJoin" not in plan_of(out) and "BroadcastHashJoin" in plan_of(out)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")    # as with tables too large to guess
+    try:
+        plans = [plan_of(out) for out in (split, weighted)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all("SortMergeJoin" not in p and "BroadcastHashJoin" in p for p in plans)
     got = {(r["y"], r["split"]): r["count"] for r in split.groupBy("y", "split").count().collect()}
     assert got == {(0, "test"): 45, (0, "val"): 45, (0, "train"): 210,
                    (1, "test"): 15, (1, "val"): 15, (1, "train"): 70}
