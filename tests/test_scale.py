@@ -116,3 +116,21 @@ def test_winning_events_reach_the_steps_without_a_shuffle(spark):
     assert got == {(1, 0): (4.0, 2.0), (1, 1): (4.0, 5.0), (1, 2): (8.0, 9.0), (1, 3): (12.0, 2.0),
                    (1, 4): (12.0, 2.0), (2, 0): (None, 1.0), (2, 1): (None, 5.0), (2, 2): (None, 9.0),
                    (2, 3): (None, 1.0), (2, 4): (None, 1.0)}
+
+
+def test_readings_exchange_carries_no_derived_columns(spark, monkeypatch, tmp_path):
+    from ohmflow.sources import fixtures
+    spark.createDataFrame([(1, n, n, 1, "1995-01-01", 100.75 * n, 5.0, 0.04, 0.06) for n in range(1, 6)],
+                          "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_shipdate string, "
+                          "l_extendedprice double, l_quantity double, l_discount double, l_tax double"
+                          ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "F")], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(fixtures, "materialize", lambda df: df)
+    view = fixtures.readings(spark, str(tmp_path))
+    plan = view._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = plan[max(i for i, line in enumerate(plan) if "Window [" in line) + 1:]
+    assert below and not any("_price" in line or "_disc#" in line or "_tax#" in line and "AS _tax" in line for line in below)
+    got = {r["seq"]: r for r in view.collect()}
+    assert sorted(got) == [8, 9]
+    assert (got[8]["p1"], got[8]["p2"], got[9]["p1"]) == (100 / 8192, -201 / 8192, 503 / 8192)
+    assert (got[8]["g1"], got[8]["stab"], got[9]["g2"]) == (4 / 16, 2 / 16, None)
