@@ -118,6 +118,27 @@ def test_winning_events_reach_the_steps_without_a_shuffle(spark):
                    (2, 3): (None, 1.0), (2, 4): (None, 1.0)}
 
 
+def test_scaled_features_are_written_once_and_split_as_before(spark, monkeypatch):
+    from ohmflow.operators import prepare
+    from ohmflow.plans import modeling
+    from ohmflow.schema import RAW_FEATURES
+    rows = spark.createDataFrame(
+        [(7 * i % 61, *[float((i * (k + 3)) % 17) / 4 - 1 for k in range(len(RAW_FEATURES))], i % 3 % 2)
+         for i in range(61)], ["seq", *RAW_FEATURES, "stabf"])
+    monkeypatch.setattr(modeling, "cleaned_readings", lambda *_: rows)
+    s = prepare.stratified_split(modeling._features(spark, ""), "stabf", "seq")
+    want = prepare.apply_scaler(s, prepare.fit_standard(s.where("split = 'train'"), modeling.FEATS), modeling.FEATS)
+    widths, write = [], type(rows).checkpoint
+    monkeypatch.setattr(type(rows), "checkpoint",
+                        lambda df, *a, **k: (widths.append(len(df.columns)), write(df, *a, **k))[1])
+    got = modeling._scaled(spark, "")
+    assert widths and max(widths) < len(modeling.FEATS)
+    assert got.columns == want.columns
+    for a, b in zip(got.orderBy("seq").collect(), want.orderBy("seq").collect(), strict=True):
+        assert (a["seq"], a["stabf"], a["split"]) == (b["seq"], b["stabf"], b["split"])
+        assert all(abs(a[c] - b[c]) < 1e-9 for c in modeling.FEATS)
+
+
 def test_readings_exchange_carries_no_derived_columns(spark, monkeypatch, tmp_path):
     from ohmflow.sources import fixtures
     spark.createDataFrame([(1, n, n, 1, "1995-01-01", 100.75 * n, 5.0, 0.04, 0.06) for n in range(1, 6)],
