@@ -34,16 +34,34 @@ def numbered(seed: int, n: int) -> np.ndarray:
 
 
 _BYTE = numbered(7, 256)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BITS = 14
+_BLOCK = 1 << _BITS
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of ``base``, modulo 2^64."""
+    p = np.full(n, base, np.uint64)
+    p[:1] = 1
+    return np.cumprod(p, dtype=np.uint64)
+
+
+#: powers below the block size; a greater one is a product of two, so that a worker
+#: keeps no table as long as its longest slice
+_LOW, _LOW_INVERSE = _powers(_BASE, _BLOCK), _powers(_INVERSE, _BLOCK)
+_JUMP, _JUMP_INVERSE = pow(_BASE, _BLOCK, 1 << 64), pow(_INVERSE, _BLOCK, 1 << 64)
+
+
+def _prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of byte value times power of its place, block by block in place."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    jumps = _powers(_JUMP, len(data) // _BLOCK + 1)
+    for k, lo in enumerate(range(0, len(data), _BLOCK)):
+        part = _BYTE[data[lo:lo + _BLOCK]]
+        part *= _LOW[:len(part)]
+        part *= jumps[k]
+        part[:1] += sums[lo]
+        np.cumsum(part, out=sums[lo + 1:lo + 1 + len(part)])
+    return sums
 
 
 def _table(separators: list[tuple[int, int]]) -> np.ndarray:
@@ -86,8 +104,10 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int
 
 def span_hash(w_sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans of a slice."""
-    inverse = _power_tables(len(w_sums))[1]
-    h = (w_sums[end] - w_sums[start]) * inverse[start]
+    jumps = _powers(_JUMP_INVERSE, len(w_sums) // _BLOCK + 1)
+    h = w_sums[end] - w_sums[start]
+    h *= _LOW_INVERSE[start & (_BLOCK - 1)]
+    h *= jumps[start >> _BITS]
     return mix(h + (end - start).astype(np.uint64) * _STEP)
 
 
@@ -107,9 +127,7 @@ def words(texts: pa.Array, table: np.ndarray, lower: bool = False) -> Words:
     edge[off] = True
     start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
     end = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
-    power = _power_tables(len(data) + 1)[0]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:len(data)], out=sums[1:])
+    sums = _prefix_sums(data)
     first = np.searchsorted(start, off)
     return Words(data, off, first, start, end, span_hash(sums, start, end), sums)
 

@@ -70,25 +70,28 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             key, text = batch.column(0), batch.column(1)
             for lo, hi in slices(text, shard_bytes):
                 w = words(text.slice(lo, hi - lo), ALNUM, lower=True)
+                hashes, bounds = w.hash, w.first
+                del w       # its sums are the largest arrays of a slice
                 texts = np.arange(hi - lo)
-                starts = w.first[:-1] + texts * GAP
-                at = np.arange(len(w.hash)) + np.repeat(texts, np.diff(w.first)) * GAP
-                order = np.argsort(w.hash, kind="stable")
-                terms, first = np.unique(w.hash[order], return_index=True)
-                first = np.append(first, len(order))
+                starts, counts = bounds[:-1] + texts * GAP, np.diff(bounds)
+                order = np.argsort(hashes, kind="stable")
+                terms = hashes[order]
+                first = np.append(np.flatnonzero(np.diff(terms, prepend=~terms[:1])), len(order))
+                terms = terms[first[:-1]]
+                at = order + np.repeat(texts, counts)[order] * GAP
                 shard = uuid.uuid4().int >> 65
                 k = len(terms)
                 none = pa.nulls(k, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(k, shard)), pa.array(terms.view(np.int64)),
-                     pa.array(np.diff(first)), _packed(at[order], first), none, none, none], names)
-                bounds = pa.array([0, hi - lo], pa.int32())
+                     pa.array(np.diff(first)), _packed(at, first), none, none, none], names)
+                rows = pa.array([0, hi - lo], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard]), pa.nulls(1, pa.int64()), pa.array([len(w.hash)]),
+                    [pa.array([shard]), pa.nulls(1, pa.int64()), pa.array([len(hashes)]),
                      pa.nulls(1, pa.binary()),
-                     pa.ListArray.from_arrays(bounds, key.slice(lo, hi - lo).cast(pa.int64())),
-                     pa.ListArray.from_arrays(bounds, pa.array(starts)),
-                     pa.ListArray.from_arrays(bounds, pa.array(np.diff(w.first)))], names)
+                     pa.ListArray.from_arrays(rows, key.slice(lo, hi - lo).cast(pa.int64())),
+                     pa.ListArray.from_arrays(rows, pa.array(starts)),
+                     pa.ListArray.from_arrays(rows, pa.array(counts))], names)
 
     path = scratch(docs.sparkSession, "postings")
     docs.select(id_col, text_col).mapInArrow(run, _INDEX).write.option(

@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ohmflow.llm import (chat_format, classifier, decontam, html_diff, lm, minhash, packing, pii,
-                         quality_rules, warc)
+from ohmflow.llm import (arrays, chat_format, classifier, decontam, html_diff, lm, minhash, packing,
+                         pii, quality_rules, warc)
 
 DOCS = "doc_id long, text string, kept string, text2 string"
 
@@ -371,3 +371,20 @@ def test_tool_calls(spark):
                               '"status":"early_result"}')
     assert json.loads(by["2"].record)["result"] is None
     assert chat_format.link_calls(calls.limit(0), results.limit(0), schema).collect() == []
+
+
+def test_word_hashes_need_little_memory_and_keep_none():
+    """Blocks do not change a hash, whatever its place; no table as long as the text stays."""
+    import tracemalloc
+    size = 6 << 20
+    text = pa.array(["alpha beta gamma " * (size // 17)])
+    tracemalloc.start()
+    w = arrays.words(text, arrays.SPACED)
+    peak = tracemalloc.get_traced_memory()[1]
+    assert len(set(w.hash.tolist())) == 3
+    assert w.hash[:3].tolist() == arrays.words(pa.array(["", "alpha beta gamma"]),
+                                               arrays.SPACED).hash.tolist()
+    del w
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert peak < 26 * size and kept < size // 4
