@@ -155,3 +155,44 @@ def test_readings_exchange_carries_no_derived_columns(spark, monkeypatch, tmp_pa
     assert sorted(got) == [8, 9]
     assert (got[8]["p1"], got[8]["p2"], got[9]["p1"]) == (100 / 8192, -201 / 8192, 503 / 8192)
     assert (got[8]["g1"], got[8]["stab"], got[9]["g2"]) == (4 / 16, 2 / 16, None)
+
+
+def _orders(spark, path, orders=40):
+    spark.createDataFrame([(o, n, n, 1, "1995-01-01", 100.75 * n + o, 5.0 + o % 7, 0.04, 0.06)
+                           for o in range(orders) for n in range(1, 6)],
+                          "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_shipdate string, "
+                          "l_extendedprice double, l_quantity double, l_discount double, l_tax double"
+                          ).write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(o, "F" if o % 3 else "O") for o in range(orders)],
+                          "o_orderkey long, o_orderstatus string").write.parquet(f"{path}/orders.parquet")
+    return str(path)
+
+
+def test_readings_and_their_split_get_tasks_by_their_rows(spark, monkeypatch, tmp_path):
+    from ohmflow.operators import sequence
+    from ohmflow.plans import catalog
+    sf = _orders(spark, tmp_path)
+    want = sorted(catalog.split_readings(spark, sf).collect(), key=lambda r: r["seq"])
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(sequence, "ROWS_PER_TASK", 200 // (3 * session))
+    frame, seen = type(spark.range(1)), []
+    fixed = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange",
+                        lambda df, n, *keys: seen.append(n) or fixed(df, n, *keys))
+    assert catalog.readings(spark, sf).rdd.getNumPartitions() >= 3 * session
+    got = catalog.split_readings(spark, sf)
+    assert max(seen) >= 3 * session
+    assert sorted(got.collect(), key=lambda r: r["seq"]) == want
+
+
+def test_scores_and_baseline_read_one_view_of_the_readings(spark, monkeypatch, tmp_path):
+    from ohmflow.plans import catalog
+    from ohmflow.sources import fixtures
+    sf, made, plain = _orders(spark, tmp_path), [], fixtures.readings
+    for module in (catalog, fixtures):
+        monkeypatch.setattr(module, "readings", lambda *a: made.append(1) or plain(*a))
+    for query, rows in ((catalog.q_export_rows, 80), (catalog.q_ensemble_metadata, 1),
+                        (catalog.q_group_stress, 3)):
+        made.clear()
+        assert query(spark, sf).count() == rows
+        assert len(made) == 1
