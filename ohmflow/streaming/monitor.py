@@ -18,6 +18,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,12 +111,14 @@ def history_stream(scored: DataFrame, series: str = "user_id", row_id: str = "ev
         mark = state.getCurrentWatermarkMs()
         waiting.sort(key=lambda r: r[:2])
         n = sum(-(-r[0] // 1000) < mark for r in waiting)
-        out = []
-        for us, rid, *now in waiting[:n]:
-            full = [(old + [x])[-rows:] for old, x in zip(last, now)]
-            out.append((key[0], int(rid), us, *full))
-            last = [h[-kept:] if kept else [] for h in full]
-        waiting = waiting[n:]
+        ready, waiting = waiting[:n], waiting[n:]
+        histories, ends = [], range(1, n + 1)
+        for k, old in enumerate(last):
+            # one array for all ready rows, NaN for null; a row's history is a slice of it
+            run = np.array(old + [r[2 + k] for r in ready], float)
+            histories.append([run[max(0, len(old) + e - rows):len(old) + e] for e in ends])
+            last[k] = [None if x != x else x for x in run[max(0, len(run) - kept):].tolist()]
+        out = [(key[0], int(r[1]), r[0], *h) for r, *h in zip(ready, *histories)]
         state.update((*([r[c] if c > 1 else int(r[c]) for r in waiting] for c in range(2 + width)), *last))
         if waiting:
             state.setTimeoutTimestamp(max(-(-waiting[0][0] // 1000), mark))
