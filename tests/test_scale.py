@@ -196,3 +196,37 @@ def test_scores_and_baseline_read_one_view_of_the_readings(spark, monkeypatch, t
         made.clear()
         assert query(spark, sf).count() == rows
         assert len(made) == 1
+
+
+def test_knn_searches_only_the_leaves_within_reach(spark):
+    import numpy as np
+    from ohmflow.operators import neighbors
+    rng = np.random.default_rng(5)
+    wide = rng.random((4000, 6))
+    tree = neighbors._Tree(wide, 250)
+    reach = np.full(len(wide), 0.05)
+    row, leaf = tree.within(wide, reach)
+    assert tree.leaves == 250 and len(row) < 12 * len(wide)
+    home = tree.leaf(wide)
+    assert np.bincount(home).max() <= 32
+    seen = set(zip(row.tolist(), leaf.tolist()))
+    close = np.argwhere(((wide[:300, None] - wide[None, :]) ** 2).sum(-1) <= 0.05 ** 2)
+    assert all((int(i), int(home[j])) in seen for i, j in close)
+
+    # a grid with many equal distances, copies of points and a repeated id
+    pts = np.vstack([rng.integers(0, 6, (260, 3)) * 0.1, np.full((30, 3), 0.3), [[50.0, 0.0, 0.0]]])
+    ids = [*range(len(pts) - 1), 7]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in zip(ids, pts)],
+                               "id long, a double, b double, c double").repartition(3)
+    got = {}
+    for r in neighbors.knn(df, "id", ["a", "b", "c"], 4, leaf_rows=8).collect():
+        got.setdefault(r.id, []).append([(x.dist, x.nid) for x in r.neighbors])
+    assert sum(map(len, got.values())) == len(pts)
+    for i, p in zip(ids[:-1], pts):
+        if i == 7:
+            continue
+        d = np.zeros(len(pts))
+        for c in range(3):
+            d += (p[c] - pts[:, c]) ** 2
+        want = sorted((float(x), j) for x, j in zip(np.sqrt(d), ids) if j != i)[:4]
+        assert got[i] == [want]
