@@ -185,6 +185,21 @@ def test_readings_and_their_split_get_tasks_by_their_rows(spark, monkeypatch, tm
     assert sorted(got.collect(), key=lambda r: r["seq"]) == want
 
 
+def test_splits_of_the_model_queries_get_tasks_by_their_rows(spark, monkeypatch, tmp_path):
+    from ohmflow.operators import sequence
+    from ohmflow.plans import modeling
+    sf = _orders(spark, tmp_path)
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(sequence, "ROWS_PER_TASK", 200 // (3 * session))
+    monkeypatch.setattr(modeling, "_features", modeling.cleaned_readings)   # narrow rows will do
+    frame, seen = type(spark.range(1)), []
+    fixed = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange",
+                        lambda df, n, *keys: seen.append((n, keys)) or fixed(df, n, *keys))
+    modeling._splits(spark, sf)
+    assert [n >= 3 * session for n, keys in seen if "_u" in keys] == [True]
+
+
 def test_scores_and_baseline_read_one_view_of_the_readings(spark, monkeypatch, tmp_path):
     from ohmflow.plans import catalog
     from ohmflow.sources import fixtures
