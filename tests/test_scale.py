@@ -245,3 +245,23 @@ def test_knn_searches_only_the_leaves_within_reach(spark):
             d += (p[c] - pts[:, c]) ** 2
         want = sorted((float(x), j) for x, j in zip(np.sqrt(d), ids) if j != i)[:4]
         assert got[i] == [want]
+
+
+def test_knn_deals_a_point_to_blocks_and_not_to_leaves(spark, monkeypatch):
+    import numpy as np
+    from ohmflow.operators import neighbors
+    rng = np.random.default_rng(3)
+    pts = rng.random((3000, 8))
+    names = [f"x{i}" for i in range(8)]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], ["id", *names]).repartition(4)
+    frame, dealt = type(df), []
+    plain = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda d, *a: dealt.append(d.count()) or plain(d, *a))
+    got = {r["id"]: [x.nid for x in r["neighbors"]]
+           for r in neighbors.knn(df, "id", names, 5, leaf_rows=8).collect()}
+    assert len(dealt) == 4 and dealt[:2] == [3000, 3000]
+    assert dealt[2] < 40 * 3000         # 375 leaves, most of them within reach
+    for i in range(0, 3000, 50):
+        d = ((pts - pts[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert got[i] == np.argsort(d, kind="stable")[:5].tolist()
