@@ -265,3 +265,23 @@ def test_knn_deals_a_point_to_blocks_and_not_to_leaves(spark, monkeypatch):
         d = ((pts - pts[i]) ** 2).sum(1)
         d[i] = np.inf
         assert got[i] == np.argsort(d, kind="stable")[:5].tolist()
+
+
+def test_triangle_tasks_get_an_edge_once_a_group(spark, monkeypatch):
+    from itertools import combinations
+
+    from ohmflow.operators import graph
+    edges = list(combinations(range(30), 2))
+    simple = graph.simple_edges(spark.createDataFrame([(a, b, 1.0) for a, b in edges], "a long, b long, weight double"))
+    monkeypatch.setattr(graph, "GROUP_EDGES", 20)
+    log = spark.sparkContext.accumulator(0)
+    close = graph._close_paths
+
+    def counted(table):
+        log.add(sum(len(x) for x in table["to"].to_pylist()))
+        return close(table)
+    monkeypatch.setattr(graph, "_close_paths", counted)
+    got = {r["node"]: r["triangles"] for r in graph.triangle_sums(simple).collect()}
+    assert got == {n: 29 * 28 // 2 for n in range(30)}
+    groups = -(-(2 * len(edges) / 20) ** 0.5 // 1)
+    assert log.value == groups * len(edges)
