@@ -285,3 +285,21 @@ def test_triangle_tasks_get_an_edge_once_a_group(spark, monkeypatch):
     assert got == {n: 29 * 28 // 2 for n in range(30)}
     groups = -(-(2 * len(edges) / 20) ** 0.5 // 1)
     assert log.value == groups * len(edges)
+
+
+def test_steps_carry_work_only_for_features_that_events_name(spark):
+    from ohmflow.operators import whatif
+    from ohmflow.operators.common import rounded
+    base = spark.createDataFrame([(1, 4.1234, 2.5678), (2, None, 1.0)], "seq long, p1 double, p2 double")
+    ev = spark.createDataFrame([("a", 0, "main", "p1", 1, 3, None, "3x")], whatif.EVENT_SCHEMA)
+    plain = whatif.overlay(whatif.expand_steps(base, "seq", 3), ev, 3, ["p1", "p2"])
+    assert "_ev_p2" not in plan_of(plain)
+    ready = base.select("seq", "p1", *[rounded(F.col(c), 2).alias(f"_base_{c}") for c in ("p1", "p2")])
+    out = whatif.overlay(whatif.expand_steps(ready, "seq", 3), ev, 3, ["p1", "p2"],
+                         finish=lambda v: rounded(v, 2), finished="_base_")
+    want = plain.select("seq", "step", *[rounded(F.col(c), 2) for c in ("p1", "p2")]).collect()
+    got = out.select("seq", "step", "p1", "_base_p2").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+    assert (1, 2, 8.25, 2.57) in map(tuple, got)
+    none = whatif.overlay(whatif.expand_steps(base, "seq", 3), ev.where("ordinal > 0"), 3, ["p1", "p2"])
+    assert none.count() == 6 and none.columns == ["seq", "p1", "p2", "step"]
