@@ -303,3 +303,27 @@ def test_steps_carry_work_only_for_features_that_events_name(spark):
     assert (1, 2, 8.25, 2.57) in map(tuple, got)
     none = whatif.overlay(whatif.expand_steps(base, "seq", 3), ev.where("ordinal > 0"), 3, ["p1", "p2"])
     assert none.count() == 6 and none.columns == ["seq", "p1", "p2", "step"]
+
+
+def test_tree_samples_rank_ids_alone(spark, monkeypatch):
+    from ohmflow.operators import isoforest
+    df = spark.range(500).select("id", *[(F.col("id") * k % 7).alias(f"x{k}") for k in range(1, 9)])
+    frame, widths = type(df), []
+    fixed = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda d, n, *k: widths.append(len(d.columns)) or fixed(d, n, *k))
+    got = isoforest.tree_samples(df, "id", 4, 50, 42)
+    assert widths == [1] and got.columns == [*df.columns, "tree"]
+    rows = got.collect()
+    assert all(len({r["id"] for r in rows if r["tree"] == t}) == 50 for t in range(4)) and len(rows) == 200
+    assert all(r["x3"] == r["id"] * 3 % 7 for r in rows)
+    twice = isoforest.tree_samples(df.unionByName(df), "id", 4, 50, 42).groupBy("tree").count().collect()
+    assert [r["count"] for r in twice] == [50] * 4
+
+
+def test_scaler_parameters_reach_a_row_as_two_arrays(spark):
+    from ohmflow.operators import prepare
+    df = spark.createDataFrame([(1, 2.0, None), (2, 4.0, 3.0)], "id int, a double, b double")
+    params = spark.createDataFrame([("b", 1.0, 4.0), ("a", 2.0, 0.5)], "feature string, center double, scale double")
+    out = prepare.apply_scaler(df, params, ["a", "b"])
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [(1, 0.0, None), (2, 4.0, 0.5)]
+    assert "_centers" in plan_of(out) and "a_c" not in plan_of(out).split("BroadcastExchange")[0]
